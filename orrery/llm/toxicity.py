@@ -8,6 +8,7 @@ a score between 0 and 1 and the offsets of the offending tokens.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -47,31 +48,40 @@ def token_ids(texts: list[str | None], vocabulary: dict[str, int]) -> tuple[np.n
     return np.array(out, dtype=np.int64), starts
 
 
-def _scan(factors: np.ndarray) -> np.ndarray:
-    """Running products of 2x2 matrices applied to (1, 0), each scaled to sum 1.
+def _scan(weight: np.ndarray, move: np.ndarray, enter: tuple[float, float], before: bool) -> np.ndarray:
+    """The state vectors after each step of a chain that multiplies by `move` and scales the toxic state by the step's weight,
+    before or after moving; rows (clean, toxic) with sum 1.
 
-    The sequence is cut into about sqrt(n) lanes; the lanes' products are found side by side, then joined one after another.
+    The sequence is cut into about sqrt(n) lanes. All lanes' products of 2x2 matrices are found side by side, then the lanes are
+    joined one after another, so there are sqrt(n) steps on whole arrays instead of n on numbers.
     """
-    n = len(factors)
+    n = len(weight)
     width = max(1, int(np.sqrt(n)))
     lanes = -(-n // width)
-    full = np.zeros((lanes * width, 2, 2))
-    full[:n] = factors
-    full[n:] = np.eye(2)
-    full = full.reshape(lanes, width, 2, 2)
-    prefix = np.empty_like(full)
-    now = np.broadcast_to(np.eye(2), (lanes, 2, 2)).copy()
+    w = np.ones(lanes * width)
+    w[:n] = weight
+    w = np.ascontiguousarray(w.reshape(lanes, width).T)
+    (m00, m01), (m10, m11) = move
+    a, b, c, d = np.ones(lanes), np.zeros(lanes), np.zeros(lanes), np.ones(lanes)
+    made = np.empty((4, width, lanes))
     for k in range(width):
-        now = now @ full[:, k]
-        now /= now.sum(axis=(1, 2), keepdims=True)
-        prefix[:, k] = now
-    enter = np.empty((lanes, 2))
-    v = np.array([1.0, 0.0])
+        if before:
+            b, d = b * w[k], d * w[k]
+        a, b, c, d = a * m00 + b * m10, a * m01 + b * m11, c * m00 + d * m10, c * m01 + d * m11
+        if not before:
+            b, d = b * w[k], d * w[k]
+        if k % 4 == 3:
+            total = a + b + c + d
+            a, b, c, d = a / total, b / total, c / total, d / total
+        made[:, k] = a, b, c, d
+    x, y = np.empty(lanes), np.empty(lanes)
+    u, v = enter
+    ends = made[:, -1].tolist()
     for k in range(lanes):
-        enter[k] = v
-        v = v @ prefix[k, -1]
-        v /= v.sum()
-    out = np.einsum("li,lkij->lkj", enter, prefix).reshape(-1, 2)[:n]
+        x[k], y[k] = u, v
+        u, v = u * ends[0][k] + v * ends[2][k], u * ends[1][k] + v * ends[3][k]
+        u, v = u / (u + v), v / (u + v)
+    out = np.stack([(x * made[0] + y * made[2]).T.ravel()[:n], (x * made[1] + y * made[3]).T.ravel()[:n]], axis=1)
     return out / out.sum(axis=1, keepdims=True)
 
 
@@ -82,19 +92,15 @@ def marginals(ids: np.ndarray, emit: np.ndarray, step: np.ndarray) -> tuple[np.n
     """
     weight = np.exp(emit[ids])
     weight[ids == GAP] = 0.0
-    psi = np.ones((len(ids), 2))
-    psi[:, 1] = weight
     move = np.exp(step)
-    forward = _scan(move[None] * psi[:, None, :])
-    # backward: b_t = move @ (psi_{t+1} * b_{t+1}); as row vectors over the reversed sequence
+    forward = _scan(weight, move, (1.0, 0.0), before=False)
     back = np.ones((len(ids), 2))
-    if len(ids) > 1:
-        turned = (move[None] * psi[1:, None, :]).transpose(0, 2, 1)[::-1]
-        start = np.array([[[0.5, 0.5], [0.5, 0.5]]])
-        back[:-1] = _scan(np.concatenate([start, turned]))[1:][::-1]
+    back[:-1] = _scan(weight[1:][::-1], move.T, (0.5, 0.5), before=True)[::-1]
     both = forward * back
     both /= both.sum(axis=1, keepdims=True)
-    pair = forward[:-1, :, None] * move[None] * (psi[1:] * back[1:])[:, None, :]
+    ahead = back[1:].copy()
+    ahead[:, 1] *= weight[1:]
+    pair = forward[:-1, :, None] * move[None] * ahead[:, None, :]
     pair /= pair.sum(axis=(1, 2), keepdims=True)
     return both[:, 1], pair
 
@@ -124,24 +130,38 @@ def score_batch(texts: list[str | None], model: Crf, slab: int = 400_000) -> tup
     return 1 / (1 + np.exp(-z)), np.concatenate(parts) if parts else np.zeros(0), starts
 
 
-def _contexts(docs: list[list[str]]) -> Counter:
-    """In how many contexts (by the word before) each word occurs: copies of a passage count once."""
-    return Counter(w for _, w in {(a, b) for words in docs for a, b in zip(["", *words], words, strict=False)})
+def _distinct(docs: list[list[str]], size: int = 16) -> list[int]:
+    """Documents without the copies of earlier ones: two are copies if half of their least `size` word hashes are the same."""
+    seen: dict[int, list[int]] = {}
+    kept = []
+    for i, words in enumerate(docs):
+        least = sorted({zlib.crc32(w.encode()) for w in words})[:size]
+        shared = Counter(j for h in least for j in seen.get(h, ()))
+        if shared and 2 * max(shared.values()) >= len(least):
+            continue
+        kept.append(i)
+        for h in least:
+            seen.setdefault(h, []).append(i)
+    return kept
 
 
-def train(texts: list[str | None], toxic: list[int], rounds: int = 60, vocabulary_size: int = 20_000, min_odds: float = 2.5) -> Crf:
+def _support(docs: list[list[str]]) -> Counter:
+    """In how many documents each word occurs; copies count once."""
+    return Counter(w for i in _distinct(docs) for w in set(docs[i]))
+
+
+def train(texts: list[str | None], toxic: list[int], rounds: int = 40, vocabulary_size: int = 20_000, min_odds: float = 2.2, min_share: float = 0.008) -> Crf:
     """Fit the field to documents labelled 0 or 1.
 
-    Tokens are labelled from the documents' labels: in toxic documents, a word is a toxic token if the log-odds of its contexts
-    there against clean documents reach `min_odds` and it has at least 5 contexts and 1 % of the toxic documents' number.
+    Tokens are labelled from the documents' labels: in toxic documents, a word is a toxic token if the log-odds of its support
+    there against clean documents reach `min_odds` and its support is at least 6 and `min_share` of the toxic documents' number.
     Without documents of both labels, the field finds nothing toxic.
     """
     words = [[w.lower() for w in TOKEN.findall(t or "")] for t in texts]
     bad, good = [w for w, y in zip(words, toxic, strict=True) if y], [w for w, y in zip(words, toxic, strict=True) if not y]
-    in_bad, in_good = _contexts(bad), _contexts(good)
-    tokens_bad, tokens_good = 1 + sum(in_bad.values()), 1 + sum(in_good.values())
-    odds = lambda w: np.log((in_bad[w] + 0.5) / tokens_bad) - np.log((in_good[w] + 0.5) / tokens_good)
-    lexicon = {w for w, n in in_bad.items() if n >= max(5, 0.01 * len(bad)) and odds(w) >= min_odds} if good else set()
+    in_bad, in_good = _support(bad), _support(good)
+    odds = lambda w: np.log((in_bad[w] + 0.5) / (len(bad) + 1)) - np.log((in_good[w] + 0.5) / (len(good) + 1))
+    lexicon = {w for w, n in in_bad.items() if n >= max(6, min_share * len(bad)) and odds(w) >= min_odds} if good else set()
     common = Counter({w: in_bad[w] + in_good[w] for w in {*in_bad, *in_good}})
     chosen = sorted(lexicon) + sorted((w for w in common if w not in lexicon and common[w] >= 5), key=lambda w: (-common[w], w))
     vocabulary = {w: i + 2 for i, w in enumerate(chosen[:vocabulary_size])}
@@ -180,7 +200,7 @@ def train(texts: list[str | None], toxic: list[int], rounds: int = 60, vocabular
     return model
 
 
-def training_sample(documents: DataFrame, labels: DataFrame, per_label: int = 800, max_chars: int = 20_000, seed: int = 7) -> tuple[list[str], list[int]]:
+def training_sample(documents: DataFrame, labels: DataFrame, per_label: int = 1200, max_chars: int = 20_000, seed: int = 7) -> tuple[list[str], list[int]]:
     """A bounded sample of labelled training documents: `per_label` of each label, chosen by a seeded hash of doc_id.
 
     Only rows whose crc32(doc_id as text) mod 5 is not 0 are taken; labels that are neither 0 nor 1 are left out, documents with
