@@ -7,8 +7,8 @@ greater, smaller and equal registers estimates the similarity of a candidate pai
 checked on their full sets.
 
 Components are exact over all candidates though no bucket's pairs are written out: documents with equal sets are one vertex;
-each bucket is checked against a pivot, which joins almost all of a group of copies; pairs that are already connected need no
-check; what is left of small buckets is paired, and what is left of large ones goes through an exact prefix filter.
+each bucket is checked against a pivot, which joins almost all of a group of copies; and the sets of buckets that still hold
+several components go through an exact prefix filter, in which pairs that are already connected need no check.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +38,8 @@ class Params:
     base: float = 1.001
     rate: float = 20.0
     top: int = 65534
-    pivots: int = 3
-    small_bucket: int = 64
     #: A pair is dropped unchecked only if its likelihood at the threshold is e^-slack of the best.
-    slack: float = 18.0
+    slack: float = 10.0
 
     @property
     def m(self) -> int:
@@ -129,27 +127,34 @@ class Sketcher:
             k = (self.band * (_mix(registers.astype(np.uint64).reshape(self.band.shape) + np.uint64(1)))).sum(axis=1, dtype=np.uint64)
             return _mix(k ^ self.salt).view(np.int64)
 
+    def low(self, registers: np.ndarray) -> np.ndarray:
+        """The two low bits of each register, 30 registers a number."""
+        two = np.zeros(-(-self.p.m // 30) * 30, dtype=np.int64)
+        two[: self.p.m] = registers & 3
+        return (two.reshape(-1, 30) << (2 * np.arange(30))).sum(axis=1)
+
 
 def sketches(documents: DataFrame, p: Params, text: str = "text") -> DataFrame:
-    """Add n_shingles, set_a and set_b (a 128-bit digest of the set; null if it is empty), registers and band keys."""
+    """Add n_shingles, set_a and set_b (a 128-bit digest of the set; null if it is empty), registers, band keys and low bits."""
     fields = [
         T.StructField("n_shingles", T.LongType()),
         T.StructField("set_a", T.LongType()),
         T.StructField("set_b", T.LongType()),
         T.StructField("registers", T.BinaryType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
+        T.StructField("low", T.ArrayType(T.LongType())),
     ]
 
     def make():
         shingler, sketcher = Shingler(p.shingle), Sketcher(p)
 
         def work(column: pa.Array) -> list[pa.Array]:
-            n, a, b, r, k = [], [], [], [], []
+            n, a, b, r, k, low = [], [], [], [], [], []
             for t in (x.as_py() for x in column):
                 s = shingler.shingles(t)
                 n.append(len(s))
                 if not len(s):
-                    a.append(None), b.append(None), r.append(None), k.append(None)
+                    a.append(None), b.append(None), r.append(None), k.append(None), low.append(None)
                     continue
                 with np.errstate(over="ignore"):
                     a.append(int(s.sum(dtype=np.uint64).view(np.int64)))
@@ -157,7 +162,8 @@ def sketches(documents: DataFrame, p: Params, text: str = "text") -> DataFrame:
                 got = sketcher.registers(s)
                 r.append(got.tobytes())
                 k.append(sketcher.keys(got))
-            return [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(r, pa.binary()), pa.array(k, pa.list_(pa.int64()))]
+                low.append(sketcher.low(got))
+            return [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(r, pa.binary()), pa.array(k, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int64()))]
 
         return work
 
@@ -181,6 +187,19 @@ def likelihood_keeps(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndar
     return (best >= p.percent / 100.0 - 1e-9) | (log[:, -1] >= log.max(axis=1) - p.slack)
 
 
+def low_bits_allow(x: str, y: str, p: Params) -> Column:
+    """Whether two sets' low bits leave the threshold possible: at similarity s, s + (1 - s) / 4 of the registers agree in them, and
+    pairs are ruled out at 5.5 standard deviations below that."""
+    s = p.percent / 100.0
+    agree = s + (1 - s) / 4
+    least = p.m * agree - 5.5 * (p.m * agree * (1 - agree)) ** 0.5
+    differ = F.lit(0)
+    for i in range(-(-p.m // 30)):
+        z = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        differ = differ + F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 1)).bitwiseAND(F.lit(0x555555555555555)))
+    return F.lit(p.m) - differ >= F.lit(least)
+
+
 def _estimated(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) whose sketches allow the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("registers").alias("ra"), F.col("n_shingles").alias("na"))
@@ -244,64 +263,87 @@ def _check(pairs: DataFrame, sets: DataFrame, documents: DataFrame, text: str, p
     return shared_table(_verified(may, shared_table(texts, f"{name}_texts"), p), f"{name}_links")
 
 
-def _labelled(members: DataFrame, comp: DataFrame | None) -> DataFrame:
-    if comp is None:
-        return members.withColumn("comp", F.col("id"))
-    return members.join(comp, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
+    return members.join(comp, "id", "left").select(*members.columns, F.coalesce("component", "id").alias("comp"))
 
 
-def _open_buckets(members: DataFrame, comp: DataFrame | None, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Members with their component, and for each bucket of two components or more its size and a pivot, another each turn."""
-    own = _labelled(members, comp)
-    order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-    stats = own.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("id"), F.col("comp").alias("comp"))).alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"))
-    return own, stats.where("lo != hi").select("bucket", F.col("pivot.id").alias("pivot"), F.col("pivot.comp").alias("pivot_comp"), "n")
+def _members(every: DataFrame) -> DataFrame:
+    """Rows (bucket, id, pivot) of the buckets of several ids.
 
+    The pivot is the member that shares most buckets with most others: of a group of edited copies, the one they come from.
+    """
+    several = shared_table(every.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("bucket", "n"), "band_buckets")
+    kept = shared_table(every.join(several, "bucket").select("bucket", "id", "n").distinct(), "band_kept")
+    rank = kept.groupBy("id").agg(F.sum("n").alias("shared"))
+    pivots = kept.join(rank, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("shared"), F.col("id").alias("id")))["id"].alias("pivot"))
+    return shared_table(kept.join(pivots, "bucket").select("bucket", "id", "pivot"), "band_members")
 
-def _resolve(members: DataFrame, links: DataFrame | None, sets: DataFrame, documents: DataFrame, text: str, p: Params, name: str, limit: int | None):
-    """Links among the members of buckets such that any two of a bucket that are linked end up connected.
 
-    Returns the links, the components, and the members of buckets left open because they have more than `limit` members.
-    """
-    comp = components(links) if links is not None else None
-    for turn in range(p.pivots):
-        own, open_ = _open_buckets(members, comp, turn)
-        pairs = own.join(open_, "bucket").where("comp != pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        new = _check(pairs, sets, documents, text, p, f"{name}{turn}")
-        links = new if links is None else links.unionByName(new)
-        comp = components(links)
-    own, open_ = _open_buckets(members, comp, p.pivots)
-    rest = own.join(open_.select("bucket", "n"), "bucket")
-    rest = shared_table(rest, f"{name}_rest")
-    few = rest if limit is None else rest.where(F.col("n") <= limit)
-    a, b = few.select("bucket", F.col("id").alias("a"), F.col("comp").alias("ca")), few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"))
-    pairs = a.join(b, "bucket").where("a < b AND ca != cb").select("a", "b").distinct()
-    new = _check(pairs, sets, documents, text, p, f"{name}_all")
-    links = links.unionByName(new)
-    return links, None if limit is None else rest.where(F.col("n") > limit).select("id").distinct()
-
-
-def _prefix_members(ids: DataFrame, documents: DataFrame, text: str, p: Params) -> DataFrame:
-    """Rows (bucket, id) of an exact filter: two sets at the threshold share one of their rarest shingles.
-
-    Of a set of n, n - ceil(percent n / 100) + 1 shingles are taken, the rarest (among `ids`) first, in one order for all sets.
+#: Counters of the fixed-size table of shingle frequencies.
+COUNTERS = 1 << 18
+
+
+def _frequencies(texts: DataFrame, p: Params) -> np.ndarray:
+    """How often shingles occur, by the low bits of their hashes: a table whose size doesn't depend on the input."""
+
+    def run(batches):
+        shingler = Shingler(p.shingle)
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            for t in (x.as_py() for x in batch.column("text")):
+                total += np.bincount((shingler.shingles(t) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+
+    out = np.zeros(COUNTERS, dtype=np.int64)
+    counted = texts.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out[counted["k"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
+def _prefixes(texts: DataFrame, p: Params) -> DataFrame:
+    """Rows (bucket, id, place, size) of an exact filter: two sets at the threshold share one of the first items of each.
+
+    All sets are put in one order, the rarest shingles (by a fixed-size table of counts) first; of a set of n, the first
+    n - ceil(percent n / 100) + 1 are taken.
     """
-    texts = documents.select(F.col("doc_id").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
-    width = p.shingle
+    counts = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, p))
 
     def run(batches):
-        shingler = Shingler(width)
+        shingler = Shingler(p.shingle)
         for batch in batches:
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 s = shingler.shingles(t)
-                for k in range(0, len(s), 50_000):
-                    part = s[k : k + 50_000].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), i)), pa.array(part), pa.array(np.full(len(part), len(s)))], names=["id", "shingle", "n"])
+                n = len(s)
+                first = n - -(-n * p.percent // 100) + 1
+                order = np.lexsort((s, counts.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:first]
+                yield pa.RecordBatch.from_arrays([pa.array(s[order].view(np.int64)), pa.array(np.full(len(order), i)), pa.array(np.arange(1, len(order) + 1)), pa.array(np.full(len(order), n))], names=["bucket", "id", "place", "size"])
+
+    return texts.select("id", "text").mapInArrow(run, "bucket long, id long, place long, size long")
 
-    every = shared_table(texts.select("id", "text").mapInArrow(run, "id long, shingle long, n long").distinct(), "prefix_sets")
-    counts = every.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = every.join(counts, "shingle").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle")))
-    return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * p.percent / 100) + 1).where("df > 1").select(F.col("shingle").alias("bucket"), "id")
+
+def _rest(ids: DataFrame, comp: DataFrame, sets: DataFrame, documents: DataFrame, text: str, p: Params) -> DataFrame:
+    """Links between the components of some sets, by the prefix filter.
+
+    In each bucket only members outside its largest component are compared with others. A pair must fit by sizes, by its place (what
+    is left of both sets after a shared item bounds the intersection) and by the sketches' low bits before it becomes a row.
+    """
+    texts = shared_table(documents.select(F.col("doc_id").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi"), "rest_texts")
+    every = shared_table(_prefixes(texts, p), "rest_prefixes")
+    several = every.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("bucket")
+    own = _labelled(every.join(several, "bucket"), comp)
+    own = shared_table(own.join(sets.select("id", "low"), "id"), "rest_members")
+    sizes = own.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
+    marked = own.join(main, "bucket").withColumn("outside", F.col("comp") != F.col("main"))
+    side = lambda df, k: df.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("id", "comp", "place", "size", "low", "outside")])
+    c = F.col
+    apart = (c("compa") != c("compb")) & (~c("outsideb") | (c("ida") < c("idb")))
+    left = 1 + F.least(c("sizea") - c("placea"), c("sizeb") - c("placeb"))
+    fits = (100 * F.least("sizea", "sizeb") >= p.percent * F.greatest("sizea", "sizeb")) & ((100 + p.percent) * left >= p.percent * (c("sizea") + c("sizeb")))
+    pairs = side(marked.where("outside"), "a").join(side(marked, "b"), "bucket").where(apart & fits & low_bits_allow("lowa", "lowb", p))
+    pairs = pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
+    return _check(pairs, sets, documents, text, p, "rest")
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", p: Params = Params()) -> DataFrame:  # noqa: B008
@@ -315,14 +357,16 @@ def near_duplicates(documents: DataFrame, text: str = "text", p: Params = Params
     source = documents.select("doc_id", text)
     sketch = shared_table(without(sketches(source, p, text), text), "sketches")
     known = sketch.where(F.col("doc_id").isNotNull() & F.col("set_a").isNotNull())
-    sets = shared_table(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"), F.first("bands").alias("bands")), "sets")
+    sets = shared_table(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"), F.first("bands").alias("bands"), F.first("low").alias("low")), "sets")
     every = sets.select("id", F.explode("bands").alias("bucket"))
-    several = every.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("bucket")
-    members = shared_table(every.join(several, "bucket").distinct(), "members")
-    links, large = _resolve(members, None, sets, source, text, p, "band", p.small_bucket)
-    if not large.isEmpty():
-        more = shared_table(_prefix_members(large, source, text, p), "prefix_members")
-        links, _ = _resolve(more, links, sets, source, text, p, "prefix", None)
+    members = _members(every)
+    stars = members.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    links = _check(stars, sets, source, text, p, "star")
+    comp = components(links)
+    own = _labelled(members, comp)
+    open_ = own.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
+    ids = shared_table(members.join(open_, "bucket").select("id").distinct(), "rest_ids")
+    links = links.unionByName(_rest(ids, comp, sets, source, text, p))
     # a document's links: to its set's first document, and among the sets' first documents; a doc_id with several sets joins them
     firsts = sets.select("set_a", "set_b", "n_shingles", F.col("id").alias("first"))
     rows = sketch.join(firsts, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", "first")
