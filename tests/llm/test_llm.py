@@ -1,0 +1,276 @@
+"""Small tests of the training-data operators: nulls, empty and odd texts, ties, repeated rows, empty tables, clashing names."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tokenizers
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from orrery.llm import bpe, decontam, htmltext, neardup, quality, secrets, sharding, toxicity, urlfilter, warc
+
+SF = "/root/testdata/sf0.001"
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one two three four five"), (5, "one two three four five"), (None, "lost words here"), (6, "é" * 50_000), (7, "a b " * 20_000)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd rows with columns whose names clash with those of the operators."""
+    return spark.createDataFrame(ODD, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("N_words", "kept", "toxic_score", "token_ids", "shard", "slot", "spans", "registers", "source")}).withColumn("source", F.lit("s"))
+
+
+# 1 toxicity
+def test_marginals_match_enumeration():
+    rng = np.random.default_rng(1)
+    emit, step = rng.normal(size=5), rng.normal(size=(2, 2))
+    ids = np.array([2, 3, 4, 0, 2, 3])
+    p, pair = toxicity.marginals(ids, emit, step)
+    total = np.zeros(len(ids))
+    z = 0.0
+    for k in range(2 ** len(ids)):
+        y = [(k >> i) & 1 for i in range(len(ids))]
+        w = np.exp(sum(emit[f] * s for f, s in zip(ids, y, strict=True)) + step[0][y[0]] + sum(step[a][b] for a, b in zip(y, y[1:], strict=False)))
+        z += w
+        total += w * np.array(y)
+    assert np.allclose(p, total / z)
+    assert np.allclose(pair.sum(axis=(1, 2)), 1)
+
+
+def test_toxicity_learns_and_handles_odd_rows(spark, odd):
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    texts, y = [], []
+    for i in range(300):
+        t = [rng.choice(words) for _ in range(30)]
+        if i % 3 == 0:
+            t[rng.randrange(30)] = rng.choice(["vile", "nasty"])
+        texts.append(" ".join(t))
+        y.append(int(i % 3 == 0))
+    model = toxicity.train(texts, y)
+    s, p, starts = toxicity.score_batch(["wab wac vile wad", "wab wac", "", None], model)
+    assert s[0] > 0.5 > s[1] and s[2] < 0.5 and s[3] < 0.5
+    got = toxicity.score_toxicity(odd, model)
+    assert got.count() == len(ODD) and got.where("toxic_score IS NULL OR toxic_score > 1").count() == 0
+    spans = toxicity.score_toxicity(spark.createDataFrame([("wab vile",)], "text string"), model).first().toxic_spans
+    assert [(x.start, x.end) for x in spans] == [(4, 8)]
+    assert toxicity.score_toxicity(odd.limit(0), model).count() == 0
+    assert toxicity.train([], []).emit.max() < 0
+
+
+# 2 URL filter
+def test_url_rules_and_mining(spark):
+    urls = ["http://A.Example.org/es/x", "https://x.example.org/en/17", "http://q.org/", "http://q.org", "ftp://b.com/de/1?x#y", "http://com/fr/1", "nothing", None, "http://b.com/en/?a://c", "http://xorg/"]
+    rules = spark.createDataFrame([], "tokens array<string>, confidence double, support double")
+    got = [(r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge_urls(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()]
+    assert got == [
+        ("a.example.org", "/es/x", "example.org/es/", "block"),
+        ("x.example.org", "/en/17", "example.org/en/1", "block"),
+        ("q.org", "/", "org/", "allow"),
+        ("q.org", "", None, "allow"),
+        ("b.com", "/de/1", "com/de/", "block"),
+        ("com", "/fr/1", "com/fr/", "allow"),
+        ("", "", None, "allow"),
+        ("", "", None, "allow"),
+        ("b.com", "/en/", None, "allow"),
+        ("xorg", "/", None, "allow"),
+    ]
+    bad = [(f"http://{'spam-x' if i % 2 else 'good'}.net/a/{i}", bool(i % 2)) for i in range(200)]
+    mined = urlfilter.mine_rules(spark.createDataFrame(bad, "url string, blocked boolean"), urlfilter.Params(confidence=0.9))
+    assert mined.count() > 0
+    probe = spark.createDataFrame([("http://spam-x.net/a/9",), ("http://good.net/a/9",)], "url string")
+    for p in (urlfilter.Params(), urlfilter.Params(literal_rules=-1)):
+        assert {r.url: r.verdict for r in urlfilter.judge_urls(probe, mined, p).collect()} == {"http://spam-x.net/a/9": "block", "http://good.net/a/9": "allow"}
+
+
+# 3 sharding
+def test_sharding_laws(spark, odd):
+    df = spark.createDataFrame([(i, f"t{i % 7}") for i in range(3000)], "doc_id long, text string")
+    rows = sharding.shard_documents(df, 8, bucket_bytes=2000).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        assert r.grown_shard in (r.shard, 8)
+    assert sorted(slots) == list(range(8)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) < 1.35 * min(map(len, slots.values()))
+    again = {r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(df, 8, bucket_bytes=2000).collect()}
+    assert again == {r.doc_id: (r.shard, r.slot) for r in rows}
+    assert [r.doc_id for r in rows if r.shard == 0] != sorted(r.doc_id for r in rows if r.shard == 0)
+    assert sharding.shard_documents(odd, 3).count() == len(ODD) and sharding.shard_documents(odd.limit(0), 3).count() == 0
+
+
+# 4 HTML
+def test_main_text():
+    tree = htmltext.trained_tree()
+    page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href=/>home</a></nav><article><h1>A &amp; B</h1><p>Some  text<br>more<!-- x --> here.<p>Short.</article><div class='comments'><p>a reader said so</p></div><footer>&copy; x</footer>"
+    assert htmltext.main_text(page, tree) == "A & B\n\nSome text more here.\n\nShort."
+    assert htmltext.main_text(None, tree) == htmltext.main_text("", tree) == htmltext.main_text("<nav>x</nav>", tree) == ""
+    assert htmltext.main_text("<p", tree) in ("", "<p") and htmltext.main_text("<article>" + "<div>" * 3000 + "word " * 30, tree).startswith("word")
+
+
+# 5 secrets
+def test_secret_spans_follow_the_patterns():
+    rng = random.Random(5)
+    parts = ["token = \"", "secret:", "API_KEY=", "abc", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "\n", " ", "passwd", "é", "=", "x.y-z", '"']
+    for _ in range(400):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        want = [(m.start(), m.end(), "assign", m[2]) for m in secrets.ASSIGN.finditer(t) if len(m[2]) >= 6] + [(m.start(), m.end(), k, m[0]) for k, p, n in (("access", secrets.ACCESS, 20), ("hex", secrets.HEX, 24)) for m in p.finditer(t) if len(m[0]) >= n]
+        assert secrets.base_spans(t) == sorted(want, key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+
+
+def test_secret_ownership_and_redaction(spark, odd):
+    own, shared = "Zk3jP0qLw8vXy2Rt5Nb7", "Qm4xT1sKe9bHu6Wd3Vc8"
+    rows = [(1, f"my {own} here", "a"), (2, f"see {shared} x", "a"), (3, f"see {shared} y", "b"), (4, "token = 0123456789abcdef01234567 end", "c"), (4, "token = 0123456789abcdef01234567 end", "c"), (5, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    scanned = secrets.scan_secrets(df)
+    got = {r.doc_id: ([s.kind for s in r.base_spans], [s.kind for s in r.owner_spans]) for r in scanned.collect()}
+    assert got == {1: ([], ["owner"]), 2: ([], []), 3: ([], []), 4: (["assign", "hex"], []), 5: ([], [])}
+    texts = sorted((r.doc_id, r.text) for r in secrets.redact(scanned).collect() if r.text)
+    assert texts[0] == (1, "my [SECRET] here") and texts[-2:] == [(4, "[SECRET] end")] * 2
+    assert secrets.scan_secrets(odd).count() == len(ODD) and secrets.scan_secrets(odd.limit(0)).count() == 0
+
+
+# 6 quality
+def test_ledger_matches_brute_force(spark, odd):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("a b c d ef\n # !!") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    got = {r.i: r for r in quality.rule_ledger(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    for i, t in enumerate(texts):
+        w, lines = word.findall(t), [x for x in t.split("\n") if word.search(x)]
+        n = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {j + k for j in range(len(w) - 2) if n[tuple(w[j : j + 3])] > 1 for k in range(3)}
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in quality.SYMBOLS for c in t), len(lines) - len(set(lines)), len(covered))
+    ledger = quality.rule_ledger(odd)
+    assert ledger.count() == len(ODD) and "source" in ledger.columns and quality.rule_ledger(odd.limit(0)).count() == 0
+    table = {(r.policy, r.rule): r for r in quality.ablations(ledger, [quality.BASE, quality.STANDARD]).collect()}
+    assert table["base", "few_words"].n_rows == len(ODD) and table["v1", "few_words"].n_rejected >= table["base", "few_words"].n_rejected
+
+
+# 7 BPE
+def test_bpe_matches_the_library(spark, odd):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    v = bpe.Vocabulary.load(path)
+    lib = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(4)
+    texts = ["", "It's <|endoftext|> ok", "ΣΑΣ İ 12 ♥️", "Caf\u0065\u0301", "x" * 3000, *("".join(rng.choice("abcdeinrsthgo") for _ in range(2500)) for _ in range(20)), *("".join(rng.choice(["the", "ing", "in", "g", "er", "s ", "'", "9"]) for _ in range(900)) for _ in range(20))]
+    e, d = bpe.Encoder(v), bpe.Decoder(v)
+    e.capacity = e.margin + 40
+    for t in texts:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert e.encode(t) == ids
+        assert d.decode(ids) == lib.decode(ids, skip_special_tokens=False) == "".join(d.stream(ids, chunk=3))
+    out = bpe.decode_documents(bpe.encode_documents(odd, v), v)
+    assert out.count() == len(ODD) and out.where("text IS NULL").first().decoded == "" and bpe.encode_documents(odd.limit(0), v).count() == 0
+
+
+# 8 near-duplicates
+def brute_components(rows, width, percent=80):
+    sets = {i: neardup.exact_set(t, width) for i, t in rows}
+    out = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if sets[a] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both) and out[b] < out[a]:
+                    out[a], changed = out[b], True
+    return {i: (len(sets[i]), out[i]) for i in sets}
+
+
+@pytest.mark.parametrize("width", [4, 5])
+def test_near_duplicates_match_brute_force(spark, width):
+    rng = random.Random(width)
+    words = [f"v{i}" for i in range(400)]
+    shared = [rng.choice(words) for _ in range(60)]
+    rows = [(900, None), (901, ""), (902, "a b"), (903, "A B"), (904, "a b c")]
+    for f in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(20, 120))]
+        for _ in range(8):
+            t = list(base)
+            for _ in range(rng.randint(0, 4)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            rows.append((len(rows) + 10, " ".join(t)))
+    rows += [(500 + i, " ".join(shared + [rng.choice(words) for _ in range(rng.randint(2, 14))])) for i in range(60)]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), p=neardup.Params(shingle=width)).collect()}
+    assert got == brute_components(rows, width)
+
+
+def test_near_duplicates_of_odd_rows(spark, odd):
+    rows = neardup.near_duplicates(odd).collect()
+    assert len(rows) == len(ODD) and all(r.kept for r in rows)
+    assert {r.component_id for r in rows if r.doc_id is None} == {None}
+    assert neardup.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_registers_merge_and_estimate():
+    p = neardup.Params()
+    s, rng = neardup.Sketcher(p), np.random.default_rng(0)
+    a, b = rng.integers(0, 2**63, 500, dtype=np.uint64), rng.integers(0, 2**63, 700, dtype=np.uint64)
+    assert (np.maximum(s.registers(a), s.registers(b)) == s.registers(np.concatenate([a, b]))).all()
+    near, far = np.concatenate([a[:450], b[:50]]), np.concatenate([a[:200], b[:300]])
+    x = lambda h: s.registers(h)[None].astype(np.int32)
+    keep = lambda h: neardup.likelihood_keeps(x(a), x(h), np.array([500.0]), np.array([500.0]), p)[0]
+    assert keep(near) and not keep(far)
+
+
+# 9 WARC
+def test_archive_round_trip(spark, tmp_path):
+    big, small = "<p>" + "x" * 1200, "<p>y"
+    rows = [(1, "u1", big), (2, "u2", small), (5, "u5", big), (3, "u\r\nv", small), (3, "u3", big), (7, None, None), (None, "n", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    path = f"file://{tmp_path}/a"
+    warc.write_archive(pages, path)
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archive(spark, path).collect()), key=repr)
+    want = []
+    for i, _, h in rows:
+        data = (h or "").encode()
+        revisit = h == big and i != 5
+        want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 5 if revisit else None))
+    assert got == sorted(want, key=repr)
+    records = [bytes(r.record) for r in warc.read_records(spark, path).collect()]
+    assert len(records) == len(rows) and all(r.startswith(b"WARC/1.1\r\n") and r.endswith(b"\r\n\r\n") for r in records)
+    assert sum(big.encode() in r for r in records) == 1 and spark.read.parquet(f"{path}/payloads").count() == 3
+    assert warc.archive_round_trip(pages.limit(0)).count() == 0
+
+
+# 10 decontamination
+def test_reparameterised_questions_are_found(spark, odd):
+    item = "A farmer called Anna sells 12 apples for 3 dollars each and then Anna buys 4 kg of rice from Peter before noon today"
+    other = item.replace("Anna", "Maria").replace("12", "55").replace("3", "8").replace("Peter", "Oleg").replace("kg", "lb")
+    mixed = item.replace("Anna sells", "Maria sells")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"before it.\n{item}. after it"), (11, f"x y z.\n{other}"), (12, "A farmer called nobody and sold nothing at all to anyone in the long run"), (13, None), (14, "")], "doc_id long, text string")
+    got = {r.doc_id: (r.item_id, r.exact) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {10: (1, True), 11: (1, False)}
+    strict = decontam.Params(agree=1.0)
+    assert decontam.contaminated(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), bench, strict).count() == 0
+    assert decontam.contaminated(odd, bench).count() == 0 and decontam.contaminated(odd.limit(0), bench.limit(0)).count() == 0
+
+
+# the pipeline
+def test_pipeline_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    stage = dict(corpus_pipeline.STAGES)
+    passed = stage["quality_rules"](spark, docs, SF).cache()
+    ids = {r.doc_id for r in passed.select("doc_id").collect()}
+    assert passed.columns == docs.columns and all(len(rows[i].split()) >= 50 for i in ids)
+    kept = stage["near_dedup"](spark, passed, SF).cache()
+    brute = brute_components([(i, rows[i]) for i in sorted(ids)], 5)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, (_, c) in brute.items() if c == i}
+    clean = stage["benchmark_decontamination"](spark, kept, SF).cache()
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    assert not any(t in r.text for r in clean.collect() for t in items)
+    out = corpus_pipeline.run(spark, SF)
+    lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    masked = {r.doc_id: r.text for r in stage["secret_scans"](spark, clean, SF).collect()}
+    assert {r.doc_id: np.frombuffer(r.token_ids, "<u4").tolist() for r in out.collect()} == {i: lib.encode(t, add_special_tokens=False).ids for i, t in masked.items()}
+    assert not any(secrets.base_spans(t) for t in masked.values())
