@@ -15,7 +15,7 @@ from orrery.llm.queries import token_digests
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every rule of the standard policy."""
-    return quality.rule_ledger(docs).where(quality.passes(quality.STANDARD)).select(*docs.columns)
+    return quality.passing_rows(quality.rule_ledger(docs), quality.STANDARD).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

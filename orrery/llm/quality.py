@@ -105,6 +105,16 @@ def passes(policy: Policy) -> Column:
     return F.col("failed_bits").bitwiseAND(F.lit(policy.mask).cast("long")) == 0
 
 
+def passing_rows(ledger: DataFrame, policy: Policy) -> DataFrame:
+    """The ledger's rows that pass a policy.
+
+    The filter reads a row number that is made above the ledger, so that the optimizer leaves it there: pushed below the
+    measurements, it would hold all of them written out within each other.
+    """
+    numbered = without(ledger, "__row").withColumn("__row", F.monotonically_increasing_id())
+    return numbered.where(passes(policy) & (F.col("__row") >= 0)).drop("__row")
+
+
 def apply_policy(ledger: DataFrame, policy: Policy) -> DataFrame:
     """The ledger's rows with `kept` and the version that decided."""
     return without(ledger, "kept", "policy").withColumns({"kept": passes(policy), "policy": F.lit(policy.version)})
