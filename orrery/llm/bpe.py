@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from orrery.llm.common import add_columns
 
 #: Words kept with their tokens in each task.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def byte_symbols() -> list[str]:
