@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import codecs
 import json
+import re
 import unicodedata
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, fields
 from functools import cached_property
-from itertools import chain
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,10 @@ from pyspark.sql import types as T
 
 from orrery.llm.common import add_columns
 
-#: Words kept with their tokens in each task.
-CACHE_WORDS = 100_000
+#: Chunks and words kept with their tokens in each Python worker (some 200 bytes each), and the characters of the longest kept.
+CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Spaces to str.split() that are no white space to the pattern.
+_NO_SPACES = re.compile("[\x1c-\x1f]")
 
 
 def byte_symbols() -> list[str]:
@@ -58,6 +61,19 @@ class Vocabulary:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         return cls(model["vocab"], merges, {t["content"]: t["id"] for t in spec["added_tokens"]}, split["pattern"]["Regex"], model["end_of_word_suffix"] or "")
 
+    def __getstate__(self) -> dict:
+        """The fields alone travel to the workers."""
+        return {f.name: getattr(self, f.name) for f in fields(self)}
+
+    @cached_property
+    def encoder(self) -> Encoder:
+        """This process's encoder: it and its caches last from task to task, as long as the broadcast vocabulary."""
+        return Encoder(self)
+
+    @cached_property
+    def decoder(self) -> Decoder:
+        return Decoder(self)
+
     @cached_property
     def tokens(self) -> dict[int, str]:
         return {i: t for t, i in [*self.ids.items(), *self.specials.items()]}
@@ -92,6 +108,21 @@ class Vocabulary:
         return most + self.longest
 
 
+class Kept(dict):
+    """Values of short keys, computed when they are first asked for; starts anew when it is full."""
+
+    def __init__(self, compute: Callable[[str], bytes]):
+        self.compute = compute
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.compute(key)
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
     """The transducer from text to token ids."""
 
@@ -110,22 +141,24 @@ class Encoder:
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(vocabulary.specials, key=len, reverse=True)) + ")") if vocabulary.specials else None
         self.margin = vocabulary.lookahead
         self.capacity = 2 * self.margin + 64
-        self.cache: dict[str, list[int]] = {}
+        self.packed = {i: i.to_bytes(4, "little") for i in [*ids.values(), *vocabulary.specials.values()]}
+        self.kept = Kept(self._chunk)
 
     def _merge(self, run: list[int]) -> list[int]:
         """All merges of a short run of ids: the best-ranked pair first, the leftmost of equals."""
         get, none = self.pairs.get, 1 << 60
         run = list(run)
-        open_ = [get(a << 20 | b, none) for a, b in zip(run, run[1:], strict=False)]
-        while open_ and (best := min(open_)) != none:
+        open_ = [get(a << 20 | b, none) for a, b in pairwise(run)]
+        last = len(open_) - 1
+        while last >= 0 and (best := min(open_)) != none:
             i = open_.index(best)
-            whole = best & 0xFFFFF
-            run[i : i + 2] = [whole]
-            del open_[i]
-            if i < len(open_):
+            run[i] = whole = best & 0xFFFFF
+            del run[i + 1], open_[i]
+            if i < last:
                 open_[i] = get(whole << 20 | run[i + 1], none)
             if i:
                 open_[i - 1] = get(run[i - 1] << 20 | whole, none)
+            last -= 1
         return run
 
     def stream(self, symbols: Iterable[int]) -> Iterator[int]:
@@ -143,32 +176,40 @@ class Encoder:
                 buffer = buffer[end:]
         yield from self._merge(buffer)
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         data = word.encode("utf-8", "replace")
-        inner = self.inner
-        return list(self.stream(chain((inner[b] for b in data[:-1]), (self.final[data[-1]],))))
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.final[data[-1]]
+        return b"".join(map(self.packed.__getitem__, self._merge(symbols) if len(symbols) < self.capacity else self.stream(symbols)))
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a whole text; special tokens written in it become their ids."""
-        out: list[int] = []
+    def _chunk(self, chunk: str) -> bytes:
+        """The ids of text without white space; a word matched within a chunk is matched whole when it stands alone."""
+        if chunk.isascii() and chunk.isalpha():
+            return self._word(chunk)
+        words = self.words.findall(chunk)
+        return self._word(chunk) if words == [chunk] else b"".join(map(self.kept.__getitem__, words))
+
+    def pack(self, text: str) -> bytes:
+        """The ids of a whole text, each as a little-endian unsigned 32-bit integer; special tokens written in it become their ids.
+
+        No word spans white space, so texts are cut there first, and chunks seen before need no matching.
+        """
+        out: list[bytes] = []
         parts = self.specials.split(text) if self.specials and "<|" in text else [text]
-        cache = self.cache
         for part in parts:
             if part in self.v.specials:
-                out.append(self.v.specials[part])
+                out.append(self.packed[self.v.specials[part]])
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # each letter is lowered by itself
-            for w in self.words.findall(part.lower()):
-                found = cache.get(w)
-                if found is None:
-                    if len(cache) >= CACHE_WORDS:
-                        cache.clear()
-                    found = self._word(w)
-                    if len(w) <= 64:
-                        cache[w] = found
-                out += found
-        return out
+            part = part.lower()
+            chunks = self.words.findall(part) if _NO_SPACES.search(part) else part.split()
+            out.append(b"".join(map(self.kept.__getitem__, chunks)))
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        """The ids of a whole text."""
+        return np.frombuffer(self.pack(text), dtype="<u4").tolist()
 
 
 class Decoder:
@@ -180,17 +221,12 @@ class Decoder:
     def stream(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
         """Text as it becomes certain; ids that no token has are left out."""
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        pending: list[bytes] = []
-        first = True
-        for i in ids:
-            if (b := self.bytes.get(i)) is None:
-                continue
-            pending.append(b if first else b" " + b)
-            first = False
-            if len(pending) >= chunk:
-                yield machine.decode(b"".join(pending))
-                pending.clear()
-        yield machine.decode(b"".join(pending), final=True)
+        known = filter(None, map(self.bytes.get, ids))
+        gap = b""
+        while pending := list(islice(known, chunk)):
+            yield machine.decode(gap + b" ".join(pending))
+            gap = b" "
+        yield machine.decode(b"", final=True)
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(self.stream(ids))
@@ -204,10 +240,10 @@ def encode_documents(documents: DataFrame, vocabulary: Vocabulary, text: str = "
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)  # a tokenizer file of a few MB
 
     def make():
-        encoder = Encoder(shared.value)
+        pack = shared.value.encoder.pack
 
         def work(column: pa.Array) -> list[pa.Array]:
-            return [pa.array([np.array(encoder.encode(t or ""), dtype="<u4").tobytes() for t in (x.as_py() for x in column)], pa.binary())]
+            return [pa.array([pack(x.as_py() or "") for x in column], pa.binary())]
 
         return work
 
@@ -219,10 +255,10 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "tok
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def make():
-        decoder = Decoder(shared.value)
+        decode = shared.value.decoder.decode
 
         def work(column: pa.Array) -> list[pa.Array]:
-            return [pa.array([decoder.decode(np.frombuffer(b or b"", dtype="<u4").tolist()) for b in (x.as_py() for x in column)], pa.string())]
+            return [pa.array([decode(np.frombuffer(x.as_py() or b"", dtype="<u4").tolist()) for x in column], pa.string())]
 
         return work
 
