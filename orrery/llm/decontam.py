@@ -2,12 +2,14 @@
 
 Numbers, names and units become typed placeholders, so that a question with other values keeps its template. Windows of template
 tokens are hash-joined with the benchmark's, and a match must also be consistent: one value of the benchmark item stands for one
-value of the document wherever it occurs in the matched windows.
+value of the document wherever it occurs in the matched windows of one occurrence.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -137,7 +139,8 @@ def _filter(windows: DataFrame, bits: int) -> bytes:
 
 
 def matching_windows(documents: DataFrame, windows: DataFrame, p: Params, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Windows of the whole texts that the benchmark has too: doc key, item, at (in the item), slots of both sides."""
+    """Windows of the whole texts that the benchmark has too: doc key, digest of the text, place in it, item, n_windows, at (in the
+    item), slots of both sides."""
     spark = documents.sparkSession
     bitmap = spark.sparkContext.broadcast(_filter(windows, p.filter_bits))
     mask = (1 << p.filter_bits) - 1
@@ -147,36 +150,143 @@ def matching_windows(documents: DataFrame, windows: DataFrame, p: Params, doc: s
     def run(batches):
         c = Canonicaliser(p.window)
         known = np.frombuffer(bitmap.value, dtype=np.uint8)
-        schema = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("slots", pa.list_(pa.string()))])
+        schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))])
         for batch in batches:
             rows = []
             for i, t in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h, kinds, words, _ = c.windows(t)
                 low = h & np.uint64(mask)
-                hit = np.flatnonzero((known[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1)
-                rows += [{"doc": i, "hash": int(h[k].view(np.int64)), "slots": c.slots(k, kinds, words)} for k in hit.tolist()]
+                hit = np.flatnonzero((known[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1).tolist()
+                if hit:
+                    row = xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) - (1 << 63)
+                    rows += [{"doc": i, "row": row, "hash": int(h[k].view(np.int64)), "place": k, "slots": c.slots(k, kinds, words)} for k in hit]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    found = source.mapInArrow(run, "doc long, hash long, slots array<string>")
+    found = source.mapInArrow(run, "doc long, row long, hash long, place int, slots array<string>")
     theirs = windows.select("hash", "item_id", "n_windows", "at", F.col("slots").alias("item_slots"))
-    return found.join(theirs, "hash").where(F.size("slots") == F.size("item_slots")).select("doc", "item_id", "n_windows", "at", "slots", "item_slots")
+    return found.join(theirs, "hash").where(F.size("slots") == F.size("item_slots")).select("doc", "row", "place", "item_id", "n_windows", "at", "slots", "item_slots")
+
+
+class Evidence:
+    """Matched windows of an item, and the document's values of each of its slot values."""
+
+    def __init__(self):
+        self.at: set[int] = set()
+        self.values: dict[str, str | None] = {}
+        self.own: set[str] = set()
+        self.consistent = 0
+
+    def add(self, at: int, slots: list[str], item_slots: list[str]) -> None:
+        self.at.add(at)
+        values = self.values
+        for i, d in zip(item_slots, slots, strict=True):
+            if i == d:
+                self.own.add(i)
+            if i not in values:
+                values[i] = d
+                self.consistent += 1
+            elif values[i] is not None and values[i] != d:
+                values[i] = None
+                self.consistent -= 1
+
+    def verdict(self, n_windows: int, p: Params) -> tuple[bool, int, int, int] | None:
+        """exact, n_matched, n_consistent, n_slots if this is enough."""
+        n = len(self.values)
+        if len(self.at) < max(1, math.ceil(p.least * n_windows)) or self.consistent < p.agree * n:
+            return None
+        return self.consistent == n == len(self.own), len(self.at), self.consistent, n
+
+
+def best_occurrence(hits: list[tuple[int, int, list[str], list[str]]], n_windows: int, p: Params) -> tuple[bool, int, int, int] | None:
+    """The best verdict of the places of one text where the item may stand; hits are place, at, slots, item_slots.
+
+    Windows of one occurrence have equal place - at, but for words put in or left out. So from each such offset, the nearest others
+    are taken in turn, up to half of the item away, for windows of the item that are still without a match.
+    """
+    lines = defaultdict(list)
+    for place, at, slots, item_slots in hits:
+        lines[place - at].append((at, slots, item_slots))
+    offsets = sorted(lines)
+    reach, needed = max(1, (n_windows + p.window - 1) // 2), max(1, math.ceil(p.least * n_windows))
+    best, low, high, within = None, 0, 0, 0
+    for k, base in enumerate(offsets):
+        while high < len(offsets) and offsets[high] <= base + reach:
+            within += len(lines[offsets[high]])
+            high += 1
+        while offsets[low] < base - reach:
+            within -= len(lines[offsets[low]])
+            low += 1
+        if within < needed:
+            continue
+        e = Evidence()
+        for o in sorted(offsets[low:high], key=lambda x: abs(x - base)) if high - low > 1 else offsets[k : k + 1]:
+            new = [x for x in lines[o] if x[0] not in e.at]
+            if new:
+                for x in new:
+                    e.add(*x)
+                found = e.verdict(n_windows, p)
+                if found and (best is None or found > best):
+                    best = found
+        if best and best[0] and best[1] == n_windows:
+            break
+    return best
+
+
+def _judge(p: Params):
+    """From hits sorted by doc, item_id, row, place and at to the pairs that hold."""
+
+    def run(batches):
+        key, row, last, n_windows, hits, whole, best, out = None, None, None, 0, [], Evidence(), None, []
+
+        def close_row():
+            found = best_occurrence(hits, n_windows, p)
+            hits.clear()
+            return max((x for x in (best, found) if x), default=None)
+
+        def close_pair():
+            found = close_row() or whole.verdict(n_windows, p)
+            if found:
+                exact, n_matched, n_consistent, n_slots = found
+                out.append({"doc_id": key[0], "item_id": key[1], "n_matched": n_matched, "n_windows": n_windows, "n_slots": n_slots, "n_consistent": n_consistent, "exact": exact})
+
+        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_matched", pa.int64()), ("n_windows", pa.int32()), ("n_slots", pa.int64()), ("n_consistent", pa.int64()), ("exact", pa.bool_())])
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("doc", "item_id", "row", "place", "at", "n_windows", "slots", "item_slots")]
+            for d, i, r, place, at, n, slots, item_slots in zip(*columns, strict=True):
+                if key != (d, i):
+                    if key is not None:
+                        close_pair()
+                    key, row, last, n_windows, whole, best = (d, i), r, None, n, Evidence(), None
+                elif r != row:
+                    best, row, last = close_row(), r, None
+                n_windows = max(n_windows, n)
+                if (place, at, slots, item_slots) != last:
+                    last = place, at, slots, item_slots
+                    hits.append((place, at, slots, item_slots))
+                    whole.add(at, slots, item_slots)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out.clear()
+        if key is not None:
+            close_pair()
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return run
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, p: Params = Params(), doc: str = "doc_id", text: str = "text") -> DataFrame:  # noqa: B008
     """Pairs of a document and a benchmark item that it holds, in its own words or with other numbers, names or units.
 
+    Coverage and slots are those of one occurrence in one text: a document may hold the item several times, with several values. If
+    none is enough, all matched windows of the document are judged together (an item in distant pieces).
+
     Columns: doc_id, item_id, n_matched (distinct windows of the item), n_windows, n_slots and n_consistent (of the item's slot
-    values in these windows, and how many stand for one value of the document), exact (all slots have the item's own values). Null
-    and empty texts and items hold nothing; documents with equal doc_id count as one, and a null doc_id is reported as null. Empty
-    tables give no rows. Items of fewer tokens than a window match only texts that are such an item and nothing else.
+    values in these windows, and how many stand for one value of the document), exact (all slots have the item's own values), all of
+    the best occurrence. Null and empty texts and items hold nothing; documents with equal doc_id count as one, and a null doc_id is
+    reported as null. Empty tables give no rows. Items of fewer tokens than a window match only texts that are such an item and
+    nothing else.
     """
     windows = shared_table(benchmark_windows(benchmark, p), "benchmark_windows")
-    hits = shared_table(matching_windows(documents, windows, p, doc, text), "matching_windows")
-    pairs = hits.groupBy("doc", "item_id").agg(F.max("n_windows").alias("n_windows"), F.count_distinct("at").alias("n_matched"))
-    values = hits.select("doc", "item_id", F.explode(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("s")).select("doc", "item_id", "s.i", "s.d").distinct()
-    per_value = values.groupBy("doc", "item_id", "i").agg(F.count("*").alias("n"), F.max(F.when(F.col("i") == F.col("d"), 1).otherwise(0)).alias("own"))
-    slots = per_value.groupBy("doc", "item_id").agg(F.count("*").alias("n_slots"), F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("n_consistent"), F.min("own").alias("own"))
-    same = F.col("l.doc").eqNullSafe(F.col("r.doc")) & (F.col("l.item_id") == F.col("r.item_id"))
-    both = pairs.alias("l").join(slots.alias("r"), same, "left").select(F.col("l.doc").alias("doc_id"), "l.item_id", "n_matched", "n_windows", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_consistent", F.lit(0)).alias("n_consistent"), (F.coalesce("own", F.lit(1)) == 1).alias("own"))
-    enough = F.col("n_matched") >= F.greatest(F.lit(1), F.ceil(F.lit(p.least) * F.col("n_windows")))
-    return both.where(enough & (F.col("n_consistent") >= p.agree * F.col("n_slots"))).select("doc_id", "item_id", "n_matched", "n_windows", "n_slots", "n_consistent", (F.col("own") & (F.col("n_consistent") == F.col("n_slots"))).alias("exact"))
+    hits = matching_windows(documents, windows, p, doc, text)
+    dealt = hits.repartition("doc", "item_id").sortWithinPartitions("doc", "item_id", "row", "place", "at")
+    return dealt.mapInArrow(_judge(p), "doc_id long, item_id long, n_matched long, n_windows int, n_slots long, n_consistent long, exact boolean")

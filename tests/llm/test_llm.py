@@ -255,6 +255,17 @@ def test_reparameterised_questions_are_found(spark, odd):
     assert decontam.contaminated(odd, bench).count() == 0 and decontam.contaminated(odd.limit(0), bench.limit(0)).count() == 0
 
 
+def test_an_item_held_several_times_is_found(spark):
+    item = "A farmer called Anna sells 12 apples for 3 dollars each and then Anna buys 4 kg of rice from Peter before noon today"
+    other = item.replace("Anna", "Maria").replace("12", "55").replace("3", "8").replace("Peter", "Oleg").replace("kg", "lb")
+    third = other.replace("Maria", "Ines").replace("55", "70")
+    longer = other.replace("and then", "and so it was then")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(1, f"{item}.\n{other}"), (2, f"{other}.\n{third}"), (3, item), (3, other), (4, f"{longer}.\n{item.split(' and ')[0]}"), (5, f"{item}. Later a man called Ivan sells 9 apples for 7 dollars each and then leaves"), (None, f"{other}.\n{item}.\n{other}")]
+    got = {r.doc_id: r.exact for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, None: True}
+
+
 # the pipeline
 def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
