@@ -72,13 +72,15 @@ class Canonicaliser:
         self.forms[word] = out
         return out
 
-    def windows(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
-        """Hash of each window of template tokens, the place of each token's slot kind, the tokens, and the token places.
+    def windows(self, text: str | None, narrow: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[str], dict[int, np.ndarray]]:
+        """Hash of each window of template tokens by place, the slot kind of each token, the tokens, and by width the hashes of the
+        windows of the `narrow` widths that are no wider than the text.
 
         A capitalised word is a name unless it begins a sentence or a line. Words of punctuation alone are no tokens. A text of
-        fewer tokens than a window is one window.
+        fewer tokens than a window is one window. The first token of a narrow window is taken as the start of a sentence, as it is
+        in an item.
         """
-        hashes, kinds, words = [], [], []
+        hashes, kinds, words, opening = [], [], [], []
         forms = self.forms
         for line in (text or "").split("\n"):
             start = True
@@ -88,40 +90,52 @@ class Canonicaliser:
                     hashes.append(f[0] if start else f[1])
                     kinds.append(f[2] if not start or f[2] != NAME else 0)
                     words.append(w)
+                    if narrow:
+                        opening.append(f[0])
                     start = f[3]
         n = len(hashes)
         h, k = np.array(hashes, dtype=np.uint64), np.array(kinds, dtype=np.int8)
         if not n:
-            return h, k, words, np.zeros(0, dtype=np.int64)
-        width = min(n, self.window)
+            return h, k, words, {}
+        first = np.array(opening, dtype=np.uint64)
+        return self._hashes(h, h, min(n, self.window)), k, words, {w: self._hashes(h, first, w) for w in narrow if w <= n}
+
+    def _hashes(self, h: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+        """Hashes of the windows of a width, with the first token of each as in `first`."""
+        n = len(h)
         with np.errstate(over="ignore"):
             out = np.full(n - width + 1, width, dtype=np.uint64)
             for i in range(width):
-                x = h[i : n - width + 1 + i]
+                x = (h if i else first)[i : n - width + 1 + i]
                 out += ((x ^ (x >> np.uint64(31))) * self.place[i]) ^ (x << np.uint64(7))
             out = (out ^ (out >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
             out ^= out >> np.uint64(29)
-        return out, k, words, np.arange(len(out))
+        return out
 
     def slots(self, at: int, kinds: np.ndarray, words: list[str]) -> list[str]:
         """The slot values of the window at a place, in order."""
         return [_EDGE.sub("", words[i]).lower() for i in range(at, min(len(words), at + self.window)) if kinds[i]]
 
+    def narrow_slots(self, at: int, width: int, kinds: np.ndarray, words: list[str]) -> list[str]:
+        """The slot values of a narrow window, whose first token is no name."""
+        return [_EDGE.sub("", words[i]).lower() for i in range(at, at + width) if kinds[i] and (i > at or kinds[i] != NAME)]
 
-_WINDOW_TYPE = "hash long, at int, slots array<string>"
+
+_WINDOW_TYPE = "hash long, at int, slots array<string>, width int, wordless boolean"
 
 
 def benchmark_windows(benchmark: DataFrame, p: Params, item: str = "item_id", text: str = "text") -> DataFrame:
-    """All windows of the items: item, n_windows, hash, at, slots."""
+    """All windows of the items: item, n_windows, hash, at, slots, width, and if no token of it is a word of the template."""
 
     def run(batches):
         c = Canonicaliser(p.window)
         for batch in batches:
             for i, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h, kinds, words, at = c.windows(t)
-                rows = [{"item_id": i, "n_windows": len(h), "hash": int(x.view(np.int64)), "at": int(k), "slots": c.slots(k, kinds, words)} for x, k in zip(h, at.tolist(), strict=True)]
+                h, kinds, words, _ = c.windows(t)
+                width = min(len(words), p.window)
+                rows = [{"item_id": i, "n_windows": len(h), "hash": int(x.view(np.int64)), "at": k, "slots": c.slots(k, kinds, words), "width": width, "wordless": bool(kinds[k : k + width].all())} for k, x in enumerate(h)]
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("item_id", pa.int64()), ("n_windows", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.string()))]))
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("item_id", pa.int64()), ("n_windows", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.string())), ("width", pa.int32()), ("wordless", pa.bool_())]))
 
     source = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(run, f"item_id long, n_windows int, {_WINDOW_TYPE}")
@@ -142,6 +156,7 @@ def matching_windows(documents: DataFrame, windows: DataFrame, p: Params, doc: s
     """Windows of the whole texts that the benchmark has too: doc key, digest of the text, place in it, item, n_windows, at (in the
     item), slots of both sides."""
     spark = documents.sparkSession
+    narrow = tuple(sorted(r.width for r in windows.where(F.col("width") < p.window).select("width").distinct().collect()))
     bitmap = spark.sparkContext.broadcast(_filter(windows, p.filter_bits))
     mask = (1 << p.filter_bits) - 1
     source = documents.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
@@ -151,20 +166,25 @@ def matching_windows(documents: DataFrame, windows: DataFrame, p: Params, doc: s
         c = Canonicaliser(p.window)
         known = np.frombuffer(bitmap.value, dtype=np.uint8)
         schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))])
+
+        def hits(h):
+            low = h & np.uint64(mask)
+            return np.flatnonzero((known[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1).tolist()
+
         for batch in batches:
             rows = []
             for i, t in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h, kinds, words, _ = c.windows(t)
-                low = h & np.uint64(mask)
-                hit = np.flatnonzero((known[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1).tolist()
-                if hit:
+                h, kinds, words, short = c.windows(t, narrow)
+                found = [(h[k], k, c.slots(k, kinds, words)) for k in hits(h)] if len(words) >= p.window else []
+                found += [(x[k], k, c.narrow_slots(k, w, kinds, words)) for w, x in short.items() for k in hits(x)]
+                if found:
                     row = xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) - (1 << 63)
-                    rows += [{"doc": i, "row": row, "hash": int(h[k].view(np.int64)), "place": k, "slots": c.slots(k, kinds, words)} for k in hit]
+                    rows += [{"doc": i, "row": row, "hash": int(x.view(np.int64)), "place": k, "slots": v} for x, k, v in found]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     found = source.mapInArrow(run, "doc long, row long, hash long, place int, slots array<string>")
-    theirs = windows.select("hash", "item_id", "n_windows", "at", F.col("slots").alias("item_slots"))
-    return found.join(theirs, "hash").where(F.size("slots") == F.size("item_slots")).select("doc", "row", "place", "item_id", "n_windows", "at", "slots", "item_slots")
+    theirs = windows.select("hash", "item_id", "n_windows", "at", F.col("slots").alias("item_slots"), ((F.col("width") < p.window) & F.col("wordless")).alias("own_only"))
+    return found.join(theirs, "hash").where((F.size("slots") == F.size("item_slots")) & (~F.col("own_only") | (F.col("slots") == F.col("item_slots")))).select("doc", "row", "place", "item_id", "n_windows", "at", "slots", "item_slots")
 
 
 class Evidence:
@@ -283,8 +303,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, p: Params = Params(
     Columns: doc_id, item_id, n_matched (distinct windows of the item), n_windows, n_slots and n_consistent (of the item's slot
     values in these windows, and how many stand for one value of the document), exact (all slots have the item's own values), all of
     the best occurrence. Null and empty texts and items hold nothing; documents with equal doc_id count as one, and a null doc_id is
-    reported as null. Empty tables give no rows. Items of fewer tokens than a window match only texts that are such an item and
-    nothing else.
+    reported as null. Empty tables give no rows. Items of fewer tokens than a window are found as a whole, anywhere in a text; one
+    without any word, of numbers, names and units alone, only with its own values, as its template says nothing.
     """
     windows = shared_table(benchmark_windows(benchmark, p), "benchmark_windows")
     hits = matching_windows(documents, windows, p, doc, text)

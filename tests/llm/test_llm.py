@@ -266,6 +266,14 @@ def test_an_item_held_several_times_is_found(spark):
     assert got == {1: True, 2: False, 3: True, 4: False, 5: True, None: True}
 
 
+def test_short_items_are_found_in_longer_texts(spark):
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "What is 12 plus 7?"), (3, "12"), (4, "the capital of France is which city now")], "item_id long, text string")
+    pad = "and here are some more words that stand around it in this text"
+    docs = [(1, f"Q: Who wrote Hamlet? {pad}"), (2, f"{pad} who wrote Hamlet"), (3, f"{pad}. Peter wrote Hamlet"), (4, f"{pad}. What is 15 plus 9? {pad}"), (5, f"{pad} 12 {pad}"), (6, f"{pad} 13 {pad}"), (7, "Who wrote Faust?"), (8, f"{pad} the capital of Spain is which city now"), (9, "wrote Hamlet"), (10, "")]
+    got = {(r.doc_id, r.item_id): r.exact for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1): True, (2, 1): True, (4, 2): False, (5, 3): True, (7, 1): False, (8, 4): False}
+
+
 # the pipeline
 def test_pipeline_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
