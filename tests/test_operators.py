@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import aggregate, graph, similarity, store, windows
+from orrery.plans import registry
 from orrery.sources import catalog, files, sinks
 
 
@@ -27,6 +28,16 @@ def test_greedy_keep_follows_rank(spark):
     assert got == {1: (True, None), 2: (False, 1), 3: (True, None), 4: (False, 3), 5: (True, None)}
 
 
+def test_five_word_pairs_and_short_texts(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    texts = ["one two", "One  two", "one", " ", None, " ".join(words), " ".join([*words[:-4], *"abcd"])]
+    spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    q = registry.queries()
+    assert {(r.a, r.b, r.similarity) for r in q["jaccard_pairs_five_words"](spark, str(tmp_path)).collect()} == {(0, 1, 1.0), (5, 6, round(52 / 60, 9))}
+    assert {(r.id, r.component) for r in q["components_five_words"](spark, str(tmp_path)).collect()} == {(0, 0), (1, 0), (5, 5), (6, 5)}
+    assert {r.id for r in q["greedy_near_dup_five_words"](spark, str(tmp_path)).collect() if not r.kept} == {0, 6}
+
+
 def test_insert_or_ignore_twice(spark, tmp_path):
     rows = spark.createDataFrame([("d1", "a", 1), ("d1", "a", 2), ("d2", "a", 3), ("d2", None, 4)], "day string, id string, v int")
     path = f"file://{tmp_path}/t"
