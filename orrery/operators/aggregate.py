@@ -139,14 +139,14 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFra
 
 def ngrams(df: DataFrame, text: str, sizes: tuple[int, ...] = (2, 3, 4), keep: str = r"[\x{4e00}-\x{9fff}]", least: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
     """Frequent character n-grams that a pattern is found in."""
-    t = F.col(text)
 
-    def cut(n: int) -> Column:
-        pieces = F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: t.substr(i, F.lit(n)))
-        return F.when(F.length(t) >= n, pieces).otherwise(F.array().cast("array<string>"))
+    # characters are bound as a lambda's variable: substr() would count from the start of the text for each gram
+    def cut(chars: Column) -> Column:
+        of_size = lambda n: F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), ""))
+        return F.concat(*[F.when(F.size(chars) >= n, of_size(n)).otherwise(F.array().cast("array<string>")) for n in sizes])
 
-    grams = [cut(n) for n in sizes]
-    found = df.select(F.explode(F.concat(*grams)).alias("gram")).where(F.col("gram").rlike(f"^.*{keep}.*$") & ~F.col("gram").rlike(r"\s") & ~F.col("gram").isin(*stop, ""))
+    grams = F.transform(F.array(F.split(F.col(text), "")), cut)[0]
+    found = df.select(F.explode(grams).alias("gram")).where(F.col("gram").rlike(f"^.*{keep}.*$") & ~F.col("gram").rlike(r"\s") & ~F.col("gram").isin(*stop, ""))
     return found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 

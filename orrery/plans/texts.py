@@ -68,6 +68,16 @@ def word_freq_topk(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.word_frequencies(table(spark, d, "documents").where("lang = 'en'"), "text", ("the", "of"))
 
 
+@query("ngram_freq_documents", "SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(text) - k + 2), lambda i: substr(text, i, k))) AS gram FROM documents, (VALUES (2), (3), (4)) v(k)) WHERE regexp_matches(gram, '\\p{L}') AND NOT regexp_matches(gram, '\\s') GROUP BY 1 HAVING count(*) >= 2")
+def ngram_freq_documents(spark: SparkSession, d: str) -> DataFrame:
+    return aggregate.ngrams(table(spark, d, "documents"), "text", keep=r"\p{L}")
+
+
+@query("word_freq_topk_documents", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents) WHERE word <> '' AND word NOT IN ('the', 'of') GROUP BY 1 ORDER BY n DESC, word LIMIT 20")
+def word_freq_topk_documents(spark: SparkSession, d: str) -> DataFrame:
+    return aggregate.word_frequencies(table(spark, d, "documents"), "text", ("the", "of"))
+
+
 _SCORE = """WITH h AS (SELECT doc_id, list_filter([CASE WHEN contains(lower(text), 'thatin') THEN 30 END, CASE WHEN contains(lower(text), 'ononst') THEN 20 END, CASE WHEN contains(lower(text), 'thing') THEN 10 END], lambda x: x IS NOT NULL) AS w,
   len(regexp_extract_all(text, '[A-Za-z0-9.]+@[A-Za-z0-9.]+')) AS contacts, regexp_matches(text, '\\d') AS price, length(text) - length(replace(text, '|', '')) AS inq,
   CASE WHEN contains(text, 'stupid') THEN 1 ELSE 0 END AS scam, CASE WHEN contains(text, 'hehely') THEN 1 ELSE 0 END AS jar FROM documents),

@@ -38,6 +38,14 @@ def test_five_word_pairs_and_short_texts(spark, tmp_path):
     assert {r.id for r in q["greedy_near_dup_five_words"](spark, str(tmp_path)).collect() if not r.kept} == {0, 6}
 
 
+def test_grams_and_words_of_all_documents(spark, tmp_path):
+    rows = [(1, "ab\U0001f600cd", "en"), (2, "ab\U0001f600", "de"), (3, None, "fr"), (4, "", "es"), (5, "x", "en"), (6, "the Zug", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = registry.queries()
+    assert {tuple(r) for r in q["ngram_freq_documents"](spark, str(tmp_path)).collect()} == {("ab", 2), ("b\U0001f600", 2), ("ab\U0001f600", 2)}
+    assert {tuple(r) for r in q["word_freq_topk_documents"](spark, str(tmp_path)).collect()} == {("ab", 2), ("cd", 1), ("x", 1), ("zug", 1)}
+
+
 def test_insert_or_ignore_twice(spark, tmp_path):
     rows = spark.createDataFrame([("d1", "a", 1), ("d1", "a", 2), ("d2", "a", 3), ("d2", None, 4)], "day string, id string, v int")
     path = f"file://{tmp_path}/t"
