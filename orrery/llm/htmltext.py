@@ -30,6 +30,12 @@ MARKS = frozenset(
     "cookie cookies consent notice alert popup modal overlay subscribe newsletter signup login social share sharing related recommended comment comments disqus reply replies "
     "widget toolbar pagination pager tags copyright legal disclaimer search".split()
 )
+#: Words that may stand beside a mark in a compound name (site-header); any other word makes it another name (no-sidebar, tag-social).
+BESIDE = frozenset("site page main top bottom left right list area box bar container wrapper wrap block section inner global primary secondary links items posts form".split())
+#: Marks of lists that may be made of articles themselves.
+LISTS = frozenset("comment comments disqus reply replies related recommended nav menu".split())
+#: Silent elements that hold text up to their end tag or the end of the page; others without an end tag hide nothing.
+RAW = frozenset("script style title textarea iframe".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -50,8 +56,12 @@ class Block:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: what stands between tags of block elements, white space made one space, references decoded."""
     out: list[Block] = []
-    #: name, article, aside, label of the open containers
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
+    #: of all containers: name, article, if the name and what marks make it an aside, the one around it, label; and the open ones
+    opened: list[tuple[str, bool, list, int, int]] = [("", False, [False, set()], 0, 0)]
+    stack = [0]
+    inside: list[int] = []
+    firsts = {"article", "main"}
+    endless: set[str] = set()
     text: list[str] = []
     links = 0
     linked: list[str] = []
@@ -63,10 +73,11 @@ def blocks(page: str) -> list[Block]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                top = stack[-1]
+                top = opened[stack[-1]]
                 in_link = len(html.unescape(" ".join(linked)).split())
                 n = len(joined.split())
-                out.append(Block(joined, min(in_link, n), n, top[1], top[2], heading, max(label, top[3])))
+                out.append(Block(joined, min(in_link, n), n, top[1], False, heading, max(label, top[4])))
+                inside.append(stack[-1])
             text, linked = [], []
 
     at = 0
@@ -86,9 +97,14 @@ def blocks(page: str) -> list[Block]:
             continue
         closing, name = m[1], m[2].lower()
         if name in SILENT:
-            if not closing:
-                end = re.compile(rf"</{name}\s*>" if name != "head" else r"</head\s*>|(?=<body\b)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if not closing and not (name in ("svg", "math") and m[0].endswith("/>")):
+                end = None if name in endless else re.compile(rf"</{name}\s*>" if name != "head" else r"</head\s*>|(?=<body\b)", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif name in RAW:
+                    at = len(page)
+                else:
+                    endless.add(name)
                 text.append(" ")
             continue
         if name == "a":
@@ -100,16 +116,23 @@ def blocks(page: str) -> list[Block]:
             links = 0
             if name in CONTAINER:
                 if closing:
-                    k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
+                    k = next((i for i in range(len(stack) - 1, 0, -1) if opened[stack[i]][0] == name), 0)
                     if k:
                         del stack[k:]
                     heading, label = False, 0
                 else:
                     marks, main = _marks(m[3])
-                    top = stack[-1]
+                    top = opened[stack[-1]]
                     article = top[1] or name in ("article", "main")
-                    aside = top[2] or bool(marks & MARKS) or (name in ASIDE and not (name == "header" and top[1]))
-                    stack.append((name, article, aside, main or top[3]))
+                    marks = set() if name == "body" else marks - {"header", "masthead"} if top[1] else marks
+                    opened.append((name, article, [name in ASIDE and not (name == "header" and top[1]), marks], stack[-1], main or top[4]))
+                    stack.append(len(opened) - 1)
+                    if name in firsts:
+                        # what holds the page's first article is no aside by its marks, unless they name a list; nor is a form around it
+                        firsts.discard(name)
+                        for c in (opened[k] for k in stack):
+                            c[2][1] = c[2][1] if c[2][1] & LISTS else set()
+                            c[2][0] = c[2][0] and c[0] != "form"
                     heading, label = False, 0
             elif closing:
                 heading, label = False, 0
@@ -117,10 +140,16 @@ def blocks(page: str) -> list[Block]:
                 heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
                 label = _marks(m[3])[1] if "data-main" in m[3] else 0
     close()
+    aside = [False]
+    for _, _, own, around, _ in opened[1:]:
+        aside.append(any(own) or aside[around])
+    for b, k in zip(out, inside, strict=True):
+        b.in_aside = aside[k]
     return out
 
 
 def _marks(attributes: str) -> tuple[set[str], int]:
+    """The marks among whole names of class, id and role, or in compound names of marks and words beside them; and the label."""
     marks: set[str] = set()
     main = 0
     for key, *value in _ATTRIBUTE.findall(attributes or ""):
@@ -128,7 +157,10 @@ def _marks(attributes: str) -> tuple[set[str], int]:
         if key.lower() == "data-main":
             main = int(v or 0)
         else:
-            marks.update(_PART.findall(v.lower()))
+            for token in v.lower().split():
+                parts = set(_PART.findall(token))
+                if parts <= MARKS | BESIDE:
+                    marks |= parts & MARKS
     return marks, main
 
 

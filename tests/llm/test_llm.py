@@ -112,6 +112,27 @@ def test_main_text():
     assert htmltext.main_text("<p", tree) in ("", "<p") and htmltext.main_text("<article>" + "<div>" * 3000 + "word " * 30, tree).startswith("word")
 
 
+def test_marks_and_open_elements_lose_no_article():
+    tree = htmltext.trained_tree()
+    story = f"<p>{'word ' * 30}end.</p><p>{'more ' * 30}end.</p>"
+    want = f"Title here\n\n{'word ' * 30}end.\n\n{'more ' * 30}end."
+    article = f"<article><h1>Title here</h1>{story}</article>"
+    for page in (
+        f'<body class="single no-sidebar sidebar">{article}',
+        f'<div class="content with-sidebar">{article}</div>',
+        f'<div class="content sidebar">{article}</div><div class="related"><article><p>teaser of something</p></article></div>',
+        f'<form class="search">{article}</form>',
+        f'<article class="post tag-social"><header class="entry-header"><h1>Title here</h1></header>{story}</article>',
+        f'<article><div class="page-header"><h1>Title here</h1></div>{story}</article>',
+        f'<body><svg width="5"/>{article}',
+        f"<html><head><meta charset=utf-8><title>t</title>{article}",
+        f"<body><select><option>{article}",
+    ):
+        assert htmltext.main_text(page, tree) == want, page
+    for aside in ('<div class="site-header">', '<div class="cookie-notice">', '<div id="comments">', '<div id="comment-12">', '<div class="x sidebar">'):
+        assert htmltext.main_text(f"<body>{article}{aside}{story}</div>", tree) == want, aside
+
+
 # 5 secrets
 def test_secret_spans_follow_the_patterns():
     rng = random.Random(5)
