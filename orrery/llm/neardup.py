@@ -370,8 +370,9 @@ def near_duplicates(documents: DataFrame, text: str = "text", p: Params = Params
     # a document's links: to its set's first document, and among the sets' first documents; a doc_id with several sets joins them
     firsts = sets.select("set_a", "set_b", "n_shingles", F.col("id").alias("first"))
     rows = sketch.join(firsts, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", "first")
-    repeated = rows.where("doc_id != first").groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi"), F.count("*").alias("n"))
-    tied = repeated.where("lo != hi").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    others = rows.where("doc_id != first")
+    repeated = others.groupBy("doc_id").agg(F.min("first").alias("lo"), F.max("first").alias("hi")).where("lo != hi").select("doc_id", "lo")
+    tied = others.join(repeated, "doc_id").where("first != lo").select(F.col("lo").alias("a"), F.col("first").alias("b"))
     tied = tied.unionByName(rows.where("doc_id != first").join(sets.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     comp = components(links.unionByName(tied).distinct())
     found = rows.join(comp.withColumnRenamed("id", "first"), "first", "left")

@@ -231,6 +231,13 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_all_texts_of_a_repeated_doc_id_are_one_vertex(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(i, text(i)) for i in (1, 2, 3, 4)] + [(9, text(i)) for i in (1, 2, 3)]
+    got = {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (9, 1, False), (4, 4, True)}
+
+
 def test_registers_merge_and_estimate():
     p = neardup.Params()
     s, rng = neardup.Sketcher(p), np.random.default_rng(0)
