@@ -178,6 +178,14 @@ def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
     return store.upsert(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), "c_custkey", ["c_acctbal"])
 
 
+@query("upsert_merge_all", "SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, coalesce(b.c_acctbal, a.c_acctbal) AS c_acctbal, coalesce(a.c_name, b.c_name) AS c_name FROM customer a FULL JOIN (SELECT CASE WHEN c_acctbal < 0 THEN c_custkey ELSE -c_custkey END AS c_custkey, c_acctbal + 1 AS c_acctbal, c_name FROM customer) b ON a.c_custkey = b.c_custkey")
+def upsert_merge_all(spark: SparkSession, d: str) -> DataFrame:
+    # all customers are stored; the batch has each again with another balance, under its key if in debt and else under a new one
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_name")
+    batch = c.select(F.when(F.col("c_acctbal") < 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("c_custkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"), "c_name")
+    return store.upsert(c, batch, "c_custkey", ["c_acctbal"])
+
+
 @query("crosstab_probe", "SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS \"n_1-URGENT\", count(*) FILTER (o_orderpriority = '5-LOW') AS \"n_5-LOW\", count(*) AS total FROM orders GROUP BY 1")
 def crosstab_probe(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.crosstab(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority", ["1-URGENT", "5-LOW"])

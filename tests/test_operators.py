@@ -46,6 +46,11 @@ def test_grams_and_words_of_all_documents(spark, tmp_path):
     assert {tuple(r) for r in q["word_freq_topk_documents"](spark, str(tmp_path)).collect()} == {("ab", 2), ("cd", 1), ("x", 1), ("zug", 1)}
 
 
+def test_upsert_of_all_customers(spark, tmp_path):
+    spark.createDataFrame([(1, -5.0, "a"), (5, 7.0, "b")], "c_custkey long, c_acctbal double, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    assert {tuple(r) for r in registry.queries()["upsert_merge_all"](spark, str(tmp_path)).collect()} == {(1, -4.0, "a"), (5, 7.0, "b"), (-5, 8.0, "b")}
+
+
 def test_insert_or_ignore_twice(spark, tmp_path):
     rows = spark.createDataFrame([("d1", "a", 1), ("d1", "a", 2), ("d2", "a", 3), ("d2", None, 4)], "day string, id string, v int")
     path = f"file://{tmp_path}/t"
