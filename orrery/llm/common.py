@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,8 +12,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows in an Arrow batch: texts may be long, so batches hold few of them.
-ARROW_ROWS = 1000
+#: Rows and bytes in an Arrow batch at most (one row may have more): a batch of long texts holds few of them.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ARROW_ROWS and ARROW_BYTES; settings that are tighter already stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
+        spark.conf.set(rows, str(ARROW_ROWS))
+    told = re.fullmatch(r"(\d+)b?", spark.conf.get(size).lower())
+    if not told or not 0 < int(told[1]) <= ARROW_BYTES:
+        spark.conf.set(size, str(ARROW_BYTES))
+
+
+class Kept(dict):
+    """Values of keys, computed when they are first asked for, of which the last asked for are kept: between `most` / 2 and `most`."""
+
+    def __init__(self, compute: Callable, most: int, longest: int = 64):
+        self.compute, self.half, self.longest, self.older = compute, most // 2, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,11 +61,35 @@ def shared_dir(spark: SparkSession) -> str:
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write `df` below the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/orrery-{uuid.uuid4().hex}/{name}"
+    path = f"{new_folder(spark)}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder below the shared one, remembered for drop_folders()."""
+    path = f"{shared_dir(spark).rstrip('/')}/orrery-{uuid.uuid4().hex}"
+    folders(spark).append(path)
+    return path
+
+
+def folders(spark: SparkSession) -> list[str]:
+    """The folders that this application has made below the shared one and that are still there, in the order of making."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_orrery_folders"):
+        sc._orrery_folders = []
+    return sc._orrery_folders
+
+
+def drop_folders(spark: SparkSession, keep: int = 0) -> None:
+    """Delete the folders made after the first `keep`: to be called when all that was read from them has been written."""
+    made = folders(spark)
+    for path in made[keep:]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del made[keep:]
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """`df` without the columns that an operator is about to write (names compare without case)."""
     taken = {n.lower() for n in names}
@@ -51,7 +105,7 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[..., list[pa.Array]]]
 
     `make` runs once in each task and returns a function from the input columns (Arrow arrays of one batch) to the new columns.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    bound_batches(df.sparkSession)
     names = [f.name for f in fields]
     kept = [c for c in df.columns if c.lower() not in {n.lower() for n in names}]
     base = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"__in{i}") for i, c in enumerate(inputs)])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import shared_table
+from orrery.llm.common import Kept, bound_batches, shared_table
 
 #: Units of measure and money, lower-cased (fixed values).
 UNITS = frozenset(
@@ -46,9 +46,9 @@ class Params:
 class Canonicaliser:
     """Template hashes and slot values of texts; words' forms are kept from text to text, up to a bound."""
 
-    def __init__(self, window: int, kept: int = 200_000):
-        self.window, self.kept = window, kept
-        self.forms: dict[str, tuple[int, int, int, bool]] = {}
+    def __init__(self, window: int, kept: int = 60_000):
+        self.window = window
+        self.forms: dict[str, tuple[int, int, int, bool]] = Kept(self._form, kept)
         self.place = (np.arange(1, window + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
     def _form(self, word: str) -> tuple[int, int, int, bool]:
@@ -58,19 +58,14 @@ class Canonicaliser:
         ends = word[-1:] in ".!?" or word[-2:-1] in ".!?"
         h = xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace"))
         if not bare:
-            out = (0, 0, 0, ends)
-        elif _NUMBER.fullmatch(bare):
-            out = (NUMBER, NUMBER, NUMBER, ends)
-        elif low in UNITS and len(low) > 1:
-            out = (UNIT, UNIT, UNIT, ends)
-        elif bare[0].isupper() and not bare.isupper():
-            out = (h, NAME, NAME, ends)
-        else:
-            out = (h, h, 0, ends)
-        if len(self.forms) >= self.kept:
-            self.forms.clear()
-        self.forms[word] = out
-        return out
+            return 0, 0, 0, ends
+        if _NUMBER.fullmatch(bare):
+            return NUMBER, NUMBER, NUMBER, ends
+        if low in UNITS and len(low) > 1:
+            return UNIT, UNIT, UNIT, ends
+        if bare[0].isupper() and not bare.isupper():
+            return h, NAME, NAME, ends
+        return h, h, 0, ends
 
     def windows(self, text: str | None, narrow: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[str], dict[int, np.ndarray]]:
         """Hash of each window of template tokens by place, the slot kind of each token, the tokens, and by width the hashes of the
@@ -85,7 +80,7 @@ class Canonicaliser:
         for line in (text or "").split("\n"):
             start = True
             for w in line.split():
-                f = forms.get(w) or self._form(w)
+                f = forms[w]
                 if f[0]:
                     hashes.append(f[0] if start else f[1])
                     kinds.append(f[2] if not start or f[2] != NAME else 0)
@@ -160,7 +155,7 @@ def matching_windows(documents: DataFrame, windows: DataFrame, p: Params, doc: s
     bitmap = spark.sparkContext.broadcast(_filter(windows, p.filter_bits))
     mask = (1 << p.filter_bits) - 1
     source = documents.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    bound_batches(spark)
 
     def run(batches):
         c = Canonicaliser(p.window)

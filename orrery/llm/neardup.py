@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import add_columns, shared_table, without
+from orrery.llm.common import add_columns, bound_batches, shared_table, without
 from orrery.llm.graph import components
 
 
@@ -206,7 +206,7 @@ def _estimated(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     right = sets.select(F.col("id").alias("b"), F.col("registers").alias("rb"), F.col("n_shingles").alias("nb"))
     # sizes alone rule out many: 100 * min >= percent * max
     joined = pairs.join(left, "a").join(right, "b").where(100 * F.least("na", "nb") >= p.percent * F.greatest("na", "nb"))
-    joined.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    bound_batches(joined.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -85,9 +85,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
-    encoded = bpe.encode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
-    decoded = bpe.decode_documents(encoded, vocabulary)
-    return token_digests(decoded, "doc_id")
+    return token_digests(bpe.transcode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), "doc_id")
 
 
 def token_digests(decoded: DataFrame, *columns: str) -> DataFrame:

@@ -12,7 +12,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orrery.llm import bpe, decontam, htmltext, neardup, quality, secrets, sharding, toxicity, urlfilter, warc
+from orrery.llm import bpe, common, decontam, htmltext, neardup, quality, secrets, sharding, toxicity, urlfilter, warc
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one two three four five"), (5, "one two three four five"), (None, "lost words here"), (6, "é" * 50_000), (7, "a b " * 20_000)]
@@ -174,20 +174,61 @@ def test_ledger_matches_brute_force(spark, odd):
 
 
 # 7 BPE
-def test_bpe_matches_the_library(spark, odd):
+@pytest.fixture(scope="module")
+def tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
-    v = bpe.Vocabulary.load(path)
-    lib = tokenizers.Tokenizer.from_file(path)
+    return bpe.Vocabulary.load(path), tokenizers.Tokenizer.from_file(path)
+
+
+def test_bpe_matches_the_library(spark, odd, tokenizer):
+    v, lib = tokenizer
     rng = random.Random(4)
-    texts = ["", "It's <|endoftext|> ok", "ΣΑΣ İ 12 ♥️", "Caf\u0065\u0301", "x" * 3000, *("".join(rng.choice("abcdeinrsthgo") for _ in range(2500)) for _ in range(20)), *("".join(rng.choice(["the", "ing", "in", "g", "er", "s ", "'", "9"]) for _ in range(900)) for _ in range(20))]
+    texts = ["", "It's <|endoftext|> ok", "<|startoftext|><|endoftext|>", "ΣΑΣ İ 12 ♥️", "Caf\u0065\u0301", "x" * 3000, *("".join(rng.choice("abcdeinrsthgo") for _ in range(2500)) for _ in range(20)), *("".join(rng.choice(["the", "ing", "in", "g", "er", "s ", "'", "9"]) for _ in range(900)) for _ in range(20))]
     e, d = bpe.Encoder(v), bpe.Decoder(v)
-    e.capacity = e.margin + 40
     for t in texts:
         ids = lib.encode(t, add_special_tokens=False).ids
         assert e.encode(t) == ids
-        assert d.decode(ids) == lib.decode(ids, skip_special_tokens=False) == "".join(d.stream(ids, chunk=3))
+        assert d.decode(ids) == lib.decode(ids, skip_special_tokens=False) == "".join(d.stream(ids, chunk=3)) == d.unpack(e.pack(t))
     out = bpe.decode_documents(bpe.encode_documents(odd, v), v)
     assert out.count() == len(ODD) and out.where("text IS NULL").first().decoded == "" and bpe.encode_documents(odd.limit(0), v).count() == 0
+    both = bpe.transcode_documents(odd, v).select("doc_id", "token_ids", "decoded")
+    assert sorted(both.collect(), key=repr) == sorted(out.select("doc_id", "token_ids", "decoded").collect(), key=repr)
+
+
+def test_all_words_go_through_the_transducer(tokenizer, monkeypatch):
+    v, lib = tokenizer
+    e = bpe.Encoder(v)
+    e.capacity = e.margin + 40
+    sizes, merge = [], e._merge
+    monkeypatch.setattr(e, "_merge", lambda run: sizes.append(len(run)) or merge(run))
+    text = "some words, and " + "".join(random.Random(7).choice("abcdeinrsthgo") for _ in range(20_000))
+    assert e.encode(text) == lib.encode(text, add_special_tokens=False).ids
+    assert e.n_words == 5 and e.n_early > 1000 and max(sizes) <= e.capacity + 1
+
+
+def test_bpe_slabs_and_cache_change_nothing(tokenizer, monkeypatch):
+    v, lib = tokenizer
+    rng = random.Random(8)
+    text = "".join(rng.choice(["word", " ", "e\u0301", "\u0301", "\n", "1", "don't", "çà!", "\u2003", "\x1c", "Σ"]) for _ in range(3000))
+    want = lib.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "SLAB", 7)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 4)
+    assert bpe.Encoder(v).encode(text) == want
+
+
+def test_bpe_tables_of_unicode_are_the_librarys(tokenizer):
+    v, lib = tokenizer
+    e = bpe.Encoder(v)
+    points = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) <= 0xDFFF]
+    # those that Python's table has not, all others in tens
+    for i in range(0, len(points), 10):
+        t = "".join(x for c in points[i : i + 10] for x in ("a", c, "b 1", c, "! "))
+        assert e.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    rng = random.Random(9)
+    pools = [range(0x370), range(0x300, 0x370), range(0x3000), range(0x1100, 0x1200), range(0xAC00, 0xAC40), range(0x10000, 0x12000), range(0x1E000, 0x1F000)]
+    for _ in range(1000):
+        t = "".join(chr(rng.choice(rng.choice(pools))) for _ in range(60))
+        assert e.encode(t) == lib.encode(t, add_special_tokens=False).ids
 
 
 # 8 near-duplicates
@@ -321,3 +362,22 @@ def test_pipeline_stages_against_brute_force(spark):
     masked = {r.doc_id: r.text for r in stage["secret_scans"](spark, clean, SF).collect()}
     assert {r.doc_id: np.frombuffer(r.token_ids, "<u4").tolist() for r in out.collect()} == {i: lib.encode(t, add_special_tokens=False).ids for i, t in masked.items()}
     assert not any(secrets.base_spans(t) for t in masked.values())
+
+
+def test_pipeline_rows_with_repeated_and_null_ids(spark, tmp_path):
+    prose = lambda k: " ".join(f"{k}w{i} of" for i in range(40))
+    item = "A farmer called Anna sells 12 apples for 3 dollars each and then Anna buys 4 kg of rice from Peter before noon today"
+    rows = [(1, prose("a")), (1, prose("b")), (None, prose("c")), (None, f"{prose('d')} {item}."), (2, prose("a")), (3, f"{prose('e')} {item}."), (3, prose("f")), (4, None), (None, prose("g")), (5, prose("g"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    made = len(common.folders(spark))
+    stage, d = dict(corpus_pipeline.STAGES), str(tmp_path)
+    kept = stage["near_dedup"](spark, docs, d)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, prose("a")), (1, prose("b")), (0, prose("c")), (0, f"{prose('d')} {item}."), (3, f"{prose('e')} {item}."), (3, prose("f")), (4, ""), (5, prose("g"))])
+    clean = stage["benchmark_decontamination"](spark, docs, d)
+    assert sorted(r.text or "" for r in clean.collect()) == sorted((t or "") for _, t in rows if not t or item not in t)
+    assert all(f(spark, docs.limit(0), d).count() == 0 for _, f in corpus_pipeline.STAGES)
+    common.drop_folders(spark, made)
+    out = corpus_pipeline.run(spark, d)
+    assert out.count() == 5 and len(common.folders(spark)) == made + 1
