@@ -2,45 +2,61 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, decontam, neardup, quality, secrets
-from orrery.llm.common import shared_dir
+from orrery.llm.common import drop_folders, folders, new_folder, shared_table
 from orrery.llm.queries import token_digests
 
+#: All stages take any documents: null and empty texts have no words, an empty table gives no rows, repeated rows and rows that share
+#: a doc_id or have none are told apart, and further columns are carried along unless a stage says otherwise.
+ROW = "__pipeline_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of each row, written out so that the number stays."""
+    return shared_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule of the standard policy."""
+    """Documents that pass every rule of the standard policy; null and empty texts don't, repeated rows all or none."""
     return quality.passing_rows(quality.rule_ledger(docs), quality.STANDARD).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates by five-word shingles; repeated rows go too."""
-    kept = neardup.near_duplicates(docs, p=neardup.Params(shingle=5)).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each group of near-duplicates by five-word shingles: that of the smallest doc_id (null last), of several rows
+    with it the first read.
+
+    Rows are compared by their texts alone: different texts that share a doc_id both stay, and repeated rows leave one. Texts without
+    words are no duplicates of each other.
+    """
+    rows = _numbered(docs)
+    groups = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), p=neardup.Params(shingle=5))
+    members = groups.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW)
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row")))["row"].alias(ROW))
+    return rows.join(first.select(ROW), ROW, "left_semi").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold no benchmark item; rows that share a doc_id are judged apart, and those without one like all others."""
+    rows = _numbered(docs)
+    found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc=ROW).select(F.col("doc_id").alias(ROW)).distinct()
+    return rows.join(found, ROW, "left_anti").select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked and n_chars as it is then."""
+    """All documents, with their secrets masked and n_chars as it is then; null texts stay null."""
     masked = secrets.redact(secrets.scan_secrets(docs))
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document (4 bytes each), their number, and digests of the ids and of what they decode to."""
+    """Token ids of each document (4 bytes each), their number, and digests of the ids and of what they decode to, with doc_id, lang
+    and source; null and empty texts have no ids."""
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json"))
-    decoded = bpe.decode_documents(bpe.encode_documents(docs, vocabulary).drop("text"), vocabulary)
-    return token_digests(decoded, "doc_id", "lang", "source", "token_ids")
+    return token_digests(bpe.transcode_documents(docs.select("doc_id", "lang", "source", "text"), vocabulary), "doc_id", "lang", "source", "token_ids")
 
 
 STAGES = [
@@ -56,10 +72,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of `sf_dir`, each written as Parquet to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark).rstrip('/')}/orrery-{uuid.uuid4().hex}"
+    """Apply all stages to the documents of `sf_dir`, each written as Parquet to the shared folder and read again.
+
+    When a stage is written, the tables that it made on its way are deleted, and so is the stage before it.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(folders(spark))
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        out = stage(spark, docs, sf_dir)
+        folder = new_folder(spark)
+        out.write.parquet(f"{folder}/{name}")
+        folders(spark).remove(folder)
+        drop_folders(spark, before)
+        folders(spark).append(folder)
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
