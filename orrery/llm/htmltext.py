@@ -1,10 +1,15 @@
 """Main text of web pages: flat blocks with word count and link density of themselves and their neighbours, classified by a
-decision tree that is trained here on a small labelled table."""
+decision tree that is trained here on a small labelled table.
+
+Where a page says what its parts are (elements, names), the tree follows that; where it doesn't, counts and neighbours decide.
+"""
 
 from __future__ import annotations
 
 import html
+import random
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,12 +38,12 @@ MARKS = frozenset(
 #: Words that may stand beside a mark in a compound name (site-header); any other word makes it another name (no-sidebar, tag-social).
 BESIDE = frozenset("site page main top bottom left right list area box bar container wrapper wrap block section inner global primary secondary links items posts form".split())
 #: Marks of lists that may be made of articles themselves.
-LISTS = frozenset("comment comments disqus reply replies related recommended nav menu".split())
+LISTS = frozenset("comment comments disqus reply replies related recommended nav navbar navigation menu".split())
 #: Silent elements that hold text up to their end tag or the end of the page; others without an end tag hide nothing.
 RAW = frozenset("script style title textarea iframe".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)/?>|<[!?][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
@@ -48,16 +53,18 @@ class Block:
     linked: int
     words: int
     in_article: bool
-    in_aside: bool
     heading: bool
-    label: int
+    #: Within an element that isn't the article (nav, footer), a list of links or comments by its name, and another mark by its name.
+    landmark: bool = False
+    listed: bool = False
+    marked: bool = False
 
 
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: what stands between tags of block elements, white space made one space, references decoded."""
     out: list[Block] = []
-    #: of all containers: name, article, if the name and what marks make it an aside, the one around it, label; and the open ones
-    opened: list[tuple[str, bool, list, int, int]] = [("", False, [False, set()], 0, 0)]
+    #: of all containers: name, article, if the name and what marks make it an aside, the one around it; and the open ones
+    opened: list[tuple[str, bool, list, int]] = [("", False, [False, set()], 0)]
     stack = [0]
     inside: list[int] = []
     firsts = {"article", "main"}
@@ -66,7 +73,6 @@ def blocks(page: str) -> list[Block]:
     links = 0
     linked: list[str] = []
     heading = False
-    label = 0
 
     def close() -> None:
         nonlocal text, linked
@@ -76,7 +82,7 @@ def blocks(page: str) -> list[Block]:
                 top = opened[stack[-1]]
                 in_link = len(html.unescape(" ".join(linked)).split())
                 n = len(joined.split())
-                out.append(Block(joined, min(in_link, n), n, top[1], False, heading, max(label, top[4])))
+                out.append(Block(joined, min(in_link, n), n, top[1], heading))
                 inside.append(stack[-1])
             text, linked = [], []
 
@@ -119,13 +125,13 @@ def blocks(page: str) -> list[Block]:
                     k = next((i for i in range(len(stack) - 1, 0, -1) if opened[stack[i]][0] == name), 0)
                     if k:
                         del stack[k:]
-                    heading, label = False, 0
+                    heading = False
                 else:
-                    marks, main = _marks(m[3])
+                    marks = _marks(m[3])
                     top = opened[stack[-1]]
                     article = top[1] or name in ("article", "main")
                     marks = set() if name == "body" else marks - {"header", "masthead"} if top[1] else marks
-                    opened.append((name, article, [name in ASIDE and not (name == "header" and top[1]), marks], stack[-1], main or top[4]))
+                    opened.append((name, article, [name in ASIDE and not (name == "header" and top[1]), marks], stack[-1]))
                     stack.append(len(opened) - 1)
                     if name in firsts:
                         # what holds the page's first article is no aside by its marks, unless they name a list; nor is a form around it
@@ -133,39 +139,34 @@ def blocks(page: str) -> list[Block]:
                         for c in (opened[k] for k in stack):
                             c[2][1] = c[2][1] if c[2][1] & LISTS else set()
                             c[2][0] = c[2][0] and c[0] != "form"
-                    heading, label = False, 0
+                    heading = False
             elif closing:
-                heading, label = False, 0
+                heading = False
             else:
                 heading = len(name) == 2 and name[0] == "h" and name[1].isdigit()
-                label = _marks(m[3])[1] if "data-main" in m[3] else 0
     close()
-    aside = [False]
-    for _, _, own, around, _ in opened[1:]:
-        aside.append(any(own) or aside[around])
+    within = [(False, False, False)]
+    for _, _, (landmark, marks), around in opened[1:]:
+        own = landmark, bool(marks & LISTS), bool(marks - LISTS)
+        within.append(tuple(x or y for x, y in zip(own, within[around], strict=True)))
     for b, k in zip(out, inside, strict=True):
-        b.in_aside = aside[k]
+        b.landmark, b.listed, b.marked = within[k]
     return out
 
 
-def _marks(attributes: str) -> tuple[set[str], int]:
-    """The marks among whole names of class, id and role, or in compound names of marks and words beside them; and the label."""
+def _marks(attributes: str) -> set[str]:
+    """The marks among whole names of class, id and role, or in compound names of marks and words beside them."""
     marks: set[str] = set()
-    main = 0
-    for key, *value in _ATTRIBUTE.findall(attributes or ""):
-        v = "".join(value)
-        if key.lower() == "data-main":
-            main = int(v or 0)
-        else:
-            for token in v.lower().split():
-                parts = set(_PART.findall(token))
-                if parts <= MARKS | BESIDE:
-                    marks |= parts & MARKS
-    return marks, main
+    for _, *value in _ATTRIBUTE.findall(attributes or ""):
+        for token in "".join(value).lower().split():
+            parts = set(_PART.findall(token))
+            if parts <= MARKS | BESIDE:
+                marks |= parts & MARKS
+    return marks
 
 
 #: The columns of the labelled table and of the tree.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "in_aside", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "heading", "landmark", "listed", "marked")
 
 
 def features(found: list[Block]) -> np.ndarray:
@@ -173,47 +174,116 @@ def features(found: list[Block]) -> np.ndarray:
     n = len(found)
     w = np.array([0, *[min(b.words, 200) for b in found], 0], dtype=float)
     d = np.array([0, *[b.linked / b.words for b in found], 0], dtype=float)
-    where = np.array([[b.in_article, b.in_aside, b.heading] for b in found], dtype=float).reshape(n, 3)
+    where = np.array([[b.in_article, b.heading, b.landmark, b.listed, b.marked] for b in found], dtype=float).reshape(n, 5)
     return np.column_stack([w[1:-1], d[1:-1], w[:-2], d[:-2], w[2:], d[2:], where])
 
 
-def _page(body: str) -> str:
-    return f"<html><head><title>x y</title></head><body>{body}</body></html>"
+#: What the words of the labelled pages begin with: the article's, and all others.
+MAIN, REST = "m", "x"
+
+
+def labelled_pages(n: int = 800, seed: int = 3) -> list[str]:
+    """The small labelled table, as pages of made-up words: those of the article begin with MAIN, all others with REST.
+
+    Layouts are drawn anew for each page: articles in an article or main element or in plain containers; menus, adverts, notices and
+    footers with a name, with an element, or with neither, so that only counts tell them apart.
+    """
+    rng = random.Random(seed)
+    return [_page(rng) for _ in range(n)]
+
+
+def _words(start: str, n: int) -> str:
+    return " ".join([f"{start}y"] * n)
+
+
+#: Words in a part that an element or a name gives away, however long it is.
+SIZES = (2, 4, 8, 15, 30, 60, 120, 200)
+
+
+def _prose(rng: random.Random) -> str:
+    n = rng.choice(SIZES)
+    return _words(REST, n) + (f" <a href=/l>{_words(REST, rng.randint(1, 4))}</a>" if rng.random() < 0.4 else "")
 
 
-def _prose(n: int) -> str:
-    return " ".join(["word"] * n)
+def _links(rng: random.Random, n: int, most: int = 3) -> str:
+    return "".join(f"<li><a href=/{i}>{_words(REST, rng.randint(1, most))}</a></li>" for i in range(n))
 
 
-def labelled_pages(variants: int = 12) -> list[str]:
-    """The small labelled table, as pages whose article blocks carry data-main=1: layouts with and without article elements, each
-    with paragraphs of other lengths (from one word to some hundred) in each variant."""
-    lengths = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 200]
-    return [_page(body) for v in range(variants) for body in _layouts(lambda k, v=v: lengths[(5 * v + 7 * k) % len(lengths)], v)]
+def _row(rng: random.Random) -> str:
+    return " ".join(f"<a href=/{i}>{_words(REST, rng.randint(1, 4))}</a>" for i in range(rng.randint(5, 30)))
 
 
-def _layouts(size, v: int) -> list[str]:
-    menu = "<nav><ul>" + "".join(f'<li><a href="/{i}">{_prose(1 + (i + v) % 3)}</a></li>' for i in range(5)) + "</ul></nav>"
-    foot = f"<footer><p>&copy; some site</p><p><a href=/t>terms of use</a> <a href=/p>privacy</a></p><p>{_prose(size(1))}</p></footer>"
-    ad = f'<div class="ad">{_prose(size(2))}</div>'
-    notes = f'<div id="comments"><h3>3 comments</h3><p>{_prose(size(3))}</p><p>{_prose(size(4))}</p></div>'
-    side = f'<aside><h2>Related</h2><ul><li><a href=/r>{_prose(6)}</a></li><li>{_prose(size(5))}</li></ul></aside>'
-    form = f"<form><p>{_prose(size(6))}</p><label>name here</label><button>send now</button></form>"
-    notice = f'<div class="cookie-notice">{_prose(size(7))}</div>'
-    story = lambda n: "".join(f"<p data-main=1>{_prose(size(k))}</p>" for k in range(n))
-    long = lambda n: "".join(f"<p data-main=1>{_prose(max(18, size(k)))}</p>" for k in range(n))
-    head = f"<h1 data-main=1>{_prose(3 + v % 7)}</h1>"
-    linked = f"<p data-main=1>{_prose(size(8))} <a href=/q>{_prose(3)}</a> {_prose(size(9))}</p>"
-    rest = f"<div><p>{_prose(2)}</p><p><a href=/c>{_prose(5)}</a></p></div>"
-    return [
-        menu + ad + f"<article>{head}" + story(7) + "</article>" + foot,
-        f'<div class="site-header"><p>{_prose(size(10))}</p></div>{menu}<main>{head}{linked}{story(4)}</main>{side}{notes}{foot}',
-        f"{menu}<article><header>{head}</header>{story(3)}{ad}{linked}{form}{notes}</article>{foot}",
-        f"<article><p data-main=1><a href=/x>{_prose(size(0))}</a></p>{story(3)}<ul><li data-main=1>{_prose(size(2))}</li></ul></article>{side}{foot}",
-        f'{notice}{menu}<div class="content"><h2 data-main=1>{_prose(3 + v % 5)}</h2>{long(5)}</div>{side}{foot}',
-        f"<div><a href=/a>{_prose(2)}</a> <a href=/b>{_prose(2)}</a></div>{rest}<div>{long(6)}</div>{rest}{foot}",
-        f"<div><ul><li><a href=/a>one two</a></li><li><a href=/b>three</a></li></ul></div><div>{head}{long(4)}</div><div><a href=/z>{_prose(12)}</a></div>{notes}",
-    ]
+def _before(rng: random.Random, plain: bool) -> str:
+    """A part that stands before the article; `plain` ones have neither an element nor a name that says so."""
+    kind = rng.choice(["menu", "banner", "advert", "notice"])
+    if kind == "menu":
+        body = f"<ul>{_links(rng, rng.randint(3, 9))}</ul>"
+        if plain and rng.random() < 0.5:  # many links in a row
+            body = f"<p>{_row(rng)}</p>"
+        return f"<div>{body}</div>" if plain else rng.choice([f"<nav>{body}</nav>", f'<div class="main-menu">{body}</div>', f"<header>{body}</header>"])
+    name = {"banner": "site-header", "advert": rng.choice(["ad", "sponsored", "promo"]), "notice": rng.choice(["cookie-notice", "alert", "newsletter"])}[kind]
+    if plain:
+        return f"<div><p>{_words(REST, rng.randint(1, 9))}</p></div>"
+    return rng.choice([f'<div class="{name}">{_prose(rng)}</div>', f"<header><p>{_prose(rng)}</p></header>", f"<aside><p>{_prose(rng)}</p></aside>"])
+
+
+def _after(rng: random.Random, plain: bool) -> str:
+    """A part that stands after the article."""
+    kind = rng.choice(["foot", "related", "comments", "form"])
+    if kind == "comments":  # nothing but a name tells readers' prose from the author's
+        return f'<div id="comments"><h3>{_words(REST, 2)}</h3>' + "".join(f"<p>{_prose(rng)}</p>" for _ in range(rng.randint(1, 4))) + "</div>"
+    if kind == "related":
+        body = f"<h4>{_words(REST, 2)}</h4>" + (f"<p>{_row(rng)}</p>" if plain and rng.random() < 0.5 else f"<ul>{_links(rng, rng.randint(2, 6), 9)}</ul>")
+        return f"<div>{body}</div>" if plain else rng.choice([f"<aside>{body}<p>{_prose(rng)}</p></aside>", f'<div class="related">{body}</div>', f'<div id="sidebar">{body}</div>'])
+    if kind == "form":
+        body = f"<p>{_words(REST, rng.randint(2, 12)) if plain else _prose(rng)}</p>"
+        return f"<div>{body}</div>" if plain else f"<form>{body}<label>{_words(REST, 2)}</label><button>{_words(REST, 1)}</button></form>"
+    body = f"<p>{_words(REST, rng.randint(2, 10)) if plain else _prose(rng)}</p>" + (f"<p><a href=/t>{_words(REST, 3)}</a> <a href=/p>{_words(REST, 1)}</a></p>" if rng.random() < 0.6 else "")
+    return f"<div>{body}</div>" if plain else rng.choice([f"<footer>{body}</footer>", f'<div class="footer">{body}</div>'])
+
+
+def _page(rng: random.Random) -> str:
+    element = rng.choice(["article", "main", "div"])
+    sure = element in ("article", "main")
+    n = rng.randint(1, 8) if sure else rng.randint(3, 8)
+    lengths = [rng.choice([1, 2, 4, 8, 15, 30, 60, 120, 200]) for _ in range(n)] if sure else [rng.choice([22, 30, 45, 60, 90, 120, 200]) for _ in range(n)]
+    if not sure and n > 3 and rng.random() < 0.4:
+        lengths[rng.randint(1, n - 2)] = rng.randint(4, 12)
+    story = []
+    for k in lengths:
+        p = _words(MAIN, k)
+        if k > 10 and rng.random() < 0.3:
+            p += f" <a href=/q>{_words(MAIN, 3)}</a> {_words(MAIN, 5)}"
+        story.append(f"<p>{p}</p>" if rng.random() < 0.9 or not sure else f"<ul><li>{p}</li></ul>")
+    if sure:
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            story.insert(rng.randint(0, len(story)), rng.choice([f'<div class="ad">{_prose(rng)}</div>', f'<div class="share">{_words(REST, 2)}</div>', _after(rng, False)]))
+    title = f"<h1>{_words(MAIN, rng.choice([2, 4, 6, 9, 15, 25, 60]))}</h1>" if rng.random() < 0.85 else ""
+    if element == "article" and rng.random() < 0.3:
+        title = f"<header>{title}</header>"
+    body = f"<{element}>{title}{''.join(story)}</{element}>"
+    parts = [_before(rng, rng.random() < 0.4) for _ in range(rng.randint(1, 3))] + [body] + [_after(rng, rng.random() < 0.4) for _ in range(rng.randint(1, 3))]
+    return f"<html><head><title>t</title></head><body>{''.join(parts)}</body></html>"
+
+
+def labels(found: list[Block]) -> np.ndarray:
+    """Of blocks of labelled pages, whether they are the article's."""
+    return np.array([b.text.startswith(MAIN) for b in found], dtype=int)
+
+
+def by_names_alone(x: np.ndarray) -> np.ndarray:
+    """What elements and names say without any count: the yardstick that the tree is held against."""
+    return ~x[:, [FEATURES.index(c) for c in ("landmark", "listed", "marked")]].any(axis=1)
+
+
+def accuracy(decide: Callable[[np.ndarray], np.ndarray], n: int = 200, seed: int = 1003) -> tuple[float, float]:
+    """Precision and recall, by words, of a decision over labelled pages drawn with another seed."""
+    found = [blocks(p) for p in labelled_pages(n, seed)]
+    x, y = np.concatenate([features(b) for b in found]), np.concatenate([labels(b) for b in found])
+    size = np.array([b.words for page in found for b in page])
+    kept = decide(x)
+    right = size[kept & (y == 1)].sum()
+    return float(right / max(1, size[kept].sum())), float(right / max(1, size[y == 1].sum()))
 
 
 @dataclass
@@ -234,8 +304,21 @@ class Tree:
         out[low], out[~low] = self.low.decide(x[low]), self.high.decide(x[~low])
         return out
 
-
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
+    def deciding(self, x: np.ndarray) -> dict[str, float]:
+        """Of each feature, the share of the rows that a split by it sees on their way."""
+        total: dict[str, float] = {}
+        todo = [(self, np.ones(len(x), dtype=bool))]
+        while todo:
+            node, at = todo.pop()
+            if node.feature >= 0 and at.any():
+                name = FEATURES[node.feature]
+                total[name] = total.get(name, 0.0) + float(at.mean())
+                low = x[:, node.feature] <= node.limit
+                todo += [(node.low, at & low), (node.high, at & ~low)]
+        return total
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 4) -> Tree:
     """A tree by least Gini impurity; ties go to the first feature and the lowest limit."""
     leaf = Tree(main=bool(2 * y.sum() > len(y)))
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
@@ -261,7 +344,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
 
 def trained_tree() -> Tree:
     found = [blocks(p) for p in labelled_pages()]
-    return grow(np.concatenate([features(b) for b in found]), np.array([b.label for page in found for b in page]))
+    return grow(np.concatenate([features(b) for b in found]), np.concatenate([labels(b) for b in found]))
 
 
 def main_text(page: str | None, tree: Tree) -> str:
@@ -274,9 +357,9 @@ def main_text(page: str | None, tree: Tree) -> str:
 
 
 def extract_main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:
-    """Add text: the main text of the whole page (null or empty page, or none found: empty).
+    """Add text: the main text of the whole page (null or empty page, or none found: empty), however long it is.
 
-    Repeated rows are read alike; a column named text is replaced, all others are kept.
+    Repeated rows are read alike, an empty table gives no rows; a column named text is replaced, all others are kept.
     """
     tree = trained_tree()
 
