@@ -81,13 +81,30 @@ def folders(spark: SparkSession) -> list[str]:
     return sc._orrery_folders
 
 
-def drop_folders(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the folders made after the first `keep`: to be called when all that was read from them has been written."""
+def drop_folders(spark: SparkSession, first: int = 0, last: int | None = None) -> None:
+    """Delete the folders made from the `first` on, up to the `last`: to be called when all that was read from them has been written."""
     made = folders(spark)
-    for path in made[keep:]:
+    for path in made[first:last]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    del made[keep:]
+    del made[first:last]
+
+
+def settled(df: DataFrame, name: str, first: int) -> DataFrame:
+    """shared_table(), and all folders made from the `first` on are deleted: `df` was the last to read from them."""
+    out = shared_table(df, name)
+    drop_folders(df.sparkSession, first, -1)
+    return out
+
+
+#: Rows of a table of row numbers that is broadcast (16 bytes each or so in a hash table); more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def without_rows(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """The rows of `df` whose key isn't in the written table `rows`. If that is small, `df` stays where it is."""
+    known = rows.select(key)
+    return df.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, key, "left_anti")
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -96,6 +113,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def type_of(df: DataFrame, column: str) -> str:
+    """A column's type, as it is written in a schema."""
+    return df.select(column).schema[0].dataType.simpleString()
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

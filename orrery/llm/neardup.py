@@ -13,7 +13,6 @@ several components go through an exact prefix filter, in which pairs that are al
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import add_columns, bound_batches, shared_table, without
+from orrery.llm.common import add_columns, bound_batches, folders, settled, shared_table, type_of, without
 from orrery.llm.graph import components
 
 
@@ -217,7 +216,8 @@ def _estimated(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
             keep = pa.array(likelihood_keeps(get("ra"), get("rb"), size("na"), size("nb"), p))
             yield batch.select(["a", "b"]).filter(keep)
 
-    return joined.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, "a long, b long")
+    kind = type_of(pairs, "a")
+    return joined.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def exact_set(text: str | None, width: int) -> set:
@@ -226,41 +226,54 @@ def exact_set(text: str | None, width: int) -> set:
     return set(zip(*[w[i:] for i in range(width)], strict=False)) if len(w) >= width else ({tuple(w)} if w else set())
 
 
+#: Pairs of one id that a task checks at a time: an id with more has its text sent to more tasks.
+PAIRS_A_TASK = 2000
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """The pairs whose full sets reach the threshold; each side's text comes by a join, sets are kept for the next rows."""
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    """The pairs whose full sets reach the threshold.
 
-    def run(batches):
-        held: OrderedDict[str, set] = OrderedDict()
-
-        def get(text: str | None) -> set:
-            key = text or ""
-            if key in held:
-                held.move_to_end(key)
-                return held[key]
-            held[key] = exact_set(text, p.shingle)
-            if len(held) > 32:
-                held.popitem(last=False)
-            return held[key]
+    The side that has more pairs is the head. Each pair takes the other side's text along; the head's text comes once for some
+    thousand pairs, before them in order, so a task holds two sets at a time and no text is repeated for each of its pairs.
+    """
+    count = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    counted = pairs.join(count.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(count.withColumnsRenamed({"id": "b", "n": "nb"}), "b")
+    swap = F.col("nb") > F.col("na")
+    side = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
+    parts = F.ceil(F.greatest("na", "nb") / F.lit(PAIRS_A_TASK)).cast("int")
+    told = counted.select(side("b", "a").alias("head"), side("a", "b").alias("id"), parts.alias("parts"))
+    told = shared_table(told.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")), "heads")
+    heads = told.select("head", "part").distinct().join(texts.withColumnRenamed("id", "head"), "head").select("head", "part", F.lit(None).cast(type_of(pairs, "a")).alias("id"), "text")
+    tails = told.join(texts, "id").select("head", "part", "id", "text")
+    dealt = heads.unionByName(tails).repartition("head", "part").sortWithinPartitions("head", "part", F.asc_nulls_first("id"))
 
+    def run(batches):
+        head, own = None, set()
         for batch in batches:
             keep = []
-            for k in range(batch.num_rows):
-                x, y = get(batch.column("ta")[k].as_py()), get(batch.column("tb")[k].as_py())
-                both = len(x & y)
-                keep.append(bool(x) and 100 * both >= p.percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for h, i, t in zip(*[batch.column(c).to_pylist() for c in ("head", "id", "text")], strict=True):
+                if i is None:
+                    head, own = h, exact_set(t, p.shingle)
+                    keep.append(False)
+                    continue
+                other = exact_set(t, p.shingle)
+                both = len(own & other)
+                keep.append(h == head and bool(own) and 100 * both >= p.percent * (len(own) + len(other) - both))
+            yield batch.select(["head", "id"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    bound_batches(pairs.sparkSession)
+    kind = type_of(pairs, "a")
+    linked = dealt.mapInArrow(run, f"head {kind}, id {kind}")
+    return linked.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b")).distinct()
 
 
 def _check(pairs: DataFrame, sets: DataFrame, documents: DataFrame, text: str, p: Params, name: str) -> DataFrame:
     """Candidate pairs (a < b) -> links, with a sketch filter and then full sets; only the texts in question are moved."""
+    first = len(folders(pairs.sparkSession))
     may = shared_table(_estimated(pairs, sets, p), f"{name}_may")
     wanted = may.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = documents.select(F.col("doc_id").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    return shared_table(_verified(may, shared_table(texts, f"{name}_texts"), p), f"{name}_links")
+    return settled(_verified(may, shared_table(texts, f"{name}_texts"), p), f"{name}_links", first)
 
 
 def _labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -273,29 +286,29 @@ def _members(every: DataFrame) -> DataFrame:
     The pivot is the member that shares most buckets with most others: of a group of edited copies, the one they come from.
     """
     several = shared_table(every.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("bucket", "n"), "band_buckets")
-    kept = shared_table(every.join(several, "bucket").select("bucket", "id", "n").distinct(), "band_kept")
+    kept = shared_table(every.join(several, "bucket").select("bucket", "id", "n"), "band_kept")
     rank = kept.groupBy("id").agg(F.sum("n").alias("shared"))
     pivots = kept.join(rank, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("shared"), F.col("id").alias("id")))["id"].alias("pivot"))
     return shared_table(kept.join(pivots, "bucket").select("bucket", "id", "pivot"), "band_members")
 
 
-#: Counters of the fixed-size table of shingle frequencies.
-COUNTERS = 1 << 18
+#: Bits of the least and the largest table of shingle frequencies: the largest has 32 MB.
+COUNTER_BITS = (12, 22)
 
 
-def _frequencies(texts: DataFrame, p: Params) -> np.ndarray:
-    """How often shingles occur, by the low bits of their hashes: a table whose size doesn't depend on the input."""
+def _frequencies(texts: DataFrame, p: Params, bits: int) -> np.ndarray:
+    """How often shingles occur, by the low bits of their hashes."""
 
     def run(batches):
         shingler = Shingler(p.shingle)
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
             for t in (x.as_py() for x in batch.column("text")):
-                total += np.bincount((shingler.shingles(t) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(total, (shingler.shingles(t) & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
-    out = np.zeros(COUNTERS, dtype=np.int64)
+    out = np.zeros(1 << bits, dtype=np.int64)
     counted = texts.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     out[counted["k"].to_numpy()] = counted["n"].to_numpy()
     return out
@@ -304,22 +317,29 @@ def _frequencies(texts: DataFrame, p: Params) -> np.ndarray:
 def _prefixes(texts: DataFrame, p: Params) -> DataFrame:
     """Rows (bucket, id, place, size) of an exact filter: two sets at the threshold share one of the first items of each.
 
-    All sets are put in one order, the rarest shingles (by a fixed-size table of counts) first; of a set of n, the first
+    All sets are put in one order, the rarest shingles first by a table of counts, whose size follows the input up to a bound (beyond
+    it shingles share counters, which makes the order less good but loses nothing); of a set of n, the first
     n - ceil(percent n / 100) + 1 are taken.
     """
-    counts = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, p))
+    # a shingle has some six characters of text at least
+    size = texts.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    bits = int(np.clip(np.ceil(np.log2(max(1, size / 6 * 2))), *COUNTER_BITS))
+    counts = texts.sparkSession.sparkContext.broadcast(_frequencies(texts, p, bits).astype(np.uint32 if size < 1 << 32 else np.int64))
+    kind = type_of(texts, "id")
 
     def run(batches):
         shingler = Shingler(p.shingle)
+        low = np.uint64((1 << bits) - 1)
         for batch in batches:
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for k, t in enumerate(batch.column("text").to_pylist()):
                 s = shingler.shingles(t)
                 n = len(s)
                 first = n - -(-n * p.percent // 100) + 1
-                order = np.lexsort((s, counts.value[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:first]
-                yield pa.RecordBatch.from_arrays([pa.array(s[order].view(np.int64)), pa.array(np.full(len(order), i)), pa.array(np.arange(1, len(order) + 1)), pa.array(np.full(len(order), n))], names=["bucket", "id", "place", "size"])
+                order = np.lexsort((s, counts.value[(s & low).astype(np.int64)]))[:first]
+                ids = batch.column("id").take(pa.array(np.full(len(order), k)))
+                yield pa.RecordBatch.from_arrays([pa.array(s[order].view(np.int64)), ids, pa.array(np.arange(1, len(order) + 1)), pa.array(np.full(len(order), n))], names=["bucket", "id", "place", "size"])
 
-    return texts.select("id", "text").mapInArrow(run, "bucket long, id long, place long, size long")
+    return texts.select("id", "text").mapInArrow(run, f"bucket long, id {kind}, place long, size long")
 
 
 def _rest(ids: DataFrame, comp: DataFrame, sets: DataFrame, documents: DataFrame, text: str, p: Params) -> DataFrame:
@@ -328,6 +348,7 @@ def _rest(ids: DataFrame, comp: DataFrame, sets: DataFrame, documents: DataFrame
     In each bucket only members outside its largest component are compared with others. A pair must fit by sizes, by its place (what
     is left of both sets after a shared item bounds the intersection) and by the sketches' low bits before it becomes a row.
     """
+    first = len(folders(ids.sparkSession))
     texts = shared_table(documents.select(F.col("doc_id").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi"), "rest_texts")
     every = shared_table(_prefixes(texts, p), "rest_prefixes")
     several = every.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("bucket")
@@ -343,11 +364,11 @@ def _rest(ids: DataFrame, comp: DataFrame, sets: DataFrame, documents: DataFrame
     fits = (100 * F.least("sizea", "sizeb") >= p.percent * F.greatest("sizea", "sizeb")) & ((100 + p.percent) * left >= p.percent * (c("sizea") + c("sizeb")))
     pairs = side(marked.where("outside"), "a").join(side(marked, "b"), "bucket").where(apart & fits & low_bits_allow("lowa", "lowb", p))
     pairs = pairs.select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b")).distinct()
-    return _check(pairs, sets, documents, text, p, "rest")
+    return settled(_check(pairs, sets, documents, text, p, "rest"), "rest", first)
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", p: Params = Params()) -> DataFrame:  # noqa: B008
-    """One row for each row of `documents`: doc_id, n_shingles, component_id and kept.
+    """One row for each row of `documents`: doc_id (of any type that can be compared), n_shingles, component_id and kept.
 
     component_id is the smallest doc_id that the document is linked with, directly or through others, itself included; kept says
     whether that is its own. Texts without words (null, empty) are linked with nothing. Rows that share a doc_id are one vertex;
@@ -358,7 +379,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", p: Params = Params
     sketch = shared_table(without(sketches(source, p, text), text), "sketches")
     known = sketch.where(F.col("doc_id").isNotNull() & F.col("set_a").isNotNull())
     sets = shared_table(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("registers").alias("registers"), F.first("bands").alias("bands"), F.first("low").alias("low")), "sets")
-    every = sets.select("id", F.explode("bands").alias("bucket"))
+    every = sets.select("id", F.explode(F.array_distinct("bands")).alias("bucket"))
     members = _members(every)
     stars = members.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = _check(stars, sets, source, text, p, "star")
@@ -376,5 +397,5 @@ def near_duplicates(documents: DataFrame, text: str = "text", p: Params = Params
     tied = tied.unionByName(rows.where("doc_id != first").join(sets.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     comp = components(links.unionByName(tied).distinct())
     found = rows.join(comp.withColumnRenamed("id", "first"), "first", "left")
-    component = F.coalesce("component", "first", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "first", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
