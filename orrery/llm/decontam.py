@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import Kept, bound_batches, shared_table
+from orrery.llm.common import bound_batches, shared_table, type_of
 
 #: Units of measure and money, lower-cased (fixed values).
 UNITS = frozenset(
@@ -40,32 +40,51 @@ class Params:
     window: int = 8
     least: float = 0.4
     agree: float = 0.8
-    filter_bits: int = 24
+    sparse: int = 8
+    filter_bits: int = 29
+
+
+class _Places(dict):
+    """The place of each known word; a new word is added."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, word: str) -> int:
+        return self.add(word)
 
 
 class Canonicaliser:
-    """Template hashes and slot values of texts; words' forms are kept from text to text, up to a bound."""
+    """Template hashes and slot values of texts.
 
-    def __init__(self, window: int, kept: int = 60_000):
-        self.window = window
-        self.forms: dict[str, tuple[int, int, int, bool]] = Kept(self._form, kept)
-        self.place = (np.arange(1, window + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    Words' forms stand in arrays, and a word's place there is kept from text to text: up to `kept` words, or as many as one text has.
+    """
 
-    def _form(self, word: str) -> tuple[int, int, int, bool]:
-        """Of a word: template hash at the start of a sentence, elsewhere, the kind of slot elsewhere, and if it ends a sentence."""
+    def __init__(self, window: int, kept: int = 150_000):
+        self.window, self.kept = window, kept
+        self.place = (np.arange(1, window + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        self.known: dict[str, int] = _Places(self._add)
+        #: Of each known word: template hash at the start of a sentence and elsewhere, the kind of slot elsewhere, if it ends a sentence.
+        self.opening, self.inner = np.zeros(1024, dtype=np.uint64), np.zeros(1024, dtype=np.uint64)
+        self.kind, self.ends = np.zeros(1024, dtype=np.int8), np.zeros(1024, dtype=bool)
+
+    def _add(self, word: str) -> int:
+        """The place of a new word's form."""
+        at = len(self.known)
+        if at == len(self.kind):
+            self.opening, self.inner, self.kind, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.opening, self.inner, self.kind, self.ends))
         bare = _EDGE.sub("", word)
         low = bare.lower()
-        ends = word[-1:] in ".!?" or word[-2:-1] in ".!?"
-        h = xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace"))
-        if not bare:
-            return 0, 0, 0, ends
-        if _NUMBER.fullmatch(bare):
-            return NUMBER, NUMBER, NUMBER, ends
-        if low in UNITS and len(low) > 1:
-            return UNIT, UNIT, UNIT, ends
-        if bare[0].isupper() and not bare.isupper():
-            return h, NAME, NAME, ends
-        return h, h, 0, ends
+        first, kind = (xxhash.xxh3_64_intdigest(low.encode("utf-8", "replace")), 0) if bare else (0, 0)
+        if bare and _NUMBER.fullmatch(bare):
+            first = kind = NUMBER
+        elif low in UNITS and len(low) > 1:
+            first = kind = UNIT
+        elif bare and bare[0].isupper() and not bare.isupper():
+            kind = NAME
+        self.opening[at], self.inner[at], self.kind[at], self.ends[at] = first, kind or first, kind, word[-1:] in ".!?" or word[-2:-1] in ".!?"
+        self.known[word] = at
+        return at
 
     def windows(self, text: str | None, narrow: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, list[str], dict[int, np.ndarray]]:
         """Hash of each window of template tokens by place, the slot kind of each token, the tokens, and by width the hashes of the
@@ -75,25 +94,27 @@ class Canonicaliser:
         fewer tokens than a window is one window. The first token of a narrow window is taken as the start of a sentence, as it is
         in an item.
         """
-        hashes, kinds, words, opening = [], [], [], []
-        forms = self.forms
+        if len(self.known) > self.kept:
+            self.known.clear()
+        words, counts = [], []
         for line in (text or "").split("\n"):
-            start = True
-            for w in line.split():
-                f = forms[w]
-                if f[0]:
-                    hashes.append(f[0] if start else f[1])
-                    kinds.append(f[2] if not start or f[2] != NAME else 0)
-                    words.append(w)
-                    if narrow:
-                        opening.append(f[0])
-                    start = f[3]
-        n = len(hashes)
-        h, k = np.array(hashes, dtype=np.uint64), np.array(kinds, dtype=np.int8)
+            own = line.split()
+            words += own
+            counts.append(len(own))
+        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        opening = self.opening[at]
+        lines = np.repeat(np.arange(len(counts)), counts)
+        if not opening.all():  # 0: a word of punctuation alone
+            real = np.flatnonzero(opening)
+            at, opening, lines, words = at[real], opening[real], lines[real], [words[i] for i in real]
+        n = len(at)
         if not n:
-            return h, k, words, {}
-        first = np.array(opening, dtype=np.uint64)
-        return self._hashes(h, h, min(n, self.window)), k, words, {w: self._hashes(h, first, w) for w in narrow if w <= n}
+            return opening, self.kind[at], words, {}
+        start = np.ones(n, dtype=bool)
+        start[1:] = self.ends[at[:-1]] | (lines[1:] != lines[:-1])
+        h, k = np.where(start, opening, self.inner[at]), self.kind[at]
+        k = np.where(start & (k == NAME), np.int8(0), k)
+        return self._hashes(h, h, min(n, self.window)), k, words, {w: self._hashes(h, opening, w) for w in narrow if w <= n}
 
     def _hashes(self, h: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
         """Hashes of the windows of a width, with the first token of each as in `first`."""
@@ -125,20 +146,20 @@ def benchmark_windows(benchmark: DataFrame, p: Params, item: str = "item_id", te
     def run(batches):
         c = Canonicaliser(p.window)
         for batch in batches:
+            schema = pa.schema([("item_id", batch.schema.field("item").type), ("n_windows", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.string())), ("width", pa.int32()), ("wordless", pa.bool_())])
             for i, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h, kinds, words, _ = c.windows(t)
                 width = min(len(words), p.window)
                 rows = [{"item_id": i, "n_windows": len(h), "hash": int(x.view(np.int64)), "at": k, "slots": c.slots(k, kinds, words), "width": width, "wordless": bool(kinds[k : k + width].all())} for k, x in enumerate(h)]
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("item_id", pa.int64()), ("n_windows", pa.int32()), ("hash", pa.int64()), ("at", pa.int32()), ("slots", pa.list_(pa.string())), ("width", pa.int32()), ("wordless", pa.bool_())]))
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    source = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, f"item_id long, n_windows int, {_WINDOW_TYPE}")
+    source = benchmark.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(run, f"item_id {type_of(benchmark, item)}, n_windows int, {_WINDOW_TYPE}")
 
 
 def _filter(windows: DataFrame, bits: int) -> bytes:
-    """A bitmap of 2^bits bits in which the low bits of every benchmark window's hash are set: its size is fixed, however large the
-    benchmark."""
+    """A bitmap of 2^bits bits in which the low bits of every benchmark window's hash are set."""
     places = windows.select(F.pmod("hash", F.lit(1 << bits)).alias("k")).distinct()
     packed = places.groupBy(F.expr("k div 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, CAST(k % 8 AS INT))")).alias("v"))
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
@@ -147,20 +168,27 @@ def _filter(windows: DataFrame, bits: int) -> bytes:
     return out.tobytes()
 
 
+def filter_bits(windows: DataFrame, p: Params) -> int:
+    """Bits of the bitmap's size for these windows: `sparse` places a window, so that one window of 2^`sparse` of other texts passes,
+    from 2^16 up to 2^`filter_bits` places (of the whole bitmap: 64 MB); beyond that, more windows pass and the join drops them."""
+    n = windows.select(F.approx_count_distinct("hash")).first()[0]
+    return min(p.filter_bits, max(16, math.ceil(math.log2(max(n, 1))) + p.sparse))
+
+
 def matching_windows(documents: DataFrame, windows: DataFrame, p: Params, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Windows of the whole texts that the benchmark has too: doc key, digest of the text, place in it, item, n_windows, at (in the
     item), slots of both sides."""
     spark = documents.sparkSession
     narrow = tuple(sorted(r.width for r in windows.where(F.col("width") < p.window).select("width").distinct().collect()))
-    bitmap = spark.sparkContext.broadcast(_filter(windows, p.filter_bits))
-    mask = (1 << p.filter_bits) - 1
-    source = documents.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    bits = filter_bits(windows, p)
+    bitmap = spark.sparkContext.broadcast(_filter(windows, bits))
+    mask = (1 << bits) - 1
+    source = documents.select(F.col(doc).alias("doc"), F.col(text).cast("string").alias("text"))
     bound_batches(spark)
 
     def run(batches):
         c = Canonicaliser(p.window)
         known = np.frombuffer(bitmap.value, dtype=np.uint8)
-        schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))])
 
         def hits(h):
             low = h & np.uint64(mask)
@@ -175,9 +203,10 @@ def matching_windows(documents: DataFrame, windows: DataFrame, p: Params, doc: s
                 if found:
                     row = xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) - (1 << 63)
                     rows += [{"doc": i, "row": row, "hash": int(x.view(np.int64)), "place": k, "slots": v} for x, k, v in found]
+            schema = pa.schema([("doc", batch.schema.field("doc").type), ("row", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))])
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    found = source.mapInArrow(run, "doc long, row long, hash long, place int, slots array<string>")
+    found = source.mapInArrow(run, f"doc {type_of(documents, doc)}, row long, hash long, place int, slots array<string>")
     theirs = windows.select("hash", "item_id", "n_windows", "at", F.col("slots").alias("item_slots"), ((F.col("width") < p.window) & F.col("wordless")).alias("own_only"))
     return found.join(theirs, "hash").where((F.size("slots") == F.size("item_slots")) & (~F.col("own_only") | (F.col("slots") == F.col("item_slots")))).select("doc", "row", "place", "item_id", "n_windows", "at", "slots", "item_slots")
 
@@ -264,8 +293,16 @@ def _judge(p: Params):
                 exact, n_matched, n_consistent, n_slots = found
                 out.append({"doc_id": key[0], "item_id": key[1], "n_matched": n_matched, "n_windows": n_windows, "n_slots": n_slots, "n_consistent": n_consistent, "exact": exact})
 
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_matched", pa.int64()), ("n_windows", pa.int32()), ("n_slots", pa.int64()), ("n_consistent", pa.int64()), ("exact", pa.bool_())])
+        schema = None
+
+        def told():
+            got = pa.RecordBatch.from_pylist(out, schema=schema)
+            out.clear()
+            return got
+
+        types = lambda batch: pa.schema([("doc_id", batch.schema.field("doc").type), ("item_id", batch.schema.field("item_id").type), ("n_matched", pa.int64()), ("n_windows", pa.int32()), ("n_slots", pa.int64()), ("n_consistent", pa.int64()), ("exact", pa.bool_())])
         for batch in batches:
+            schema = types(batch)
             columns = [batch.column(c).to_pylist() for c in ("doc", "item_id", "row", "place", "at", "n_windows", "slots", "item_slots")]
             for d, i, r, place, at, n, slots, item_slots in zip(*columns, strict=True):
                 if key != (d, i):
@@ -280,11 +317,10 @@ def _judge(p: Params):
                     hits.append((place, at, slots, item_slots))
                     whole.add(at, slots, item_slots)
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-                out.clear()
+                yield told()
         if key is not None:
             close_pair()
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+            yield told()
 
     return run
 
@@ -298,10 +334,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, p: Params = Params(
     Columns: doc_id, item_id, n_matched (distinct windows of the item), n_windows, n_slots and n_consistent (of the item's slot
     values in these windows, and how many stand for one value of the document), exact (all slots have the item's own values), all of
     the best occurrence. Null and empty texts and items hold nothing; documents with equal doc_id count as one, and a null doc_id is
-    reported as null. Empty tables give no rows. Items of fewer tokens than a window are found as a whole, anywhere in a text; one
+    reported as null. Ids may be of any type that can be compared. Empty tables give no rows, very long texts are read whole, other
+    columns are not looked at. Items of fewer tokens than a window are found as a whole, anywhere in a text; one
     without any word, of numbers, names and units alone, only with its own values, as its template says nothing.
     """
     windows = shared_table(benchmark_windows(benchmark, p), "benchmark_windows")
     hits = matching_windows(documents, windows, p, doc, text)
     dealt = hits.repartition("doc", "item_id").sortWithinPartitions("doc", "item_id", "row", "place", "at")
-    return dealt.mapInArrow(_judge(p), "doc_id long, item_id long, n_matched long, n_windows int, n_slots long, n_consistent long, exact boolean")
+    return dealt.mapInArrow(_judge(p), f"doc_id {type_of(documents, doc)}, item_id {type_of(benchmark, 'item_id')}, n_matched long, n_windows int, n_slots long, n_consistent long, exact boolean")
