@@ -1,19 +1,24 @@
 """A content-addressed archive of WARC records: payloads are stored once by digest, exact record headers apart from them.
 
-Folders below the archive's path: `headers` (one row a record, with the header's bytes as written) and `payloads` (one row a
-digest). Records are rebuilt by joining the two.
+Folders below the archive's path: `headers` (one row a record, with the header's bytes as written, WARC and HTTP) and `payloads` (one
+row a digest, bucketed by it, so that a join moves headers and not payloads). Records are rebuilt by joining the two.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import shared_dir, shared_table
+from orrery.llm.common import new_folder, shared_table, type_of
 
 CRLF = "\r\n"
+END = CRLF * 2
+#: What a null id is in a record's name; no encoded id has it.
+NO_ID = "!"
 
 
 def _line(name: str, value: Column) -> Column:
@@ -21,16 +26,24 @@ def _line(name: str, value: Column) -> Column:
 
 
 def _urn(page: Column, row: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), row.cast("string"), F.lit(">"))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(page.cast("string")), F.lit(NO_ID)), F.lit(":"), row.cast("string"), F.lit(">"))
 
 
-def write_archive(pages: DataFrame, path: str, least_bytes: int = 1000) -> None:
-    """Write one record for each row of `pages` (page_id, url, html).
+def payload_table(path: str) -> str:
+    """The name under which an archive's payloads are known to the session as a bucketed table."""
+    return f"orrery_payloads_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
+
+
+def write_archive(pages: DataFrame, path: str, least_bytes: int = 1000, date: datetime | None = None, bucket_bytes: int = 32 << 20) -> None:
+    """Write one record for each row of `pages` (page_id of any type, url, html), dated `date` (null: now).
 
     The payload is the html in UTF-8 (null: empty). Of the records with equal payloads of at least `least_bytes` bytes, that with
     the largest page_id (of several, the last read; null ids come before all others) is a response and the others revisit it; all
-    smaller ones are responses. Equal payloads are told by SHA-256 and length. Other columns are not archived.
+    smaller ones are responses. Equal payloads are told by SHA-256 and length. An empty table gives an archive without records; other
+    columns are not archived.
     """
+    spark = pages.sparkSession
+    when = (date or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload"))
     slim = shared_table(rows.select("row", "page_id", "url", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("digest")), "records")
@@ -38,69 +51,88 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 1000) -> None:
     winners = slim.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(last.alias("w"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "w")
     told = slim.join(winners, ["digest", "bytes"], "left")
     revisit = F.col("w").isNotNull() & (F.col("row") != F.col("w.row"))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}"), _line("Content-Type", F.lit("text/html; charset=utf-8")), _line("Content-Length", F.col("bytes").cast("string")), F.lit(CRLF))
+    block = F.octet_length(http).cast("long") + F.when(revisit, F.lit(0)).otherwise(F.col("bytes"))
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
         _line("WARC-Record-ID", _urn(F.col("page_id"), F.col("row"))),
+        _line("WARC-Date", F.lit(when)),
         F.when(revisit, _line("WARC-Refers-To", _urn(F.col("w.page_id"), F.col("w.row")))).otherwise(F.lit("")),
         F.when(revisit, _line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
         _line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]+", " ")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        _line("Content-Type", F.lit("text/html; charset=utf-8")),
-        _line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("bytes").cast("string"))),
+        _line("Content-Type", F.lit("application/http;msgtype=response")),
+        _line("Content-Length", block.cast("string")),
         F.lit(CRLF),
+        http,
     )
     told.select("row", "digest", "bytes", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
     # the hash of equal digests is the same on the map side, so each task sends a digest's payload once
-    store = rows.select(F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), "payload").groupBy("digest", "bytes").agg(F.first("payload").alias("payload"))
-    store.write.parquet(f"{path}/payloads")
+    store = rows.select(F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"), "payload").groupBy("digest").agg(F.first("bytes").alias("bytes"), F.first("payload").alias("payload"))
+    total = slim.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    buckets = max(1, math.ceil(total / bucket_bytes))
+    spark.sql(f"DROP TABLE IF EXISTS {payload_table(path)}")
+    store.write.bucketBy(buckets, "digest").sortBy("digest").option("path", f"{path}/payloads").format("parquet").saveAsTable(payload_table(path))
+
 
+def _payloads(spark: SparkSession, path: str) -> DataFrame:
+    """The payloads, as a bucketed table if this session wrote them, else as files."""
+    name = payload_table(path)
+    return spark.table(name) if spark.catalog.tableExists(name) else spark.read.parquet(f"{path}/payloads")
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """The records' fields, read from the headers' bytes: page_id, record_type, refers_to, declared sha1, digest, bytes."""
+
+def read_headers(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """The records' fields, read from the headers' bytes: page_id, record_type, refers_to, declared sha1, digest, bytes, and the header."""
     text = F.decode("header", "UTF-8")
-    take = lambda pattern: F.regexp_extract(text, pattern, 1)
-    number = lambda pattern: F.nullif(take(pattern), F.lit("")).cast("long")
+    take = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    name = lambda field: F.url_decode(F.nullif(take(rf"\r\n{field}: <urn:page:([^:>]*):"), F.lit(NO_ID))).cast(id_type)
     return spark.read.parquet(f"{path}/headers").select(
         "row",
-        number(r"\r\nWARC-Record-ID: <urn:page:(-?\d*):").alias("page_id"),
+        name("WARC-Record-ID").alias("page_id"),
         take(r"\r\nWARC-Type: (\w+)\r\n").alias("record_type"),
-        number(r"\r\nWARC-Refers-To: <urn:page:(-?\d*):").alias("refers_to"),
+        name("WARC-Refers-To").alias("refers_to"),
         take(r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]+)\r\n").alias("declared_sha1"),
         "digest",
         "bytes",
+        "header",
     )
 
 
-def verified_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Digest, length and SHA-1 of each stored payload, computed from its bytes; `sound` if they still give the digest."""
-    store = spark.read.parquet(f"{path}/payloads")
-    return store.select("digest", "bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), (F.sha2("payload", 256) == F.col("digest")).alias("sound"))
+def read_records(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """The original records: the headers' fields and `record`, its bytes: header, payload (none for revisits) and two line ends."""
+    heads = read_headers(spark, path, id_type)
+    whole = F.col("record_type") == "response"
+    end = F.encode(F.lit(END), "UTF-8")
+    full = heads.where(whole).join(_payloads(spark, path).select("digest", "payload"), "digest")
+    alone = heads.where(~whole).withColumn("record", F.concat("header", end))
+    return full.withColumn("record", F.concat("header", "payload", end)).drop("payload").select(*alone.columns).unionByName(alone)
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """What the archive says of each record: page_id, payload_bytes, payload_digest (SHA-1), record_type, refers_to, sound.
+def read_archive(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
+    """What the rebuilt records say: page_id, payload_bytes, payload_digest (SHA-1), record_type, refers_to, sound.
 
-    Length and digest are those of the full payload, for revisits too, and come from the stored bytes.
+    A response's length and digest come from its record's bytes, without header and ends; a revisit's are those of the response with
+    its payload. `sound` tells that the bytes still give both digests that were written for them.
     """
-    found = read_headers(spark, path).join(verified_payloads(spark, path), ["digest", "bytes"], "left")
-    sound = F.coalesce(F.col("sound") & (F.col("payload_digest") == F.col("declared_sha1")), F.lit(False))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", sound.alias("sound"))
-
-
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The original records' bytes: header, payload (none for revisits) and two line ends; columns row and record."""
-    heads = spark.read.parquet(f"{path}/headers")
-    revisit = F.decode("header", "UTF-8").contains(f"{CRLF}WARC-Type: revisit{CRLF}")
-    end = F.encode(F.lit(CRLF * 2), "UTF-8")
-    alone = heads.where(revisit).select("row", F.concat("header", end).alias("record"))
-    full = heads.where(~revisit).join(spark.read.parquet(f"{path}/payloads"), ["digest", "bytes"]).select("row", F.concat("header", "payload", end).alias("record"))
-    return alone.unionByName(full)
+    records = read_records(spark, path, id_type)
+    size = F.octet_length("record") - F.octet_length("header") - len(END)
+    body = F.substring(F.col("record"), F.octet_length("header") + 1, size)
+    whole = F.col("record_type") == "response"
+    told = records.where(whole).select("row", "page_id", "digest", size.cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"), "record_type", "refers_to", ((F.sha1(body) == F.col("declared_sha1")) & (F.sha2(body, 256) == F.col("digest"))).alias("sound"))
+    told = shared_table(told, "responses")
+    revisits = read_headers(spark, path, id_type).where(~whole).select("page_id", "record_type", "refers_to", "digest", "declared_sha1")
+    # each payload that is revisited has one response
+    seen = told.join(revisits.select("digest").distinct(), "digest", "left_semi").select("digest", "payload_bytes", "payload_digest", "sound")
+    of_revisits = revisits.join(seen, "digest", "left").withColumn("sound", F.coalesce(F.col("sound") & (F.col("payload_digest") == F.col("declared_sha1")), F.lit(False)))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound"]
+    return told.select(*columns).unionByName(of_revisits.select(*columns))
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
-    """Write `pages` to a new archive in the shared folder and read it back."""
+    """Write `pages` to a new archive in the shared folder and read its records back; nulls, ties and repeated rows as in
+    write_archive()."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/orrery-{uuid.uuid4().hex}/archive"
+    path = f"{new_folder(spark)}/archive"
     write_archive(pages, path, least_bytes)
-    return read_archive(spark, path)
+    return read_archive(spark, path, type_of(pages, "page_id"))
