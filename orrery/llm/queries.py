@@ -29,7 +29,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """URLs with the label of the document that the path names by its number: blocked if it is of low quality or toxic."""
+    """URLs with the label of the document that the path names by its number, which is the document on the page: blocked if it is of
+    low quality or toxic."""
     number = F.nullif(F.regexp_extract("url", r"://[^/?#]*/[a-z]+/(\d{1,18})", 1), F.lit("")).cast("long")
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("blocked"))
     return pages.select("url", number.alias("doc_id")).join(known, "doc_id").select("url", "blocked")
@@ -38,10 +39,12 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     rules = urlfilter.mine_rules(labelled_urls(pages, _table(spark, sf_dir, "labels")), QUERY_RULES)
-    return urlfilter.judge_urls(pages, rules, QUERY_RULES).select("page_id", "host", "path", "rule", "verdict", F.size("mined").cast("long").alias("n_mined"))
+    judged = urlfilter.judge_urls(pages, rules, QUERY_RULES)
+    first = F.get("mined", F.lit(0))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.size("mined").cast("long").alias("n_mined"), F.array_join(first["tokens"], " ").alias("mined_rule"), first["confidence"].alias("mined_confidence"))
 
 
-#: Precision first: a mined rule must be right more often than not.
+#: Precision first: a rule that blocks must be right more often than not.
 QUERY_RULES = urlfilter.Params(confidence=0.5)
 
 
@@ -65,7 +68,7 @@ def _span_list(spans: Column) -> Column:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    scanned = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
     return scanned.select(
         "doc_id",

@@ -1,16 +1,18 @@
 """Secrets in texts, and which of them are live: candidates' hashes are counted by distinct repositories and owners over the corpus.
 
-A credential that many owners have is a copied example; one that only its owner has looks live.
+A credential that many owners or many repositories have is a copied example; one that only its owner has, in few repositories, looks
+live. Where a table names no repository, each distinct text is one: copies of a text don't make its secrets better known.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,14 +55,14 @@ def looks_random(token: str, least_bits: float = 3.5) -> bool:
 
 
 def candidate_spans(text: str, base: list[Span]) -> list[Span]:
-    """Random-looking tokens that no base span touches."""
-    out, k = [], 0
-    base = sorted((b[:2] for b in base))
+    """Random-looking tokens that no base span touches; both lists are gone through once, by place."""
+    out, k, reach = [], 0, 0
     for m in TOKEN.finditer(text):
         s, e = m.span()
-        while k < len(base) and base[k][1] <= s and all(b[1] <= s for b in base[: k + 1]):
+        while k < len(base) and base[k][0] < e:  # reach: the furthest end of the spans that start before the token's end
+            reach = max(reach, base[k][1])
             k += 1
-        if not any(b[0] < e and s < b[1] for b in base[k:]) and looks_random(m[0]):
+        if reach <= s and looks_random(m[0]):
             out.append((s, e, "owner", m[0]))
     return out
 
@@ -87,47 +89,69 @@ def find_candidates(documents: DataFrame, text: str = "text") -> DataFrame:
     return add_columns(documents, make, [text], [T.StructField("base_spans", T.ArrayType(SPAN)), T.StructField("candidates", T.ArrayType(SPAN))])
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How many owners and repositories a live-looking value has at most, and from which number on it is a copied example."""
+
+    live_owners: int = 1
+    live_repositories: int = 3
+    example_owners: int = 3
+    example_repositories: int = 10
+
+    def live(self) -> Column:
+        return (F.col("n_owners") <= self.live_owners) & (F.col("n_repositories") <= self.live_repositories)
+
+    def example(self) -> Column:
+        return (F.col("n_owners") >= self.example_owners) | (F.col("n_repositories") >= self.example_repositories)
+
+
 def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
     """For each value hash, base or candidate: in how many documents, distinct repositories and distinct owners it occurs.
 
-    Counts are reduced by (hash, repository, owner) first, so a value that a third of the corpus holds is a few rows by then.
+    Counts are reduced by (hash, repository, owner) first, so a value that a third of the corpus holds is few rows by then.
     """
     every = found.select(F.explode(F.array_distinct(F.transform(F.concat("base_spans", "candidates"), lambda s: s["value_hash"]))).alias("value_hash"), F.col(repository).alias("r"), F.col(owner).alias("o"))
     pairs = every.groupBy("value_hash", "r", "o").agg(F.count("*").alias("n"))
     return pairs.groupBy("value_hash").agg(F.sum("n").alias("n_documents"), F.count_distinct("r").alias("n_repositories"), F.count_distinct("o").alias("n_owners"))
 
 
-def scan_secrets(documents: DataFrame, text: str = "text", repository: str = "source", owner: str = "source", max_owners: int = 1, example_owners: int = 3) -> DataFrame:
-    """Add base_spans, owner_spans (candidates that at most `max_owners` owners have) and n_live, n_example: how many of the
-    document's base values at most `max_owners` owners have, and how many at least `example_owners` do.
+def scan_secrets(documents: DataFrame, text: str = "text", repository: str | None = None, owner: str = "source", limits: Limits = Limits(), keep_text: bool = True) -> DataFrame:  # noqa: B008
+    """Add base_spans, owner_spans (candidates that look live by `limits`) and n_live, n_example: how many of the document's base
+    values look live, and how many are copied examples.
 
-    Null texts are empty; a null repository or owner counts as none. Repeated rows are told alike. Input columns with these names
-    are replaced, all others kept; keys compare whole values, so rows may repeat a doc_id.
+    `owner` names the column of who has a document, `repository` that of where it is; without one, a distinct text is a repository.
+    Texts are scanned once; the spans are written to the shared folder, with the text only if it is kept. Null texts are empty; a
+    null repository or owner counts as none. Repeated rows are told alike, an empty table gives no rows. Input columns with these
+    names are replaced, all others kept; keys compare whole values, so rows may repeat a doc_id.
     """
-    plain = without(documents, "base_spans", "owner_spans", "candidates", "n_live", "n_example", "__key")
+    plain = without(documents, "base_spans", "owner_spans", "candidates", "n_live", "n_example", "__key", "__repository")
+    place = F.col(f"`{repository}`") if repository else F.xxhash64(text, F.length(text))
+    found = find_candidates(plain.withColumn("__repository", place), text)
+    out = [c for c in plain.columns if keep_text or c != text]
+    found = shared_table(found.select(*[F.col(f"`{c}`") for c in [*out, "__repository"]], "base_spans", "candidates"), "candidates")
+    # rows with the same spans in the same order get the same verdicts, so they need no key of their own
     some = (F.size("candidates") > 0) | (F.size("base_spans") > 0)
-    # rows with the same spans in the same order get the same verdicts, so they need no key of their own; rows without any get
-    # keys that match nothing and spread
-    verdict_key = F.sha2(F.to_json(F.struct("base_spans", "candidates")), 256)
-    found = find_candidates(plain, text)
-    held = found.withColumn("__key", F.when(some, verdict_key).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))))
-    names = list(dict.fromkeys([text, repository, owner]))
-    few = shared_table(find_candidates(documents.select(*names), text).where(some).drop(text), "candidates")
-    counts = ownership(few, repository, owner)
-    keyed = few.withColumn("__key", verdict_key).groupBy("__key").agg(F.first("base_spans").alias("b"), F.first("candidates").alias("c"))
+    few = found.where(some).withColumn("__key", F.sha2(F.to_json(F.struct("base_spans", "candidates")), 256))
+    counts = ownership(few, "__repository", owner)
+    keyed = few.select("__key", "base_spans", "candidates").groupBy("__key").agg(F.first("base_spans").alias("b"), F.first("candidates").alias("c"))
     each = keyed.select("__key", F.explode(F.concat("b", "c")).alias("s")).select("__key", "s.*")
+    own, base = F.col("kind") == "owner", F.col("kind") != "owner"
     judged = each.join(counts, "value_hash").groupBy("__key").agg(
-        F.sort_array(F.collect_list(F.when((F.col("kind") == "owner") & (F.col("n_owners") <= max_owners), F.struct("start", "end", "kind", "value_hash")))).alias("owner_spans"),
-        F.sum(F.when((F.col("kind") != "owner") & (F.col("n_owners") <= max_owners), 1).otherwise(0)).alias("n_live"),
-        F.sum(F.when((F.col("kind") != "owner") & (F.col("n_owners") >= example_owners), 1).otherwise(0)).alias("n_example"),
+        F.sort_array(F.collect_list(F.when(own & limits.live(), F.struct("start", "end", "kind", "value_hash")))).alias("owner_spans"),
+        F.count_if(base & limits.live()).alias("n_live"),
+        F.count_if(base & limits.example()).alias("n_example"),
     )
-    out = held.join(judged, "__key", "left")
-    none = F.array().cast(T.ArrayType(SPAN))
-    return out.select(*[F.col(f"`{c}`") for c in plain.columns], "base_spans", F.coalesce("owner_spans", none).alias("owner_spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
+    columns = [*[F.col(f"`{c}`") for c in out], "base_spans", "owner_spans", "n_live", "n_example"]
+    none = found.where(~some).withColumns({"owner_spans": F.array().cast(T.ArrayType(SPAN)), "n_live": F.lit(0).cast("long"), "n_example": F.lit(0).cast("long")})
+    return few.join(judged, "__key").select(*columns).unionByName(none.select(*columns))
 
 
 def redact(scanned: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """Replace each base and owner span of the text by `mask` (overlapping ones by one); the span columns go."""
+    """Replace each base and owner span of the text by `mask` (overlapping ones by one); the span columns go.
+
+    Takes the rows of scan_secrets() with their text. Null and empty texts and texts without spans stay as they are; repeated rows are
+    masked alike, an empty table gives no rows; other columns are kept.
+    """
     spans = F.concat("base_spans", "owner_spans")
 
     def step(acc, s):

@@ -1,7 +1,7 @@
 """URL verdicts: fixed host and path rules first, then association rules that FP-growth mines from labelled URLs.
 
-A rule says that URLs with some tokens are blocked. Rules are pruned by support, confidence and redundancy, and matched through an
-inverted index from each rule's rarest token.
+A rule says that URLs with some tokens are blocked, or that they are allowed. Rules are pruned by support, confidence and redundancy,
+and matched through an inverted index from each rule's rarest token; of those that match, the most confident decides.
 """
 
 from __future__ import annotations
@@ -17,19 +17,21 @@ from orrery.llm.common import shared_table, without
 #: Host and path rules (fixed values).
 FIXED_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
-#: The item that stands for the label in a transaction; no token contains white space.
-LABEL = "= block"
+#: The items that stand for the label in a transaction, by verdict; no token starts so.
+LABELS = {"block": "= block", "allow": "= allow"}
 
 
 @dataclass(frozen=True)
 class Params:
-    """Least share and least number of the labelled URLs that hold a rule's tokens and the label, least confidence, and how many
-    times the share of blocked URLs the confidence must be. Up to `literal_rules` rules become one literal index, more are joined."""
+    """Least share and least number of the labelled URLs that hold a rule's tokens and its label; least confidence of a rule that blocks;
+    by how much a rule's confidence must exceed the share of its label (times `lift` for rules that block); and a rule's most tokens.
+    Up to `literal_rules` rules become one literal index, more are joined."""
 
     support: float = 0.002
     least_urls: int = 25
     confidence: float = 0.3
     lift: float = 1.5
+    most_tokens: int = 4
     literal_rules: int = 2000
 
 
@@ -79,56 +81,70 @@ def _tokenised(pages: DataFrame, url: str) -> DataFrame:
     return parts.withColumn("__tokens", url_tokens(F.col(url), F.col("host"), F.col("path")))
 
 
+RULE = "tokens array<string>, verdict string, confidence double, support double"
+
+
 def mine_rules(labelled: DataFrame, p: Params = Params(), url: str = "url", label: str = "blocked") -> DataFrame:  # noqa: B008
-    """Rules (tokens, confidence, support) from URLs labelled true (block) or false; null labels are left out.
+    """Rules (tokens, verdict, confidence, support) from URLs labelled true (block) or false (allow).
 
-    A rule is dropped if another with some of its tokens is at least as confident. No labelled rows: no rules.
+    A rule that blocks must reach `confidence` and `lift` times the share of blocked URLs; one that allows, more than the share of the
+    others. A rule is dropped if another of the same verdict with some of its tokens is at least as confident. Null labels are left
+    out, repeated rows count as often as they are there, null URLs have no tokens; no labelled rows: no rules.
     """
     known = without(labelled, "host", "path", "__tokens").where(F.col(label).isNotNull())
     rows = _tokenised(known.select(F.col(url).alias("url"), F.col(label).cast("boolean").alias("blocked")), "url")
-    items = shared_table(rows.select(F.when(F.col("blocked"), F.concat("__tokens", F.array(F.lit(LABEL)))).otherwise(F.col("__tokens")).alias("items"), "blocked"), "transactions")
-    shape = "tokens array<string>, confidence double, support double"
-    total, blocked = items.agg(F.count("*"), F.sum(F.col("blocked").cast("long"))).first()
-    if not blocked or blocked < p.least_urls:
-        return items.sparkSession.createDataFrame([], shape)
-    model = FPGrowth(itemsCol="items", minSupport=max(p.support, p.least_urls / total), minConfidence=max(p.confidence, p.lift * blocked / total)).fit(items.select("items"))
-    rules = model.associationRules.where(F.col("consequent") == F.array(F.lit(LABEL))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    rules = shared_table(rules, "rules")
+    verdict = F.when(F.col("blocked"), F.lit(LABELS["block"])).otherwise(F.lit(LABELS["allow"]))
+    items = shared_table(rows.select(F.concat("__tokens", F.array(verdict)).alias("items"), "blocked"), "transactions")
+    total, blocked = items.agg(F.count("*"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0))).first()
+    if not total:
+        return items.sparkSession.createDataFrame([], RULE)
+    least = max(p.support, p.least_urls / total)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least), minConfidence=min(max(p.confidence, p.lift * blocked / total), 1 - blocked / total, 1.0)).fit(items.select("items"))
+    told = F.when(F.col("consequent")[0] == LABELS["block"], "block").when(F.col("consequent")[0] == LABELS["allow"], "allow")
+    rules = model.associationRules.select(F.array_sort("antecedent").alias("tokens"), told.alias("verdict"), "confidence", "support").where("verdict IS NOT NULL")
+    good = ((F.col("verdict") == "block") & (F.col("confidence") >= max(p.confidence, p.lift * blocked / total))) | ((F.col("verdict") == "allow") & (F.col("confidence") > 1 - blocked / total))
+    labels = F.array(*[F.lit(x) for x in LABELS.values()])
+    plain = (F.size("tokens") <= p.most_tokens) & ~F.arrays_overlap("tokens", labels) & (F.col("support") >= least)
+    rules = shared_table(rules.where(good & plain), "rules")
     # only a rule that holds one of its tokens can be within another, so the pairs meet on tokens
-    each = rules.select("tokens", "confidence", F.explode("tokens").alias("t"))
+    each = rules.select("tokens", "verdict", "confidence", F.explode("tokens").alias("t"))
     inside = (
         each.alias("l")
-        .join(rules.select("tokens", "confidence", F.col("tokens")[0].alias("t")).alias("s"), "t")
+        .join(rules.select("tokens", "verdict", "confidence", F.col("tokens")[0].alias("t")).alias("s"), ["t", "verdict"])
         .where((F.size("s.tokens") < F.size("l.tokens")) & (F.size(F.array_except("s.tokens", "l.tokens")) == 0) & (F.col("s.confidence") >= F.col("l.confidence")))
-        .select(F.col("l.tokens").alias("tokens"))
+        .select(F.col("l.tokens").alias("tokens"), "verdict")
         .distinct()
     )
-    return shared_table(rules.join(inside, "tokens", "left_anti"), "pruned_rules")
+    return shared_table(rules.join(inside, ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", "support"), "pruned_rules")
 
 
 def _index(rules: DataFrame) -> DataFrame:
-    """key -> rules' tokens: each rule under the token of it that the fewest rules have."""
+    """key -> rules: each rule under the token of it that the fewest rules have."""
     uses = rules.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    keyed = rules.select("tokens", "confidence", F.explode("tokens").alias("t")).join(uses, "t").groupBy("tokens", "confidence").agg(F.min(F.struct("n", "t"))["t"].alias("key"))
-    return keyed.groupBy("key").agg(F.sort_array(F.collect_list("tokens")).alias("rules"))
+    whole = F.struct("tokens", "verdict", "confidence", "support")
+    keyed = rules.select(whole.alias("rule"), F.explode("tokens").alias("t")).join(uses, "t").groupBy("rule").agg(F.min(F.struct("n", "t"))["t"].alias("key"))
+    return keyed.groupBy("key").agg(F.sort_array(F.collect_list("rule")).alias("rules"))
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, p: Params = Params(), url: str = "url") -> DataFrame:  # noqa: B008
-    """Add host, path, rule (the fixed rule that decides, else null), mined (tokens of the mined rules that match) and verdict.
+    """Add host, path, rule (the fixed rule that decides, else null), mined (the mined rules that match, the one that decides first) and
+    verdict.
 
-    Without a fixed rule, a URL is blocked if a mined rule matches, else allowed. Null and malformed URLs have empty host and path
-    and no tokens but their own parts. Repeated rows are judged alike; columns with these names are replaced, all others kept.
+    Without a fixed rule, the most confident mined rule decides (of equals that of more support, then one that blocks); without any,
+    a URL is allowed. Null and malformed URLs have empty host and path and no tokens but their own parts. Repeated rows are judged
+    alike, an empty table gives no rows; columns with these names are replaced, all others kept.
     """
     base = without(pages, "host", "path", "rule", "mined", "verdict", "__tokens", "__row")
     rows = _tokenised(base, url)
-    matches = lambda found: F.filter(found, lambda r: F.size(F.array_except(r, F.col("__tokens"))) == 0)
-    none = F.array().cast("array<array<string>>")
+    matches = lambda found: F.filter(found, lambda r: F.size(F.array_except(r["tokens"], F.col("__tokens"))) == 0)
+    none = F.array().cast(f"array<struct<{RULE.replace(' ', ':').replace(',:', ',')}>>")
     index = shared_table(_index(rules), "rule_index")
     size = index.agg(F.coalesce(F.sum(F.size("rules")), F.lit(0))).first()[0]
     if size <= p.literal_rules:
         held = {r["key"]: r["rules"] for r in index.collect()}
         if held:
-            table = F.create_map(*[x for k, v in sorted(held.items()) for x in (F.lit(k), F.array(*[F.array(*[F.lit(t) for t in r]) for r in v]))])
+            literal = lambda r: F.struct(F.array(*[F.lit(t) for t in r["tokens"]]).alias("tokens"), F.lit(r["verdict"]).alias("verdict"), F.lit(r["confidence"]).alias("confidence"), F.lit(r["support"]).alias("support"))
+            table = F.create_map(*[x for k, v in sorted(held.items()) for x in (F.lit(k), F.array(*[literal(r) for r in v]))])
             found = F.flatten(F.transform("__tokens", lambda t: F.coalesce(table[t], none)))
         else:
             found = none
@@ -137,6 +153,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, p: Params = Params(), url: st
         rows = shared_table(rows.withColumn("__row", F.monotonically_increasing_id()), "tokenised")
         hits = rows.select("__row", "__tokens", F.explode("__tokens").alias("key")).join(index, "key").withColumn("hit", matches(F.col("rules"))).where(F.size("hit") > 0)
         rows = rows.join(hits.groupBy("__row").agg(F.flatten(F.collect_list("hit")).alias("mined")), "__row", "left").withColumn("mined", F.coalesce("mined", none))
-    rows = rows.withColumn("__rule", fixed_rule(F.col("host"), F.col("path")))
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.size("mined") > 0, F.lit("block")).otherwise(F.lit("allow")))
+    # by confidence, support and verdict, from the greatest down
+    ranked = F.sort_array(F.transform("mined", lambda r: F.struct(r["confidence"].alias("confidence"), r["support"].alias("support"), r["verdict"].alias("verdict"), r["tokens"].alias("tokens"))), asc=False)
+    rows = rows.withColumns({"mined": ranked, "__rule": fixed_rule(F.col("host"), F.col("path"))})
+    verdict = F.coalesce(F.col("__rule.verdict"), F.get("mined", F.lit(0))["verdict"], F.lit("allow"))
     return rows.select(*[F.col(f"`{c}`") for c in base.columns], "host", "path", F.col("__rule.rule").alias("rule"), "mined", verdict.alias("verdict"))
