@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orrery.functions.text import quoted
+
 PRICE = r"(?:[¥￥$]\s?\d+(?:\.\d+)?)|(?:\d+(?:\.\d+)?\s?(?:元|块|rmb))"
 
 
@@ -34,7 +36,8 @@ def prices(c: Column, units: list[str], distance: int = 25, nearest: bool = Fals
 
 def contacts(c: Column, patterns: dict[str, tuple[list[str], str]], window: int = 40) -> Column:
     """Contacts by kind: after each trigger word, the first id that the kind's pattern finds within `window` characters; each pair of
-    kind and value once, in text order of its trigger within a kind. A kind without triggers is sought in the whole text."""
+    kind and value once, in text order of its trigger within a kind. A kind without triggers is sought in the whole text; its pattern
+    must mean the same to Java. Only texts that hold a trigger or such a pattern leave the JVM."""
     compiled = {k: (re.compile("|".join(re.escape(w) for w in t), re.I) if t else None, re.compile(p)) for k, (t, p) in patterns.items()}
 
     def find(t: str | None) -> list[dict]:
@@ -52,4 +55,5 @@ def contacts(c: Column, patterns: dict[str, tuple[list[str], str]], window: int
     def run(s: pd.Series) -> pd.Series:
         return s.map(find)
 
-    return run(c)
+    any_kind = "|".join([rf"(?iu:{quoted(t)})" if t else f"(?:{p})" for t, p in patterns.values()]) or "(?!)"
+    return F.when(c.rlike(any_kind), run(c)).otherwise(F.array().cast("array<struct<type:string,value:string>>"))

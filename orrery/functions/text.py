@@ -68,9 +68,10 @@ def contains_any(c: Column, words: list[str]) -> Column:
 
 def matched_words(c: Column, words: list[str], ignore_case: bool = True) -> Column:
     """The words that the text holds, in the order given."""
-    text = F.lower(c) if ignore_case else c
     listed = F.array(*[F.lit(w) for w in words]).cast("array<string>")
-    return F.filter(listed, lambda k: F.coalesce(text.contains(F.lower(k) if ignore_case else k), F.lit(False)))
+    # the text is bound as a lambda's variable, so it is lowered once and not once for each word
+    found = lambda t: F.filter(listed, lambda k: F.coalesce(t.contains(F.lower(k) if ignore_case else k), F.lit(False)))
+    return F.transform(F.array(F.lower(c) if ignore_case else c), found)[0]
 
 
 def two_dimensional_match(c: Column, subjects: list[str], actions: list[str]) -> Column:
@@ -137,10 +138,11 @@ def strip_tags(c: Column) -> Column:
 
 
 def url_parameters(c: Column) -> Column:
-    """The query of a URL as a map; the last of equal names counts."""
+    """The query of a URL as a map, percent signs and plus decoded; the last of equal names counts."""
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
     query = F.regexp_extract(c, r"\?([^#]*)", 1)
     pairs = F.filter(F.split(query, "&"), lambda p: p.contains("="))
-    entries = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_extract(p, r"=(.*)$", 1).alias("v")))
+    entries = F.transform(pairs, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), decoded(F.regexp_extract(p, r"=(.*)$", 1)).alias("v")))
     names = F.array_distinct(F.transform(entries, lambda e: e["k"]))
     return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(entries, lambda e: e["k"] == n), -1)["v"]))
 
@@ -165,20 +167,72 @@ def listing_key(item: Column, link: Column, seller: Column, title: Column) -> Co
     return first_present(item, F.regexp_extract(link, r"[?&]id=(\w+)", 1), F.concat_ws("|", F.coalesce(seller, F.lit("")), F.coalesce(title, F.lit(""))))
 
 
-#: Path words of the messenger's site that name no channel (fixed values).
-RESERVED = ("joinchat", "addstickers", "addlist", "share", "proxy", "socks", "setlanguage", "iv", "login", "confirmphone", "bg", "c", "s")
+#: Path words of the messenger's site that name no channel, and the shapes of references (fixed values).
+RESERVED = ("joinchat", "addstickers", "share", "addtheme", "iv", "proxy", "socks", "c", "addemoji", "telegram", "telegrambot")
+MENTION = r"(?<![A-Za-z0-9_])@([A-Za-z][A-Za-z0-9_]{4,31})(?![A-Za-z0-9_])"
+CHANNEL = r"https?://t\.me/([A-Za-z][A-Za-z0-9_]{4,31})(?:/\d+)?(?![A-Za-z0-9_])"
+INVITE = r"https?://t\.me/\+([A-Za-z0-9_\-]+)"
+OLD_INVITE = r"https?://t\.me/joinchat/([A-Za-z0-9_\-]+)"
 
 
 def mined_references(text: Column, forwarded: Column, own: Column) -> Column:
-    """References to groups in a message: invites as +hash, channels by lower-cased name, from links, mentions and forwards; the
-    message's own group and reserved names are left out; each once, in the order of kinds."""
-    t = F.coalesce(text, F.lit(""))
-    invites = F.transform(F.regexp_extract_all(t, F.lit(r"t\.me/(?:\+|joinchat/)([A-Za-z0-9_-]{8,})"), 1), lambda x: F.concat(F.lit("+"), x))
-    links = F.transform(F.regexp_extract_all(t, F.lit(r"t\.me/([A-Za-z][A-Za-z0-9_]{4,31})"), 1), lambda x: F.lower(x))
-    mentions = F.transform(F.regexp_extract_all(t, F.lit(r"(?<![A-Za-z0-9_@.])@([A-Za-z][A-Za-z0-9_]{4,31})"), 1), lambda x: F.lower(x))
-    forward = F.when(F.coalesce(forwarded, F.lit("")) != "", F.array(F.lower(F.regexp_replace(forwarded, "^@", "")))).otherwise(F.array().cast("array<string>"))
-    every = F.array_distinct(F.concat(invites, links, mentions, forward))
-    return F.filter(every, lambda x: ~x.isin(*RESERVED) & (x != F.lower(F.regexp_replace(F.coalesce(own, F.lit("")), "^@", ""))))
+    """References to groups in a message (key, username, invite_hash, channel): invites as +hash, channels by lower-cased name, from
+    links, mentions (both without reserved names) and the name it was forwarded from; the message's own group is left out; each key
+    once, in this order."""
+    t, group = F.coalesce(text, F.lit("")), F.lower(F.coalesce(own, F.lit("")))
+    found = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), 1)
+    invite = lambda x: F.struct(F.concat(F.lit("+"), x).alias("key"), F.lit(None).cast("string").alias("username"), x.alias("invite_hash"), F.lit("text").alias("channel"))
+    named = lambda x, how: F.struct(F.lower(x).alias("key"), F.lower(x).alias("username"), F.lit(None).cast("string").alias("invite_hash"), F.lit(how).alias("channel"))
+    free = lambda x: ~F.lower(x).isin(*RESERVED)
+    names = F.filter(F.concat(found(CHANNEL), found(MENTION)), free)
+    forward = F.filter(F.array(F.coalesce(forwarded, F.lit(""))), lambda x: x != "")
+    every = F.concat(F.transform(F.concat(found(INVITE), found(OLD_INVITE)), invite), F.transform(names, lambda x: named(x, "text")), F.transform(forward, lambda x: named(x, "forward")))
+    others = F.filter(every, lambda r: r["invite_hash"].isNotNull() | (r["key"] != group))
+    keys = F.array_distinct(F.transform(others, lambda r: r["key"]))
+    return F.transform(keys, lambda k: F.filter(others, lambda r: r["key"] == k)[0])
+
+
+#: What starts a line of a search bot's result, and what starts an advert (fixed values).
+RESULT_ICONS = "🌄🎬💬📂📁📄🎵🎤📺🔞🔥📌📎🌟🎁📷🖼📸🎯🎫🎪🎨"
+ADVERTS = ("广告:", "广告：")
+MESSAGE_LINK = r"https?://t\.me/([A-Za-z][A-Za-z0-9_]{4,31})/(\d+)(?![\d/])"
+CHANNEL_LINK = r"https?://t\.me/([A-Za-z][A-Za-z0-9_]{4,31})(?![A-Za-z0-9_/])"
+
+
+def bot_previews(c: Column) -> Column:
+    """The results in a search bot's reply (raw_line, text, icon, deeplink, channel, msg_id): lines that start with a result's icon and
+    go on after it, adverts left out; a reply without any is one result of all its lines."""
+    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    kept = F.filter(lines, lambda x: (x != "") & ~F.coalesce(x.startswith(ADVERTS[0]) | x.startswith(ADVERTS[1]), F.lit(False)))
+    icon = lambda x: F.when(F.lit(RESULT_ICONS).contains(F.left(x, F.lit(1))), F.left(x, F.lit(1)))
+    rest = lambda x: F.regexp_replace(F.substring(x, 2, 1 << 30), r"(?U)^\s+|\s+$", "")
+
+    def preview(line: Column, text: Column, icon: Column) -> Column:
+        channel = F.nullif(F.coalesce(F.nullif(F.regexp_extract(line, MESSAGE_LINK, 1), F.lit("")), F.regexp_extract(line, CHANNEL_LINK, 1)), F.lit(""))
+        msg = F.regexp_extract(line, MESSAGE_LINK, 2).try_cast("bigint")
+        link = F.concat(F.lit("https://t.me/"), channel, F.coalesce(F.concat(F.lit("/"), msg.cast("string")), F.lit("")))
+        return F.struct(line.alias("raw_line"), text.alias("text"), icon.alias("icon"), link.alias("deeplink"), channel.alias("channel"), msg.alias("msg_id"))
+
+    led = F.transform(F.filter(kept, lambda x: icon(x).isNotNull() & (rest(x) != "")), lambda x: preview(x, rest(x), icon(x)))
+    whole = F.array_join(kept, "\n")
+    return F.when(F.size(led) > 0, led).when(whole != "", F.array(preview(whole, whole, F.lit(None).cast("string")))).otherwise(F.slice(led, 1, 0))
+
+
+def image_fingerprint(c: Column) -> Column:
+    """The first 18 characters of an image's id in its address; without one empty."""
+    return F.left(F.regexp_extract(F.coalesce(c, F.lit("")), r"O1CN01.{13,20}", 0), F.lit(18))
+
+
+def hour_bucket(c: Column) -> Column:
+    """Day and hour of a time in text, as 2024-01-31 07h; what doesn't start so is empty."""
+    found = lambda k: F.regexp_extract(F.coalesce(c, F.lit("")), r"^(\d{4}-\d{2}-\d{2})\s(\d{2}):", k)
+    return F.when(found(1) != "", F.concat(found(1), F.lit(" "), found(2), F.lit("h"))).otherwise(F.lit(""))
+
+
+def profile_url(group_url: Column, source_url: Column, platform: Column) -> Column:
+    """The address of a record's group: its own, else the author's page of a post on the one platform where a post's address tells it."""
+    author = F.regexp_extract(F.coalesce(source_url, F.lit("")), r"^(https?://(?:twitter|x)\.com/[^/]+)", 1)
+    return F.coalesce(F.nullif(group_url, F.lit("")), F.when(F.lower(platform) == "twitter", author), F.lit(""))
 
 
 def deep_link(c: Column) -> Column:
@@ -198,10 +252,29 @@ def strip_fence(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(c), r"(?s)^```[A-Za-z]*\s*|\s*```$", ""))
 
 
-def call_hash(name: Column, arguments: Column, salient: list[str]) -> Column:
-    """Twelve hex digits that equal calls share: name and the salient arguments of a JSON object, or all of it without any."""
-    chosen = F.filter(F.array(*[F.concat(F.lit(f"{k}="), F.get_json_object(arguments, f"$.{k}")) for k in sorted(salient)]), lambda x: x.isNotNull())
-    return F.left(F.md5(F.concat_ws("\x01", name, F.when(F.size(chosen) > 0, F.array_join(chosen, "\x01")).otherwise(F.coalesce(arguments, F.lit(""))))), F.lit(12))
+#: Arguments that tell a call by themselves, tools that all arguments tell, and lines in a bucket of a reading tool (fixed values).
+SALIENT = ("path", "url", "query", "command", "pattern", "glob", "cmd")
+BY_CONTENT = ("write_file", "str_replace")
+LINE_BUCKET = 200
+
+
+def call_key(name: Column, arguments: Column) -> Column:
+    """What tells a tool's call (arguments as a JSON object): for reads the path and the buckets of lines; for writes all arguments; else
+    the salient ones, or all without any."""
+    take = lambda k: F.get_json_object(arguments, f"$.{k}")
+    first = F.coalesce(take("start_line").try_cast("bigint"), F.lit(1))
+    last = F.coalesce(take("end_line").try_cast("bigint"), first)
+    bucket = lambda x: F.floor((F.greatest(x, F.lit(1)) - 1) / LINE_BUCKET).cast("string")
+    read = F.concat(F.coalesce(take("path"), F.lit("")), F.lit(":"), bucket(F.least(first, last)), F.lit("-"), bucket(F.greatest(first, last)))
+    chosen = F.array_compact(F.array(*[F.concat(F.lit(f"{k}="), take(k)) for k in sorted(SALIENT)]))
+    whole = F.coalesce(F.to_json(F.array_sort(F.map_entries(F.from_json(arguments, "map<string,string>")))), arguments, F.lit(""))
+    return F.when((name == "read_file") & take("path").isNotNull(), read).when(name.isin(*BY_CONTENT) | (F.size(chosen) == 0), whole).otherwise(F.array_join(chosen, "\x01"))
+
+
+def call_hash(calls: Column) -> Column:
+    """Twelve hex digits that equal sets of calls share (structs name, arguments), whatever their order; how often each is there counts."""
+    keys = F.transform(calls, lambda c: F.concat(F.coalesce(c["name"], F.lit("")), F.lit(":"), call_key(c["name"], c["arguments"])))
+    return F.left(F.md5(F.array_join(F.sort_array(keys), "\x02")), F.lit(12))
 
 
 def outline(c: Column, most: int = 50) -> Column:

@@ -46,6 +46,8 @@ def json_matches(document: Column, key: str, value: object) -> Column:
         out = whole & (F.try_variant_get(F.try_parse_json(document), f"$.{key}", "bigint") == value)
     elif isinstance(value, float):
         out = number & (F.try_variant_get(F.try_parse_json(document), f"$.{key}", "double") == value)
+    elif not isinstance(value, str):
+        raise TypeError(f"not a value of JSON: {type(value).__name__}")
     else:
         out = (kind == "STRING") & (F.try_variant_get(F.try_parse_json(document), f"$.{key}", "string") == str(value))
     return F.coalesce(out, F.lit(False))

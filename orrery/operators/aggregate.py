@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each column: count, nulls, mean, sample deviation, least, quartiles, greatest; one pass over the table."""
+def numeric_summary(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
+    """One row for each column: count, nulls, mean, sample deviation, least, quartiles, greatest; one pass over the table.
+
+    Quartiles are exact, for which all distinct values of a column meet in one task; with an `accuracy`, they come from a sketch that
+    is at most 1 / accuracy of the rows off in rank and whose size doesn't follow the table: for tables of many distinct values.
+    """
+    thirds = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quartiles = lambda c: F.percentile(c, thirds) if accuracy is None else F.percentile_approx(F.col(c).cast("double"), thirds, accuracy)
     stats = [
         F.struct(
             F.lit(c).alias("column"),
@@ -17,7 +23,7 @@ def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
             F.avg(c).alias("mean"),
             F.stddev_samp(c).alias("std"),
             F.min(F.col(c).cast("double")).alias("min"),
-            F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
+            quartiles(c).alias("q"),
             F.max(F.col(c).cast("double")).alias("max"),
         )
         for c in columns
@@ -177,10 +183,22 @@ def best_of(df: DataFrame, key: str, order: list[Column], merge: str | None = No
     return ranked.unionByName(df.where(F.col(key).isNull()))
 
 
-def tag_index(posts: DataFrame, tags: str, day: str, post: str) -> DataFrame:
-    """Tag, number of posts, and posts from the newest on."""
-    each = posts.select(F.explode(F.array_distinct(tags)).alias("tag"), F.struct(F.col(day).alias("day"), F.col(post).alias("post")).alias("p"))
-    return each.groupBy("tag").agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list("p"), asc=False), lambda p: p["post"]).alias("posts"))
+def tag_index(posts: DataFrame, tags: str, day: str, post: str, most: int | None = None) -> DataFrame:
+    """(tag, n, rank, post): each tag's number of posts and its posts from the newest on, a row each; all, or the `most` newest."""
+    each = posts.select(F.explode(F.array_distinct(tags)).alias("tag"), F.col(day).alias("__day"), F.col(post).alias("post"))
+    rank = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("__day"), F.desc("post")))
+    ranked = each.withColumn("rank", rank)
+    ranked = ranked if most is None else ranked.where(F.col("rank") <= most)
+    return each.groupBy("tag").agg(F.count("*").alias("n")).join(ranked.drop("__day"), "tag").select("tag", "n", "rank", "post")
+
+
+def places(df: DataFrame, by: str, key: str) -> DataFrame:
+    """Adds place: 1, 2, ... by a column downwards, of equal values by key. Each value's rows are counted first, and only the values
+    are ranked in one task; the column should have few of them, as scores have."""
+    counts = df.groupBy(by).agg(F.count("*").alias("__n"))
+    start = F.coalesce(F.sum("__n").over(Window.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(by).orderBy(key)))
+    return ranked.join(counts.select(by, start.alias("__s")), by).select(key, (F.col("__s") + F.col("__r")).cast("int").alias("place"))
 
 
 def is_numeric(t: T.DataType) -> bool:

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators.graph import ensure_checkpoints
 
 
 def similar_pairs(df: DataFrame, key: str, sets: Column, threshold: float) -> DataFrame:
-    """Pairs a < b of keys whose sets (arrays of distinct strings) have a Jaccard similarity of at least `threshold`, which is exact.
+    """Pairs a < b of keys whose sets (arrays of distinct strings) have a Jaccard similarity of at least `threshold`.
 
-    Two such sets share one of the rarest n - ceil(t n) + 1 items of each, so only these are joined; sizes must fit too. Empty sets
-    are similar to nothing.
+    Items are hashed to 64 bits once, and the sets written to the checkpoint folder. Two such sets share one of the first
+    n - ceil(t n) + 1 items of each in any one order (the rarest first); so only these are joined, and what is left of both sets after
+    the shared item must allow the threshold. Empty sets are similar to nothing.
     """
     ensure_checkpoints(df.sparkSession)
-    base = df.select(F.col(key).alias("id"), sets.alias("items")).where(F.size("items") > 0)
-    each = base.select("id", F.size("items").alias("n"), F.explode(F.transform("items", lambda x: F.xxhash64(x))).alias("h"))
-    counts = each.groupBy("h").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("id").orderBy("df", "h")
-    prefix = each.join(counts, "h").where("df > 1 OR n > 0").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).where("df > 1").select("h", "id", "n")
-    a, b = prefix.select("h", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("h", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "h").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    hashed = F.array_distinct(F.transform(sets, lambda x: F.xxhash64(x)))
+    base = df.select(F.col(key).alias("id"), hashed.alias("items")).where(F.size("items") > 0).checkpoint()
+    counts = base.select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    # of the items that occur once, only their number matters: they come first in any order by rarity
+    often = base.select("id", F.size("items").alias("n"), F.explode("items").alias("h")).join(counts, "h")
+    order = F.sort_array(F.collect_list(F.struct("df", "h")))
+    kept = often.groupBy("id", "n").agg(order.alias("o"))
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1 - (F.col("n") - F.size("o"))
+    prefix = kept.select("id", "n", (F.col("n") - F.size("o")).alias("once"), F.posexplode(F.slice("o", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("p", "x")).select("id", "n", (F.col("once") + F.col("p")).alias("place"), F.col("x.h").alias("h"))
+    a, b = (prefix.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place")]) for s in "ab")
+    left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    # what an intersection of `left` items more than the pair's earlier shared ones can reach; the earlier places bound those
+    most = F.least(left + F.least("place_a", "place_b"), F.col("n_a"), F.col("n_b"))
+    fits = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (most * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    pairs = a.join(b, "h").where((F.col("id_a") < F.col("id_b")) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     left, right = base.select(F.col("id").alias("a"), F.col("items").alias("x")), base.select(F.col("id").alias("b"), F.col("items").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.text import truncate_utf8
+
 
 def raw_identity(payload: Column) -> Column:
     """The identity of a raw message in JSON: by msg_id, else by tweet_id, else null."""
@@ -58,6 +60,28 @@ def assign_sequence(events: DataFrame, thread: str, order: list[Column], last: D
     return events.withColumn("seq", seq).join(base, thread, "left").withColumn("seq", F.col("seq") + F.coalesce("__base", F.lit(0))).drop("__base")
 
 
+def append_events(batch: DataFrame, last: DataFrame | None, order: list[Column], max_trace: int = 10_240) -> DataFrame:
+    """A batch of one thread's events (thread_id, category, content, metadata as a map) as they are stored: with seq after the thread's
+    last one, and traces of more than `max_trace` bytes cut to whole characters, which metadata tells.
+
+    ValueError names the threads of a batch that has several.
+    """
+    threads = [r[0] for r in batch.select("thread_id").distinct().limit(3).collect()]
+    if len(threads) > 1:
+        raise ValueError(f"events of several threads: {threads}")
+    size = F.octet_length("content")
+    long = (F.coalesce(F.col("category"), F.lit("trace")) == "trace") & (size > max_trace)
+    told = F.map_concat(F.coalesce("metadata", F.create_map().cast("map<string,string>")), F.create_map(F.lit("content_truncated"), F.lit("true"), F.lit("original_byte_length"), size.cast("string")))
+    cut = batch.withColumns({"metadata": F.when(long, told).otherwise(F.col("metadata")), "content": F.when(long, truncate_utf8(F.col("content"), max_trace)).otherwise(F.col("content"))})
+    return assign_sequence(cut, "thread_id", order, last)
+
+
+def migrate_table(old: DataFrame, stored: DataFrame | None, keys: list[str], order: list[Column], renamed: dict[str, str] = {}) -> DataFrame:  # noqa: B006
+    """The rows of a table of an earlier layout that the present one lacks, under the present names: to be appended, after which the old
+    table can go."""
+    return new_rows(old.withColumnsRenamed(renamed), stored, keys, order)
+
+
 def page(events: DataFrame, seq: str = "seq", limit: int = 50, before: int | None = None, after: int | None = None) -> DataFrame:
     """A page in ascending order: the first rows above `after`, else the last below `before`, else the last; both bounds hold."""
     if before is not None:

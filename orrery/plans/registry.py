@@ -28,7 +28,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from orrery.plans import graphs, logs, relational, texts  # noqa: F401
+    from orrery.plans import graphs, logs, relational, searches, texts  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

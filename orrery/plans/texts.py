@@ -149,7 +149,7 @@ def epoch_and_iso(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", values.epoch_text(millis).alias("at"))
 
 
-@query("tag_index", "SELECT lang AS tag, count(*) AS n, CAST(max(doc_id) AS VARCHAR) AS newest FROM documents GROUP BY 1")
+@query("tag_index", "SELECT tag, n, CAST(rank AS INTEGER) AS rank, post FROM (SELECT lang AS tag, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id DESC) AS rank, doc_id AS post FROM documents)")
 def tag_index(spark: SparkSession, d: str) -> DataFrame:
     posts = table(spark, d, "documents").select("doc_id", F.array("lang").alias("tags"))
-    return aggregate.tag_index(posts, "tags", "doc_id", "doc_id").select("tag", "n", F.col("posts")[0].cast("string").alias("newest"))
+    return aggregate.tag_index(posts, "tags", "doc_id", "doc_id")

@@ -53,7 +53,18 @@ def evaluation_tree(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return df.select(take(r"/eval-(\d+)/").cast("int").alias("eval_id"), take(r"/eval-\d+/([^/]+)/").alias("config"), take(r"/run-(\d+)/").cast("int").alias("run_number"), "*")
 
 
-IGNORED = (".git", "node_modules", "__pycache__", ".venv", "dist", "build")
+#: Names of files and folders that aren't listed, * standing for anything (fixed values).
+IGNORED = (
+    ".git", ".svn", ".hg", ".bzr", "node_modules", "__pycache__", ".venv", "venv", ".env", "env", ".tox", ".nox", ".eggs", "*.egg-info", "site-packages", "dist", "build", ".next",
+    ".nuxt", ".output", ".turbo", "target", "out", ".idea", ".vscode", "*.swp", "*.swo", "*~", ".project", ".classpath", ".settings", ".DS_Store", "Thumbs.db", "desktop.ini", "*.lnk",
+    "*.log", "*.tmp", "*.temp", "*.bak", "*.cache", ".cache", "logs", ".coverage", "coverage", ".nyc_output", "htmlcov", ".pytest_cache", ".mypy_cache", ".ruff_cache",
+)
+
+
+def ignored_path(path: Column, ignored: tuple[str, ...] = IGNORED) -> Column:
+    """Whether a part of a path below some folder has an ignored name."""
+    names = "|".join(".*".join(re.escape(x) for x in p.split("*")).replace(".*", "[^/]*") for p in ignored) or "(?!)"
+    return path.rlike(f"(?:^|/)(?:{names})(?:/|$)")
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*", ignored: tuple[str, ...] = IGNORED) -> DataFrame:
@@ -61,7 +72,8 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*", ignored: tupl
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
     name = F.element_at(F.split("path", "/"), -1)
     out = df.select("path", name.alias("name"), F.col("length").alias("size"), F.regexp_extract(name, r"(\.[^.]+)$", 1).alias("ending"), F.col("modificationTime").alias("modified"))
-    return out.where(~F.col("path").rlike("/(" + "|".join(map(re.escape, ignored)) + ")/")).orderBy("name", "path")
+    below = F.regexp_replace("path", "^(?:file:)?/*" + re.escape(path.removeprefix("file:").strip("/")) + "/", "")
+    return out.where(~ignored_path(below, ignored)).orderBy("name", "path")
 
 
 def grep(spark: SparkSession, path: str, pattern: str, most: int = 100, max_bytes: int = 1_000_000, max_line: int = 2000) -> tuple[DataFrame, bool]:

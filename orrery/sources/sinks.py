@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import html
 import json
+import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,34 +28,61 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def export(df: DataFrame, path: str) -> None:
-    """Write by the path's ending: .csv and .json (lines) as folders of parts, .md as one small table (its rows come to the driver)."""
+    """Write by the path's ending: .csv and .jsonl (lines) as folders of parts, written where the rows are; .json (one array) and .md as
+    one file, to which all rows come through the driver, a partition at a time."""
     if path.endswith(".csv"):
         _flat(df).write.mode("overwrite").csv(path, header=True, escape='"')
-    elif path.endswith((".json", ".jsonl")):
+    elif path.endswith(".jsonl"):
         _flat(df).write.mode("overwrite").json(path)
-    elif path.endswith(".md"):
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(markdown_table(df))
+    elif path.endswith((".json", ".md")):
+        export_file(df, path)
     else:
         raise ValueError(f"unsupported ending: {path}")
 
 
-def markdown_table(df: DataFrame, most: int = 10_000) -> str:
-    """A Markdown table of the first rows of a result that is meant to be read."""
-    rows = [["" if v is None else str(v).replace("|", r"\|").replace("\n", " ") for v in r] for r in _flat(df).limit(most).collect()]
-    lines = [df.columns, ["---"] * len(df.columns), *rows]
-    return "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n"
-
-
-def console_table(df: DataFrame, width: int = 40, most: int = 100) -> str:
-    """A plain table with cells cut at `width` characters and the number of rows shown."""
-    rows = [["NULL" if v is None else str(v) for v in r] for r in df.limit(most).collect()]
+def export_file(df: DataFrame, path: str) -> int:
+    """Write all rows into one local file by its ending (.csv, .json, .md), a partition at a time; returns their number."""
+    ending = os.path.splitext(path)[1].lower()
+    if ending not in (".csv", ".json", ".md"):
+        raise ValueError(f"Unsupported output format: {ending}. Use .csv, .json, or .md")
+    if os.path.dirname(path):
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+    n = 0
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        out = csv.writer(f)
+        if ending == ".csv":
+            out.writerow(df.columns)
+        elif ending == ".md":
+            f.write(_markdown_row(df.columns) + _markdown_row(["---"] * len(df.columns)))
+        else:
+            f.write("[")
+        for r in _flat(df).toLocalIterator():
+            if ending == ".csv":
+                out.writerow(r)
+            elif ending == ".md":
+                f.write(_markdown_row([str(v) for v in r]))
+            else:
+                body = json.dumps(r.asDict(), indent=2, ensure_ascii=False, default=str).replace("\n", "\n  ")
+                f.write((",\n  " if n else "\n  ") + body)
+            n += 1
+        if ending == ".json":
+            f.write("\n]" if n else "]")
+    return n
+
+
+def _markdown_row(cells: list[str]) -> str:
+    return "| " + " | ".join(c.replace("|", r"\|").replace("\n", " ") for c in cells) + " |\n"
+
+
+def console_table(df: DataFrame, width: int = 40) -> str:
+    """All rows of a result that is meant to be read as a plain table, cells cut at `width` characters, and their number."""
+    rows = [[str(v) for v in r] for r in df.collect()]
     if not rows:
-        return "(0 rows)"
-    cut = [[x if len(x) <= width else x[: width - 1] + "…" for x in r] for r in [df.columns, *rows]]
-    sizes = [max(len(r[i]) for r in cut) for i in range(len(df.columns))]
-    lines = [" | ".join(x.ljust(n) for x, n in zip(r, sizes, strict=True)).rstrip() for r in cut]
-    return "\n".join([lines[0], "-+-".join("-" * n for n in sizes), *lines[1:], f"({len(rows)} rows)"])
+        return "Query returned 0 rows."
+    sizes = [min(width, max(len(r[i]) for r in [df.columns, *rows])) for i in range(len(df.columns))]
+    line = lambda r: " | ".join(x[:width].ljust(n) for x, n in zip(r, sizes, strict=True))
+    head = " | ".join(x.ljust(n) for x, n in zip(df.columns, sizes, strict=True))
+    return "\n".join([head, "-+-".join("-" * n for n in sizes), *map(line, rows), f"\n({len(rows)} rows)"])
 
 
 def dual_write(df: DataFrame, folder: str) -> None:
@@ -72,7 +102,43 @@ def dead_letters(df: DataFrame, reason: str, path: str) -> None:
 
 
 def html_report(title: str, frames: dict[str, DataFrame], most: int = 1000) -> str:
-    """A page with aggregates embedded as JSON and shown as tables."""
-    data = {k: [json.loads(x) for x in df.select(F.to_json(F.struct("*")).alias("j")).limit(most).toPandas()["j"]] for k, df in frames.items()}
-    tables = "".join(f"<h2>{k}</h2><pre>{console_table(df)}</pre>" for k, df in frames.items())
-    return f"<!DOCTYPE html><meta charset=utf-8><title>{title}</title><h1>{title}</h1>{tables}<script type='application/json' id='data'>{json.dumps(data).replace('</', '<\\/')}</script>"
+    """A page with the first rows of aggregates embedded as JSON and shown as tables, and how many rows there are if that isn't all."""
+    data, tables = {}, []
+    for k, df in frames.items():
+        rows = [json.loads(r["j"]) for r in df.select(F.to_json(F.struct("*")).alias("j")).limit(most + 1).collect()]
+        data[k] = rows[:most]
+        more = f"<p>the first {most} of {df.count()} rows</p>" if len(rows) > most else ""
+        tables.append(f"<h2>{html.escape(k)}</h2>{more}<pre>{html.escape(console_table(df.limit(most)))}</pre>")
+    told = json.dumps(data, ensure_ascii=False).replace("<", "\\u003c")
+    name = html.escape(title)
+    return f"<!DOCTYPE html><meta charset=utf-8><title>{name}</title><h1>{name}</h1>{''.join(tables)}<script type='application/json' id='data'>{told}</script>"
+
+
+class StageCounters:
+    """Rows that pass the stages of a job, counted on the way by observations, with no pass of their own."""
+
+    def __init__(self):
+        self.observed: dict[str, Observation] = {}
+
+    def count(self, df: DataFrame, stage: str, **more: Column) -> DataFrame:
+        """`df`, whose rows (and further aggregates) are counted when it is next run."""
+        self.observed[stage] = Observation(stage)
+        return df.observe(self.observed[stage], F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in more.items()])
+
+    def totals(self) -> dict[str, dict[str, object]]:
+        """Of each stage its counts; to be called when the job has run."""
+        return {k: dict(o.get) for k, o in self.observed.items()}
+
+    def write(self, path: str) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(self.totals(), f, ensure_ascii=False, indent=2)
+
+
+def read_counters(paths: list[str]) -> dict[str, dict[str, object]]:
+    """The stages' counts of several files, the later ones winning; files that aren't there count for nothing."""
+    out: dict[str, dict[str, object]] = {}
+    for path in paths:
+        if os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                out |= json.load(f)
+    return out

@@ -25,9 +25,12 @@ def daily_quota(stream: DataFrame, key: str, time: str, quota: int, delay: str =
     return stream.withWatermark(time, delay).groupBy(key, F.window(time, "1 day")).agg(F.count("*").alias("n")).withColumn("over", F.col("n") > quota)
 
 
-def progress(stream: DataFrame, keys: list[str], measures: dict[str, str]) -> DataFrame:
-    """Running sums for update mode."""
-    return stream.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
+def progress(stream: DataFrame, keys: list[str], measures: dict[str, str], time: str | None = None, delay: str = "1 hour", every: str = "1 minute") -> DataFrame:
+    """Running sums for update mode. With a time, sums are those of windows of `every`, which are let go `delay` after their end."""
+    sums = [F.sum(c).alias(n) for n, c in measures.items()]
+    if time is None:
+        return stream.groupBy(*keys).agg(*sums)
+    return stream.withWatermark(time, delay).groupBy(*keys, F.window(time, every)).agg(*sums)
 
 
 def event_windows(stream: DataFrame, time: str, keys: list[str], size: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
@@ -36,10 +39,16 @@ def event_windows(stream: DataFrame, time: str, keys: list[str], size: str, slid
     return stream.withWatermark(time, delay).groupBy(w, *keys).agg(F.count("*").alias("n"))
 
 
-def repetitions(stream: DataFrame, thread: str, seq: str, call: str, window: int = 20, warn: int = 3, stop: int = 5) -> DataFrame:
-    """For each call, how often it is among its thread's last `window` ones, itself included, and the action; state is those calls."""
+def repetitions(stream: DataFrame, thread: str, seq: str, call: str, window: int = 20, warn: int = 3, stop: int = 5, idle_ms: int | None = None) -> DataFrame:
+    """For each call, how often it is among its thread's last `window` ones, itself included, and the action. State is those calls; with
+    `idle_ms`, it is let go when the thread has been quiet for so long (for streams that go on: a query that stops when it has read
+    what is there would wait for that)."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = [thread, seq, call, "repeats", "action"]
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent = list(state.get[0]) if state.exists else []
         out = []
         for frame in frames:
@@ -48,10 +57,42 @@ def repetitions(stream: DataFrame, thread: str, seq: str, call: str, window: int
                 n = recent.count(c)
                 out.append((key[0], s, c, n, "stop" if n >= stop else "warn" if n >= warn else "none"))
         state.update((recent,))
-        yield pd.DataFrame(out, columns=[thread, seq, call, "repeats", "action"])
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=columns)
 
     types = dict(stream.dtypes)
-    return stream.groupBy(thread).applyInPandasWithState(run, f"{thread} {types[thread]}, {seq} {types[seq]}, {call} {types[call]}, repeats int, action string", "recent array<string>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(thread).applyInPandasWithState(run, f"{thread} {types[thread]}, {seq} {types[seq]}, {call} {types[call]}, repeats int, action string", "recent array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+
+
+def tool_counts(stream: DataFrame, thread: str, seq: str, tool: str, warn: int = 30, stop: int = 50, overrides: dict[str, tuple[int, int]] = {}, most: int = 100, idle_ms: int | None = None) -> DataFrame:  # noqa: B006
+    """For each call, how often its thread has used the tool, and the action: a warning once when a tool's first limit is reached, stop
+    from the second on; `overrides` has both limits of some tools.
+
+    A thread's state holds its `most` tools that were used last, the oldest are forgotten; `idle_ms` as in repetitions().
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        counts = dict(zip(*state.get, strict=True)) if state.exists else {}
+        out = []
+        for frame in frames:
+            for s, t in frame.sort_values(seq)[[seq, tool]].itertuples(index=False):
+                n = counts.pop(t, 0) + 1
+                counts[t] = n  # the last used stands last
+                if len(counts) > most:
+                    counts.pop(next(iter(counts)))
+                low, high = overrides.get(t, (warn, stop))
+                out.append((key[0], s, t, n, "stop" if n >= high else "warn" if n == low else "none"))
+        state.update((list(counts), list(counts.values())))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=[thread, seq, tool, "uses", "action"])
+
+    types = dict(stream.dtypes)
+    return stream.groupBy(thread).applyInPandasWithState(run, f"{thread} {types[thread]}, {seq} {types[seq]}, {tool} {types[tool]}, uses int, action string", "tools array<string>, uses array<int>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def replay(log: DataFrame, run: str, after: str | None, run_column: str = "run_id", id_column: str = "event_id", most: int = 256) -> DataFrame:

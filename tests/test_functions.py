@@ -30,10 +30,102 @@ def test_truncate_utf8_keeps_whole_characters(spark, size):
     assert one(spark, text.truncate_utf8(F.col("t"), size), t=t) == t.encode()[:size].decode("utf-8", "ignore")
 
 
-def test_mined_references(spark):
-    t = "see https://t.me/Some_Name/12 and t.me/+AbCdEfGh123 @other_one @abc t.me/joinchat/ZZZZZZZZ9 @own_group"
-    got = one(spark, text.mined_references(F.col("t"), F.lit("@Forwarded"), F.lit("own_group")), t=t)
-    assert got == ["+AbCdEfGh123", "+ZZZZZZZZ9", "some_name", "other_one", "forwarded"]
+def keys(rows):
+    return [(r.key, r.channel) for r in rows]
+
+
+@pytest.mark.parametrize(
+    ("said", "expected"),
+    [
+        ("see https://t.me/Some_Name/12 and https://t.me/+AbC @other_one @abc https://t.me/joinchat/Z-1 @own_group", [("+AbC", "text"), ("+Z-1", "text"), ("some_name", "text"), ("other_one", "text"), ("forwarded", "forward")]),
+        ("@addtheme https://t.me/TelegramBot https://t.me/joinchat @setlanguage", [("setlanguage", "text"), ("forwarded", "forward")]),
+        ("@" + "x" * 40 + " me@mail_host.org https://t.me/" + "y" * 33, [("forwarded", "forward")]),
+        ("@Forwarded https://t.me/FORWARDED/3", [("forwarded", "text")]),
+        (None, [("forwarded", "forward")]),
+    ],
+)
+def test_mined_references(spark, said, expected):
+    assert keys(one(spark, text.mined_references(F.col("t"), F.lit("Forwarded"), F.lit("own_group")), t=said)) == expected
+
+
+def test_mined_references_of_the_own_group_and_without_a_forward(spark):
+    assert keys(one(spark, text.mined_references(F.col("t"), F.lit(None).cast("string"), F.lit("Own_Group")), t="https://t.me/own_group @OWN_group")) == []
+
+
+@pytest.mark.parametrize(
+    ("reply", "expected"),
+    [
+        ("广告: buy\n🌄 X! https://t.me/chan_one/12345\n  🎬 [00:09] film\nheader\n💬", [("🌄", "X! https://t.me/chan_one/12345", "https://t.me/chan_one/12345", 12345), ("🎬", "[00:09] film", None, None)]),
+        ("🔥 see https://t.me/chan_one or https://t.me/+abc", [("🔥", "see https://t.me/chan_one or https://t.me/+abc", "https://t.me/chan_one", None)]),
+        (" plain\n\n广告：x\nmore ", [(None, "plain\nmore", None, None)]),
+        ("广告:only", []),
+        ("  \n ", []),
+        (None, []),
+    ],
+)
+def test_bot_previews(spark, reply, expected):
+    assert [(p.icon, p.text, p.deeplink, p.msg_id) for p in one(spark, text.bot_previews(F.col("t")), t=reply)] == expected
+
+
+def test_call_hash_is_of_the_multiset(spark):
+    call = lambda name, args: (name, args)
+    sets = {
+        "a": [call("read_file", '{"path":"x","start_line":1,"end_line":50}'), call("search", '{"query":"q","note":1}')],
+        "a2": [call("search", '{"note":2,"query":"q"}'), call("read_file", '{"path":"x","start_line":"180","end_line":2}')],
+        "b": [call("read_file", '{"path":"x","start_line":201}'), call("search", '{"query":"q"}')],
+        "c": [call("search", '{"query":"q"}')],
+        "c2": [call("search", '{"query":"q"}')] * 2,
+        "w": [call("write_file", '{"path":"x","content":"1"}')],
+        "w2": [call("write_file", '{"path":"x","content":"2"}')],
+        "w3": [call("write_file", '{"content":"1","path":"x"}')],
+        "n": [call("ls", "no json")],
+        "z": [],
+    }
+    df = spark.createDataFrame(list(sets.items()), "k string, calls array<struct<name:string,arguments:string>>")
+    h = {r.k: r.h for r in df.select("k", text.call_hash(F.col("calls")).alias("h")).collect()}
+    assert h["a"] == h["a2"] and h["w"] == h["w3"] and all(len(x) == 12 for x in h.values())
+    assert len({h[k] for k in ("a", "b", "c", "c2", "w", "w2", "n", "z")}) == 8
+
+
+def test_marks_of_listings_and_addresses(spark):
+    got = spark.range(1).select(
+        text.image_fingerprint(F.lit("https://x/O1CN01abcdefghijklmnop_!!9.jpg")), text.image_fingerprint(F.lit(None).cast("string")), text.hour_bucket(F.lit("2024-01-31 07:15")), text.hour_bucket(F.lit("31.1.2024")),
+        text.profile_url(F.lit(""), F.lit("https://x.com/who/status/1"), F.lit("Twitter")), text.profile_url(F.lit("g"), F.lit("u"), F.lit("twitter")), text.profile_url(F.lit(None).cast("string"), F.lit("https://t.me/souso"), F.lit("telegram")),
+        text.title_template(F.lit("抖币充值 100% 秒到账快速安全可靠放心")), text.url_parameters(F.lit("http://a/?q=a%20b+c&x=%E6%BC%A2&q=z&bad=%zz#f=1")),
+    ).first()
+    assert tuple(got) == ("O1CN01abcdefghijkl", "", "2024-01-31 07h", "", "https://x.com/who", "g", "", "抖币充值秒到账快速安全可"[:12], {"q": "z", "x": "漢", "bad": "%zz"})
+
+
+def test_small_text_functions(spark):
+    c = F.col("t")
+    assert one(spark, text.deep_link(c), t="see t.me/Chan_one/77").asDict() == {"channel": "chan_one", "msg_id": 77}
+    assert one(spark, text.content_text(c), t='["a", {"type":"text","text":"b"}, {"type":"image"}]') == "a\nb" and one(spark, text.content_text(c), t="plain") == "plain"
+    assert one(spark, text.strip_fence(c), t="```json\n{}\n```") == "{}" and one(spark, text.strip_fence(c), t=" x ") == "x"
+    assert one(spark, text.excerpt(c, F.lit("word"), 3, 4), t="0123456 word 0123456") == "56 word 012" and one(spark, text.excerpt(c, F.lit("none")), t="x") is None
+    assert one(spark, text.linkify(c), t="<b> http://a.b/?x=1 'q'") == "&lt;b&gt; <a href=\"http://a.b/?x=1\">http://a.b/?x=1</a> &#39;q&#39;"
+    assert one(spark, text.head_tail(c, 4, "|"), t="0123456789") == "01|89" and one(spark, text.head_tail(c, 10), t="0123456789") == "0123456789"
+    assert one(spark, text.line_range(c, 2, 3), t="a\nb\nc\nd") == "b\nc" and one(spark, text.line_range(c, 3, 2), t="a\nb\nc") == ""
+    assert one(spark, text.fingerprint(c), t="Ab-1 漢") == ["ab1", "b1漢"] and one(spark, text.fingerprint(c), t="a") == ["a"] and one(spark, text.fingerprint(c), t="!") == []
+    assert one(spark, text.listing_key(F.lit(None), c, F.lit("s"), F.lit("x")), t="http://a/?id=42&b") == "42" and one(spark, text.listing_key(F.lit(None), c, F.lit("s"), F.lit("x")), t="http://a") == "s|x"
+    assert text.safe_pattern("a(") == r"a\(" and text.safe_pattern("a.b") == "a.b"
+    assert one(spark, text.matched_words(c, ["Ab", "x", "b"]), t="aB") == ["Ab", "b"] and one(spark, text.matched_words(c, ["a"], False), t="A") == []
+    assert one(spark, text.segment_signature(c, ["b", "a", "z"], 2), t="zab") == ["a", "b"]
+
+
+def test_small_value_functions(spark):
+    c = F.col("t")
+    assert [one(spark, values.coerce_iso(c), t=t) for t in ("1700000000", "2024-01-02 03:04:05", "soon", None)] == ["2023-11-14T22:13:20Z", "2024-01-02T03:04:05Z", "soon", None]
+    assert str(one(spark, values.mail_time(c), t="Wed Oct 10 20:19:24 +0000 2018")) == "2018-10-10 20:19:24" and one(spark, values.mail_time(c), t="x") is None
+    assert [one(spark, values.day_of(c, F.lit("2024-05-06T07:00"), ), t=t) for t in ("x_2024-01-02.json", "x.json")] == ["2024-01-02", "2024-05-06"]
+    assert one(spark, values.day_of(c, F.lit("later")), t="x") == "unknown"
+    assert [one(spark, values.clamp(c.try_cast("double")), t=t) for t in ("0.5", "7", "-1", "NaN", "x")] == [0.5, 1.0, 0.0, 0.0, 0.0]
+    probe = lambda status, names: spark.range(1).select(values.probe_class(F.lit(status), F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.lit("Key"))).first()[0]
+    assert [probe("error", []), probe("empty", []), probe("ok", ["x", "KEY"]), probe("ok", ["x"]), probe("ok", [])] == ["error", "empty_reply", "direct_hit", "indirect_hit", "no_results"]
+    assert spark.range(1).select(values.ordered_union(F.array(F.lit("b"), F.lit("a")), F.array(F.lit("a"), F.lit("c")))).first()[0] == ["b", "a", "c"]
+    with pytest.raises(TypeError):
+        values.json_matches(c, "k", {"a": 1})
+    with pytest.raises(ValueError):
+        values.json_matches(c, "k.x", 1)
 
 
 def test_json_matches_keep_types_apart(spark):
