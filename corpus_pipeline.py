@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import bpe, decontam, neardup, quality, secrets
-from orrery.llm.common import drop_folders, folders, new_folder, shared_table
+from orrery.llm.common import drop_folders, folders, new_folder, settled, shared_table, without_rows
 from orrery.llm.queries import token_digests
 
 #: All stages take any documents: null and empty texts have no words, an empty table gives no rows, repeated rows and rows that share
@@ -33,17 +33,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words are no duplicates of each other.
     """
     rows = _numbered(docs)
+    made = len(folders(spark))
     groups = neardup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), p=neardup.Params(shingle=5))
-    members = groups.select(F.col("doc_id").alias(ROW), "component_id").join(rows.select(ROW, "doc_id"), ROW)
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row")))["row"].alias(ROW))
-    return rows.join(first.select(ROW), ROW, "left_semi").select(*docs.columns)
+    groups = settled(groups.select(F.col("doc_id").alias(ROW), "component_id"), "groups", made)
+    members = groups.join(rows.select(ROW, "doc_id"), ROW)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(ROW).alias("row"))
+    first = members.groupBy("component_id").agg(F.min(order)["row"].alias("row"), F.count("*").alias("n")).where("n > 1")
+    others = groups.join(first, "component_id").where(F.col(ROW) != F.col("row")).select(ROW)
+    return without_rows(rows, settled(others, "others", made), ROW).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item; rows that share a doc_id are judged apart, and those without one like all others."""
     rows = _numbered(docs)
+    made = len(folders(spark))
     found = decontam.contaminated(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc=ROW).select(F.col("doc_id").alias(ROW)).distinct()
-    return rows.join(found, ROW, "left_anti").select(*docs.columns)
+    return without_rows(rows, settled(found, "contaminated", made), ROW).select(*docs.columns)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
