@@ -252,6 +252,19 @@ def strip_fence(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(c), r"(?s)^```[A-Za-z]*\s*|\s*```$", ""))
 
 
+def first_array(c: Column) -> Column:
+    """The JSON array in a reply, from the first opening bracket to the last closing one, outside of a fence; without one null."""
+    return F.nullif(F.regexp_extract(strip_fence(c), r"(?s)\[.*\]", 0), F.lit(""))
+
+
+def directory_tree(paths: Column, depth: int = 3, most: int = 100) -> Column:
+    """A listing of entries (structs path, type: tree or blob) as indented lines, folders with a slash: those less deep, the first ones."""
+    deep = lambda p: F.length(p) - F.length(F.replace(p, F.lit("/"), F.lit("")))
+    near = F.filter(paths, lambda x: deep(x["path"]) < depth)
+    line = lambda x: F.concat(F.repeat(F.lit("  "), deep(x["path"])), F.element_at(F.split(x["path"], "/"), -1), F.when(x["type"] == "tree", "/").otherwise(""))
+    return F.array_join(F.slice(F.transform(near, line), 1, most), "\n")
+
+
 #: Arguments that tell a call by themselves, tools that all arguments tell, and lines in a bucket of a reading tool (fixed values).
 SALIENT = ("path", "url", "query", "command", "pattern", "glob", "cmd")
 BY_CONTENT = ("write_file", "str_replace")
@@ -285,12 +298,45 @@ def outline(c: Column, most: int = 50) -> Column:
     return F.struct(F.slice(heads, 1, most).alias("headings"), (F.size(heads) > most).alias("truncated"))
 
 
+def snapped(c: Column, at: Column) -> Column:
+    """A place in a text (characters before it), moved back behind the last line end in the half of the text before it, if there is one."""
+    half = F.floor(at / 2).cast("int")
+    back = F.position(F.lit("\n"), F.reverse(F.substring(c, half + 1, at - half)))
+    return F.when((at <= 0) | (at >= F.length(c)) | (back == 0), at).otherwise(at - back + 1)
+
+
 def head_tail(c: Column, size: int, mark: str = "\n…\n") -> Column:
     """The text, or its first and last halves of `size` characters around a mark if it is longer."""
     half = size // 2
     return F.when(F.length(c) > size, F.concat(F.left(c, F.lit(half)), F.lit(mark), F.right(c, F.lit(size - half)))).otherwise(c)
 
 
+def truncated_middle(c: Column, most: int) -> Column:
+    """The text, or its two ends around a mark that tells how many characters are left out, `most` characters at most in all; 0: all."""
+    total = F.length(c)
+    kept = F.lit(most) - F.length(F.format_string("\n... [middle truncated: %d chars skipped] ...\n", total))
+    head = F.floor(kept / 2).cast("int")
+    cut = F.concat(F.left(c, head), F.format_string("\n... [middle truncated: %d chars skipped] ...\n", total - kept), F.right(c, kept - head))
+    return c if most == 0 else F.when(total <= most, c).when(kept <= 0, F.left(c, F.lit(most))).otherwise(cut)
+
+
+def truncated_head(c: Column, most: int, advice: str = "Use start_line/end_line to read a specific range") -> Column:
+    """The text, or its start and a mark that tells how much that is, `most` characters at most in all; 0: all."""
+    total = F.length(c)
+    mark = lambda n: F.format_string(f"\n... [truncated: showing first %d of %d chars. {advice}] ...", n, total)
+    kept = F.lit(most) - F.length(mark(total))
+    return c if most == 0 else F.when(total <= most, c).when(kept <= 0, F.left(c, F.lit(most))).otherwise(F.concat(F.left(c, kept), mark(kept)))
+
+
+def preview(c: Column, head: int, tail: int, mark: str = "\n\n[... %d chars omitted ...]\n\n") -> Column:
+    """The start and the end of a text around a mark that tells what is left out, both cut at line ends where there are any near."""
+    total = F.length(c)
+    first = snapped(c, F.least(F.lit(head), total))
+    last = F.greatest(first, total - tail)
+    last = F.when(snapped(c, last) > first, snapped(c, last)).otherwise(last)
+    return F.concat(F.left(c, first), F.format_string(mark, last - first), F.substring(c, last + 1, total - last))
+
+
 def line_range(c: Column, first: int, last: int) -> Column:
     """Lines first to last, counted from 1, both included."""
     return F.array_join(F.slice(F.split(c, "\n"), first, max(0, last - first + 1)), "\n")

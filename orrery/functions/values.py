@@ -113,3 +113,27 @@ def merge_maps(left: Column, right: Column) -> Column:
 def ordered_union(left: Column, right: Column) -> Column:
     """Items of both lists, each where it first is."""
     return F.array_distinct(F.concat(F.coalesce(left, F.array()), F.coalesce(right, F.array())))
+
+
+#: Fields of a repository's summary and where its description has them (fixed values).
+REPOSITORY = {
+    "name": "full_name", "description": "description", "url": "html_url", "stars": "stargazers_count", "forks": "forks_count", "open_issues": "open_issues_count", "language": "language",
+    "license": "license.spdx_id", "created_at": "created_at", "updated_at": "updated_at", "pushed_at": "pushed_at", "default_branch": "default_branch",
+}
+
+
+def repository_summary(info: Column, languages: Column, contributors: Column, releases: Column) -> Column:
+    """A repository's summary from four JSON documents: its description, its languages, its contributors (how many) and its releases
+    (the first is the latest)."""
+    take = lambda c, k: F.get_json_object(c, f"$.{k}")
+    numbers = ("stars", "forks", "open_issues")
+    fields = [(take(info, at).try_cast("bigint") if name in numbers else take(info, at)).alias(name) for name, at in REPOSITORY.items()]
+    first = lambda k: F.get_json_object(releases, f"$[0].{k}")
+    latest = F.when(F.get_json_object(releases, "$[0]").isNotNull(), F.struct(first("tag_name").alias("tag"), first("name").alias("name"), first("published_at").alias("date")))
+    return F.struct(
+        *fields,
+        F.coalesce(F.from_json(take(info, "topics"), "array<string>"), F.array().cast("array<string>")).alias("topics"),
+        F.coalesce(F.from_json(languages, "map<string,bigint>"), F.create_map().cast("map<string,bigint>")).alias("languages"),
+        F.json_array_length(contributors).alias("contributors"),
+        latest.alias("latest_release"),
+    )

@@ -138,22 +138,19 @@ def bench_stats(runs: DataFrame, config: str, value: str) -> DataFrame:
     return runs.groupBy(config).agg(F.round(F.avg(value), 4).alias("mean"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 4).alias("stddev"), F.round(F.min(value), 4).alias("min"), F.round(F.max(value), 4).alias("max"))
 
 
-def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
-    """Counts by row and column value, and each row's total."""
-    return df.groupBy(row).agg(*[F.count_if(F.col(column) == v).alias(f"n_{v}") for v in values], F.count("*").alias("total"))
+def crosstab(df: DataFrame, row: str, column: str, values: list[str], stratum: str | None = None) -> DataFrame:
+    """Counts by row and column value, and each row's total; with a stratum, for each of its values and for all (null) in one pass."""
+    groups = df.groupBy(row) if stratum is None else df.groupingSets([[F.col(stratum), F.col(row)], [F.col(row)]], stratum, row)
+    return groups.agg(*[F.count_if(F.col(column) == v).alias(f"n_{v}") for v in values], F.count("*").alias("total"))
 
 
 def ngrams(df: DataFrame, text: str, sizes: tuple[int, ...] = (2, 3, 4), keep: str = r"[\x{4e00}-\x{9fff}]", least: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
     """Frequent character n-grams that a pattern is found in."""
-
-    # characters are bound as a lambda's variable: substr() would count from the start of the text for each gram
-    def cut(chars: Column) -> Column:
-        of_size = lambda n: F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda i: F.array_join(F.slice(chars, i, n), ""))
-        return F.concat(*[F.when(F.size(chars) >= n, of_size(n)).otherwise(F.array().cast("array<string>")) for n in sizes])
-
-    grams = F.transform(F.array(F.split(F.col(text), "")), cut)[0]
-    found = df.select(F.explode(grams).alias("gram")).where(F.col("gram").rlike(f"^.*{keep}.*$") & ~F.col("gram").rlike(r"\s") & ~F.col("gram").isin(*stop, ""))
-    return found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    # a place that isn't within a character of two code units, and what follows it
+    of_size = lambda n: F.regexp_extract_all(text, F.lit(rf"(?s)(?<![\x{{D800}}-\x{{DBFF}}])(?=(.{{{n}}}))"), 1)
+    found = df.select(F.explode(F.concat(*[of_size(n) for n in sizes])).alias("gram"))
+    counts = found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counts.where(F.col("gram").rlike(f"(?s)^.*{keep}.*$") & ~F.col("gram").rlike(r"\s") & ~F.col("gram").isin(*stop, ""))
 
 
 def variant_families(counts: DataFrame, top: int = 200, prefix: int = 2, members: int = 3) -> DataFrame:

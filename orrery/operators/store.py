@@ -39,6 +39,12 @@ def insert_or_ignore(batch: DataFrame, path: str, keys: list[str], order: list[C
         fresh.unpersist()
 
 
+def append_raw(batch: DataFrame, path: str, payload: str = "payload", day: str = "day") -> int:
+    """Append raw messages (JSON) to an archive by day, each identity once a day; those without an identity are always kept."""
+    keyed = batch.withColumn("identity", raw_identity(F.col(payload)))
+    return insert_or_ignore(keyed, path, [day, "identity"], [F.col(payload)], day)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

@@ -63,8 +63,11 @@ def recent_flags(messages: DataFrame, thread: str, turn: str, role: str, text: s
     return recent.groupBy(thread).agg(F.coalesce(F.bool_or((F.col(role) == who) & F.col(text).rlike(pattern)), F.lit(False)).alias("flagged"))
 
 
-def memory_messages(messages: DataFrame, thread: str, turn: str, role: str, text: str, block: str) -> DataFrame:
-    """Turns worth remembering: a marked block is cut out; a user turn of nothing else goes, and so does the answer that follows it."""
+def memory_messages(messages: DataFrame, thread: str, turn: str, role: str, text: str, block: str, calls: str | None = None) -> DataFrame:
+    """Turns worth remembering: a marked block is cut out; a user turn of nothing else goes, and so does the answer that follows it.
+    Turns with tool calls (a column that says so) go, and are no answers."""
+    if calls:
+        messages = messages.where(~F.coalesce(F.col(calls), F.lit(False)))
     w = Window.partitionBy(thread).orderBy(turn)
     cut = messages.withColumn("clean", F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), block, "")))
     empty = (F.col(role) == "user") & (F.col("clean") == "") & (F.coalesce(F.col(text), F.lit("")) != "")

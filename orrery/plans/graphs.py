@@ -10,18 +10,19 @@ from orrery.operators import aggregate, graph, similarity
 from orrery.plans.registry import query, table
 
 _WORDS = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')"
-_SHINGLES = f"""d AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM d),
+#: Near-duplicates by five words, 0.8 or more; a text of fewer words is one shingle.
+_FIVE_WORDS = f"""d AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END) AS g FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT a, b, k / (x.n + y.n - k) AS similarity FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.9 * (x.n + y.n - k))"""
+e AS (SELECT a, b, k / (x.n + y.n - k) AS similarity FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * k >= 8 * (x.n + y.n - k))"""
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where(F.size(F.split(F.trim("text"), r"\s+")) >= 3)
-    return similarity.similar_pairs(docs, "doc_id", text.word_shingles(F.col("text")), 0.9)
+    return similarity.similar_pairs(table(spark, d, "documents"), "doc_id", text.word_shingles(F.col("text"), 5), 0.8)
 
 
-@query("jaccard_pairs", f"WITH {_SHINGLES} SELECT a, b, round(similarity, 9) AS similarity FROM e")
+@query("jaccard_pairs", f"WITH {_FIVE_WORDS} SELECT a, b, round(similarity, 9) AS similarity FROM e")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).withColumn("similarity", F.round("similarity", 9))
 
@@ -32,39 +33,11 @@ def greedy_near_dup(spark: SparkSession, d: str) -> DataFrame:
     return similarity.greedy_keep(_pairs(spark, d).select("a", "b"), ranks)
 
 
-@query("components", f"WITH RECURSIVE {_SHINGLES}, u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS id, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY id")
+@query("components", f"WITH RECURSIVE {_FIVE_WORDS}, u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS id, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY id")
 def components(spark: SparkSession, d: str) -> DataFrame:
     return graph.connected_components(_pairs(spark, d))
 
 
-#: Near-duplicates as in the corpus pipeline: five words, 0.8 or more; a text of fewer words is one shingle.
-_FIVE_WORDS = f"""d AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) END) AS g FROM d),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT a, b, k / (x.n + y.n - k) AS similarity FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * k >= 8 * (x.n + y.n - k))"""
-
-
-def _five_word_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.similar_pairs(table(spark, d, "documents"), "doc_id", text.word_shingles(F.col("text"), 5), 0.8)
-
-
-@query("jaccard_pairs_five_words", f"WITH {_FIVE_WORDS} SELECT a, b, round(similarity, 9) AS similarity FROM e")
-def jaccard_pairs_five_words(spark: SparkSession, d: str) -> DataFrame:
-    return _five_word_pairs(spark, d).withColumn("similarity", F.round("similarity", 9))
-
-
-@query("greedy_near_dup_five_words")
-def greedy_near_dup_five_words(spark: SparkSession, d: str) -> DataFrame:
-    ranks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.struct(-F.col("n_chars"), "doc_id").alias("rank"))
-    return similarity.greedy_keep(_five_word_pairs(spark, d).select("a", "b"), ranks)
-
-
-@query("components_five_words", f"WITH RECURSIVE {_FIVE_WORDS}, u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS id, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY id")
-def components_five_words(spark: SparkSession, d: str) -> DataFrame:
-    return graph.connected_components(_five_word_pairs(spark, d))
-
-
 @query("cluster_stats", "SELECT c_nationkey AS nation, count(*) AS size, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS segments, max(c_custkey) AS max_key FROM customer GROUP BY 1")
 def cluster_stats(spark: SparkSession, d: str) -> DataFrame:
     stats = graph.cluster_stats(table(spark, d, "customer").withColumnRenamed("c_nationkey", "nation"), "nation", ["c_mktsegment"], [], ["c_custkey"])

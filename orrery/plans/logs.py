@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import values
 from orrery.operators import aggregate, store, windows
 from orrery.plans.registry import query, table
-from orrery.streaming.operators import replay
+from orrery.streaming import operators
 
 
 def _sequenced(spark: SparkSession, d: str) -> DataFrame:
@@ -93,9 +93,10 @@ def correction_last6(spark: SparkSession, d: str) -> DataFrame:
     return windows.recent_flags(table(spark, d, "conversations"), "conv_id", "turn", "role", "text", "(?i)thing")
 
 
-@query("upload_skip_filter", "SELECT conv_id, turn FROM (SELECT *, lag(e) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT *, role = 'user' AND trim(regexp_replace(coalesce(text, ''), '^[A-Z][^.]{0,60}\\.$', '')) = '' AND coalesce(text, '') <> '' AS e FROM conversations)) WHERE NOT e AND NOT (coalesce(p, false) AND role = 'assistant')")
+@query("upload_skip_filter", "SELECT conv_id, turn FROM (SELECT *, lag(e) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM (SELECT *, role = 'user' AND trim(regexp_replace(coalesce(text, ''), '^[A-Z][^.]{0,60}\\.$', '')) = '' AND coalesce(text, '') <> '' AS e FROM conversations WHERE NOT (role = 'assistant' AND contains(coalesce(text, ''), 'thing')))) WHERE NOT e AND NOT (coalesce(p, false) AND role = 'assistant')")
 def upload_skip_filter(spark: SparkSession, d: str) -> DataFrame:
-    return windows.memory_messages(table(spark, d, "conversations"), "conv_id", "turn", "role", "text", r"^[A-Z][^.]{0,60}\.$").select("conv_id", "turn")
+    c = table(spark, d, "conversations").withColumn("calls", (F.col("role") == "assistant") & F.col("text").contains("thing"))
+    return windows.memory_messages(c, "conv_id", "turn", "role", "text", r"^[A-Z][^.]{0,60}\.$", "calls").select("conv_id", "turn")
 
 
 @query("nested_comments", "SELECT conv_id, count(*) AS n_turns, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY 1")
@@ -115,16 +116,16 @@ def involved_set(spark: SparkSession, d: str) -> DataFrame:
 
 @query("session_debounce_batch", "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS started, count(*) AS n FROM s GROUP BY user_id, k")
 def session_debounce_batch(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.session_window("t", "6 hours")).agg(F.min("ts").alias("started"), F.count("*").alias("n")).select("user_id", "started", "n")
+    e = table(spark, d, "events").withColumns({"t": F.col("ts").cast("timestamp"), "late": F.lit(False)})
+    return operators.debounce(e, ["user_id"], "t", "event_id", ["late"], "6 hours").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("started"), "n")
 
 
 @query("daily_quota_batch", "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n, count(*) > 2 AS over FROM events GROUP BY 1, 2")
 def daily_quota_batch(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return n.withColumn("over", F.col("n") > 2)
+    e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    return operators.daily_quota(e, "user_id", "t", 2).select("user_id", F.to_date("window.start").alias("day"), "n", "over")
 
 
 @query("replay_last", "SELECT event_id FROM events WHERE user_id = 7 ORDER BY event_id DESC LIMIT 256")
 def replay_last(spark: SparkSession, d: str) -> DataFrame:
-    return replay(table(spark, d, "events"), 7, None, run_column="user_id").select("event_id")
+    return operators.replay(table(spark, d, "events"), 7, None, run_column="user_id").select("event_id")

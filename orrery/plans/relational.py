@@ -172,14 +172,8 @@ def first_wins_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return keyed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
 
-@query("upsert_merge", "SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, coalesce(b.c_acctbal, a.c_acctbal) AS c_acctbal, coalesce(a.c_name, b.c_name) AS c_name FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey, c_acctbal + 1 AS c_acctbal, c_name FROM customer WHERE c_custkey % 3 = 0) b ON a.c_custkey = b.c_custkey")
+@query("upsert_merge", "SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, coalesce(b.c_acctbal, a.c_acctbal) AS c_acctbal, coalesce(a.c_name, b.c_name) AS c_name FROM customer a FULL JOIN (SELECT CASE WHEN c_acctbal < 0 THEN c_custkey ELSE -c_custkey END AS c_custkey, c_acctbal + 1 AS c_acctbal, c_name FROM customer) b ON a.c_custkey = b.c_custkey")
 def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_name")
-    return store.upsert(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), "c_custkey", ["c_acctbal"])
-
-
-@query("upsert_merge_all", "SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, coalesce(b.c_acctbal, a.c_acctbal) AS c_acctbal, coalesce(a.c_name, b.c_name) AS c_name FROM customer a FULL JOIN (SELECT CASE WHEN c_acctbal < 0 THEN c_custkey ELSE -c_custkey END AS c_custkey, c_acctbal + 1 AS c_acctbal, c_name FROM customer) b ON a.c_custkey = b.c_custkey")
-def upsert_merge_all(spark: SparkSession, d: str) -> DataFrame:
     # all customers are stored; the batch has each again with another balance, under its key if in debt and else under a new one
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_name")
     batch = c.select(F.when(F.col("c_acctbal") < 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("c_custkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"), "c_name")
@@ -191,6 +185,11 @@ def crosstab_probe(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.crosstab(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority", ["1-URGENT", "5-LOW"])
 
 
+@query("crosstab_strata", "SELECT year(o_orderdate) AS stratum, o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS \"n_1-URGENT\", count(*) AS total FROM orders GROUP BY GROUPING SETS ((1, 2), (2))")
+def crosstab_strata(spark: SparkSession, d: str) -> DataFrame:
+    return aggregate.crosstab(table(spark, d, "orders").withColumn("stratum", F.year("o_orderdate").cast("long")), "o_orderstatus", "o_orderpriority", ["1-URGENT"], "stratum")
+
+
 @query("bench_stats_delta", "WITH s AS (SELECT l_linestatus AS config, round(avg(l_quantity), 4) AS mean FROM lineitem GROUP BY 1) SELECT a.config, a.mean, round(a.mean - b.mean, 4) AS delta FROM s a, s b WHERE b.config = (SELECT min(config) FROM s)")
 def bench_stats_delta(spark: SparkSession, d: str) -> DataFrame:
     s = aggregate.bench_stats(table(spark, d, "lineitem").withColumnRenamed("l_linestatus", "config"), "config", "l_quantity").select("config", "mean")

@@ -58,23 +58,13 @@ def reference_mining(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.explode(F.filter(refs, lambda x: ~F.lower(x).isin("about", "login"))).alias("ref"))
 
 
-@query("ngram_freq", "SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(r_name)), lambda i: substr(r_name, i, 2))) AS gram FROM region) WHERE NOT regexp_matches(gram, '\\s') AND gram <> 'AS' GROUP BY 1 HAVING count(*) >= 2")
+@query("ngram_freq", "SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(text) - k + 2), lambda i: substr(text, i, k))) AS gram FROM documents, (VALUES (2), (3), (4)) v(k)) WHERE regexp_matches(gram, '\\p{L}') AND NOT regexp_matches(gram, '\\s') GROUP BY 1 HAVING count(*) >= 2")
 def ngram_freq(spark: SparkSession, d: str) -> DataFrame:
-    return aggregate.ngrams(table(spark, d, "region"), "r_name", (2,), keep="[A-Z]", stop=("AS",))
-
-
-@query("word_freq_topk", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents WHERE lang = 'en') WHERE word <> '' AND word NOT IN ('the', 'of') GROUP BY 1 ORDER BY n DESC, word LIMIT 20")
-def word_freq_topk(spark: SparkSession, d: str) -> DataFrame:
-    return aggregate.word_frequencies(table(spark, d, "documents").where("lang = 'en'"), "text", ("the", "of"))
-
-
-@query("ngram_freq_documents", "SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(text) - k + 2), lambda i: substr(text, i, k))) AS gram FROM documents, (VALUES (2), (3), (4)) v(k)) WHERE regexp_matches(gram, '\\p{L}') AND NOT regexp_matches(gram, '\\s') GROUP BY 1 HAVING count(*) >= 2")
-def ngram_freq_documents(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.ngrams(table(spark, d, "documents"), "text", keep=r"\p{L}")
 
 
-@query("word_freq_topk_documents", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents) WHERE word <> '' AND word NOT IN ('the', 'of') GROUP BY 1 ORDER BY n DESC, word LIMIT 20")
-def word_freq_topk_documents(spark: SparkSession, d: str) -> DataFrame:
+@query("word_freq_topk", "SELECT word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS word FROM documents) WHERE word <> '' AND word NOT IN ('the', 'of') GROUP BY 1 ORDER BY n DESC, word LIMIT 20")
+def word_freq_topk(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.word_frequencies(table(spark, d, "documents"), "text", ("the", "of"))
 
 
@@ -127,9 +117,29 @@ def phone_email_extract(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.explode(found).alias("email"))
 
 
-@query("price_unit_proximity")
+_PRICED = "p_name || ' ¥' || p_size || ' per box and ' || p_brand || ' 12元 a unit'"
+
+
+@query("price_unit_proximity", "SELECT p_partkey, unnest([CAST(p_size AS DOUBLE), 12.0::DOUBLE]) AS amount, unnest(['box', CASE WHEN 9 + length(p_brand) <= 25 THEN 'box' ELSE 'unit' END]) AS near_unit FROM part")
 def price_unit_proximity(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.explode(extract.prices(F.col("text"), ["the", "die"])).alias("p")).select("doc_id", "p.*")
+    return table(spark, d, "part").select("p_partkey", F.explode(extract.prices(F.expr(_PRICED), ["unit", "box"])).alias("p")).select("p_partkey", "p.*")
+
+
+@query("truncated_middle", "SELECT doc_id, md5(CASE WHEN n <= 500 THEN text ELSE left(text, k // 2) || chr(10) || '... [middle truncated: ' || (n - k) || ' chars skipped] ...' || chr(10) || right(text, k - k // 2) END) AS h FROM (SELECT *, 500 - length(chr(10) || '... [middle truncated: ' || n || ' chars skipped] ...' || chr(10)) AS k FROM (SELECT *, length(text) AS n FROM documents))")
+def truncated_middle(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(text.truncated_middle(F.col("text"), 500)).alias("h"))
+
+
+@query("truncated_head", "SELECT doc_id, md5(CASE WHEN n <= 300 THEN text ELSE left(text, k) || chr(10) || '... [truncated: showing first ' || k || ' of ' || n || ' chars. Use start_line/end_line to read a specific range] ...' END) AS h FROM (SELECT *, 300 - length(chr(10) || '... [truncated: showing first ' || n || ' of ' || n || ' chars. Use start_line/end_line to read a specific range] ...') AS k FROM (SELECT *, length(text) AS n FROM documents))")
+def truncated_head(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.md5(text.truncated_head(F.col("text"), 300)).alias("h"))
+
+
+@query("reply_arrays", "SELECT doc_id, doc_id AS id FROM documents")
+def reply_arrays(spark: SparkSession, d: str) -> DataFrame:
+    reply = F.concat(F.lit('```json\nHere it is: [{"id": '), F.col("doc_id").cast("string"), F.lit('}, "x]"] done\n```'))
+    found = F.from_json(text.first_array(reply), "array<string>")
+    return table(spark, d, "documents").select("doc_id", F.get_json_object(found[0], "$.id").cast("long").alias("id"))
 
 
 @query("contact_window")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orrery.functions.values import day_of
+
 
 def json_documents(spark: SparkSession, path: str, element: T.DataType, wrapper: str = "notes", pattern: str = "*.json") -> DataFrame:
     """Records of whole-file JSON below a folder in three layouts (a list, an object with a list under `wrapper`, one object), with
@@ -21,6 +23,12 @@ def json_documents(spark: SparkSession, path: str, element: T.DataType, wrapper:
     return whole.select(F.col("_metadata.file_name").alias("source_file"), F.explode(rows).alias("r")).where("r IS NOT NULL").select("source_file", "r.*")
 
 
+def dated_records(spark: SparkSession, path: str, element: T.StructType, time: str, wrapper: str = "records") -> DataFrame:
+    """Records of JSON files of an earlier layout with their day: that in the file's name, else that of the record, else unknown."""
+    df = json_documents(spark, path, element, wrapper)
+    return df.withColumn("day", day_of(F.col("source_file"), F.col(time)))
+
+
 def listing_files(spark: SparkSession, path: str, item: T.StructType, excluded: str = "_detail_") -> DataFrame:
     """Items of {keyword, items[]} files; the keyword defaults to the file's stem, names with `excluded` are skipped."""
     shape = T.StructType([T.StructField("keyword", T.StringType()), T.StructField("items", T.ArrayType(item))])
@@ -105,49 +113,86 @@ def atom_entries(df: DataFrame, xml: str) -> DataFrame:
     )
 
 
-TWEET = "tweet_id string, user_id string, screen_name string, text string, date string, url string"
-
+#: The columns of posts.
+POST = (
+    "tweet_id string, user_id string, screen_name string, user_name string, text string, date string, lang string, reply_count long, retweet_count long, favorite_count long, quote_count long, "
+    "view_count long, is_retweet boolean, in_reply_to string, source_keyword string, url string, media_urls array<string>"
+)
 
-def tweets(df: DataFrame, payload: str) -> DataFrame:
-    """Posts anywhere in nested JSON payloads, in two shapes (flat items of type tweet; objects with full_text), each id once per payload."""
-
-    def walk(x, users):
-        if isinstance(x, dict):
-            if x.get("type") == "tweet" and x.get("tweet_id"):
-                yield {"tweet_id": str(x["tweet_id"]), "user_id": str(x.get("user_id") or "") or None, "screen_name": x.get("screen_name"), "text": x.get("text"), "date": x.get("created_at") or x.get("date")}
-            elif "full_text" in x and ("created_at" in x or "user_id_str" in x):
-                user = str(x.get("user_id_str") or "") or None
-                yield {"tweet_id": str(x.get("id_str") or x.get("id")), "user_id": user, "screen_name": users.get(user), "text": x["full_text"], "date": x.get("created_at")}
-            for v in x.values():
-                yield from walk(v, users)
-        elif isinstance(x, list):
-            for v in x:
-                yield from walk(v, users)
 
-    def names(x, out):
+def _objects(x):
+    """All objects anywhere in nested JSON, outer ones first."""
+    todo = [x]
+    while todo:
+        x = todo.pop()
         if isinstance(x, dict):
-            if x.get("screen_name") and (x.get("id_str") or x.get("rest_id")):
-                out[str(x.get("id_str") or x.get("rest_id"))] = x["screen_name"]
-            for v in x.values():
-                names(v, out)
+            yield x
+            todo += reversed(list(x.values()))
         elif isinstance(x, list):
-            for v in x:
-                names(v, out)
-        return out
+            todo += reversed(x)
+
+
+def _number(x) -> int:
+    try:
+        return int(x or 0)
+    except (TypeError, ValueError):
+        return 0
+
+
+def _media(post: dict) -> list[str]:
+    """Addresses of a post's pictures and previews, each once."""
+    own = post.get("media") if isinstance(post.get("media"), dict) else {}
+    listed = [m for kind in ("photo", "video", "animated_gif") for m in own.get(kind) or []]
+    found = [m.get("media_url_https") or m.get("media_url") for m in listed]
+    entities = post.get("entities") if isinstance(post.get("entities"), dict) else {}
+    found += [m.get("media_url_https") or m.get("media_url") or m.get("expanded_url") for m in entities.get("media") or []]
+    return list(dict.fromkeys(u for u in found if u))
+
+
+def _posts(payload, keyword: str) -> list[dict]:
+    """Posts of a payload: first the flat items, then the nested ones whose id isn't there yet."""
+    every = list(_objects(payload))
+    people = {}
+    for o in every:
+        if "id_str" in o and ("screen_name" in o or "name" in o):
+            people.setdefault(o["id_str"], o)
+    out: dict[str, dict] = {}
+    for o in every:
+        if o.get("type") == "tweet" and "tweet_id" in o and "text" in o and (key := str(o["tweet_id"] or "")) and key not in out:
+            counts = dict(reply_count="replies", retweet_count="retweets", favorite_count="favorites", quote_count="quotes", view_count="views")
+            who = {"user_id": str(o.get("user_id") or ""), "screen_name": o.get("screen_name") or "", "user_name": o.get("user_name") or o.get("name") or ""}
+            out[key] = who | {"text": o.get("text") or "", "is_retweet": bool(o.get("retweeted")), "in_reply_to": str(o.get("in_reply_to_status_id") or ""), "__o": o} | {n: _number(o.get(c)) for n, c in counts.items()}
+    for o in every:
+        if "full_text" in o and ("created_at" in o or "user_id_str" in o) and (key := str(o.get("id_str") or o.get("id") or "")) and key not in out:
+            user = str(o.get("user_id_str") or o.get("user_id") or "")
+            person = people.get(user, {})
+            counts = {n: _number(o.get(n)) for n in ("reply_count", "retweet_count", "favorite_count", "quote_count")}
+            out[key] = {"user_id": user, "screen_name": person.get("screen_name") or "", "user_name": person.get("name") or "", "text": o.get("full_text") or o.get("text") or "", "view_count": _number(o.get("views_count") or o.get("view_count"))} | counts
+            out[key] |= {"is_retweet": bool(o.get("retweeted_status_id_str") or o.get("retweeted")), "in_reply_to": str(o.get("in_reply_to_status_id_str") or ""), "__o": o}
+    rows = []
+    for key, post in out.items():
+        o = post.pop("__o")
+        url = f"https://twitter.com/{post['screen_name']}/status/{key}" if post["screen_name"] else ""
+        rows.append(post | {"tweet_id": key, "date": o.get("created_at"), "lang": o.get("lang") or "", "source_keyword": keyword, "url": url, "media_urls": _media(o)})
+    return rows
+
+
+def tweets(df: DataFrame, payload: str, keyword: str | None = None) -> DataFrame:
+    """Posts anywhere in nested JSON payloads, in two shapes (flat items of type tweet; objects with full_text, whose author stands
+    elsewhere in the payload), each id once per payload, with the keyword that was searched for. Unreadable payloads give none."""
+    names = [c.split()[0] for c in POST.split(", ")]
 
     def run(frames):
         for frame in frames:
             rows = []
-            for p in frame[payload]:
+            for p, k in zip(frame["p"], frame["k"], strict=True):
                 try:
-                    doc = json.loads(p)
+                    rows += _posts(json.loads(p), k or "")
                 except (TypeError, ValueError):
                     continue
-                once = {t["tweet_id"]: t for t in reversed(list(walk(doc, names(doc, {}))))}
-                rows += [t | {"url": f"https://x.com/{t['screen_name'] or 'i'}/status/{t['tweet_id']}"} for t in reversed(list(once.values()))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TWEET.split(", ")])
+            yield pd.DataFrame(rows, columns=names)
 
-    return df.select(payload).mapInPandas(run, TWEET)
+    return df.select(F.col(payload).alias("p"), (F.col(keyword) if keyword else F.lit("")).alias("k")).mapInPandas(run, POST)
 
 
 def next_cursor(payload: Column) -> Column:

@@ -114,6 +114,23 @@ def html_report(title: str, frames: dict[str, DataFrame], most: int = 1000) -> s
     return f"<!DOCTYPE html><meta charset=utf-8><title>{name}</title><h1>{name}</h1>{''.join(tables)}<script type='application/json' id='data'>{told}</script>"
 
 
+def graph_json(nodes: DataFrame, edges: DataFrame, most: int = 5000) -> str:
+    """Nodes (id, ...) and links (a, b, ...) of a graph to be drawn: the first nodes by id, and the links among them."""
+    kept = nodes.orderBy("id").limit(most)
+    ids = F.broadcast(kept.select("id"))
+    inner = edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    rows = lambda df: [json.loads(r["j"]) for r in df.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator()]
+    return json.dumps({"nodes": rows(kept.orderBy("id")), "links": rows(inner.withColumnsRenamed({"a": "source", "b": "target"}))}, ensure_ascii=False)
+
+
+def markdown_report(title: str, frames: dict[str, DataFrame]) -> str:
+    """Aggregates as Markdown tables under a title, all their rows."""
+    out = [f"# {title}\n"]
+    for name, df in frames.items():
+        out.append(f"\n## {name}\n\n" + _markdown_row(df.columns) + _markdown_row(["---"] * len(df.columns)) + "".join(_markdown_row([str(v) for v in r]) for r in _flat(df).toLocalIterator()))
+    return "".join(out)
+
+
 class StageCounters:
     """Rows that pass the stages of a job, counted on the way by observations, with no pass of their own."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -106,3 +107,26 @@ def replay(log: DataFrame, run: str, after: str | None, run_column: str = "run_i
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Handle what is there in micro-batches with a batch function; the checkpoint lets a failed batch run again."""
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def buffered(handle: Callable[[DataFrame, int], None], folder: str, threshold: int) -> Callable[[DataFrame, int], None]:
+    """A handler of micro-batches that keeps their rows in a folder until there are `threshold`, then hands over all of them at once.
+
+    If that fails, the rows stay and are handed over again with the next batch. A batch that is run again replaces its own rows.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        waiting = spark.read.parquet(folder).drop("batch")
+        if waiting.count() < threshold:
+            return
+        try:
+            handle(waiting, number)
+        except Exception as e:  # noqa: BLE001
+            warnings.warn(f"batch {number} is kept for the next: {e}", stacklevel=2)
+            return
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return run

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from orrery.functions import extract, text, values
+from orrery.functions import extract, markdown, text, values
 
 
 def one(spark, c, **row):
@@ -156,3 +156,56 @@ def test_prices_and_contacts(spark):
     assert rows[0].p[0].amount == 12.0 and rows[0].p[0].near_unit == "box"
     assert [(c.type, c.value) for c in rows[0].c] == [("id", "ab1234567")]
     assert rows[1].p == [] and rows[1].c == []
+
+
+def snap(text, pos):
+    if pos <= 0 or pos >= len(text):
+        return pos
+    at = text.rfind("\n", pos // 2, pos)
+    return at + 1 if at >= 0 else pos
+
+
+@pytest.mark.parametrize(("head", "tail"), [(10, 5), (0, 7), (50, 50), (7, 0), (3, 30)])
+def test_previews_are_cut_at_line_ends(spark, head, tail):
+    texts = ["", "short", "line one\nline two\nline three\nline four", "x" * 60, "é\n" * 25, "a" * 30 + "\n" + "b" * 30]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.p for r in df.select("i", text.preview(F.col("t"), head, tail, "<%d>").alias("p")).collect()}
+    for i, t in enumerate(texts):
+        first = snap(t, min(head, len(t)))
+        last = max(first, len(t) - tail)
+        last = snap(t, last) if snap(t, last) > first else last
+        assert got[i] == f"{t[:first]}<{last - first}>{t[last:]}"
+
+
+@pytest.mark.parametrize("most", [0, 20, 48, 60, 100])
+def test_truncations_keep_their_bound(spark, most):
+    t = "0123456789" * 9
+    middle, head = one(spark, text.truncated_middle(F.col("t"), most), t=t), one(spark, text.truncated_head(F.col("t"), most, "x"), t=t)
+    assert (middle == head == t) if most in (0, 100) else len(middle) <= most and len(head) <= most and middle[:1] == head[:1] == "0"
+    if most == 60:
+        assert "chars skipped" in middle and middle.endswith("9")
+
+
+def test_arrays_and_trees(spark):
+    assert one(spark, text.first_array(F.col("t")), t="```json\nsee [1, [2]] end\n```") == "[1, [2]]" and one(spark, text.first_array(F.col("t")), t="none") is None
+    entries = [("a", "tree"), ("a/b.txt", "blob"), ("a/c/d", "tree"), ("a/c/d/e.txt", "blob")]
+    df = spark.createDataFrame([(entries,)], "e array<struct<path:string,type:string>>")
+    assert df.select(text.directory_tree(F.col("e"))).first()[0] == "a/\n  b.txt\n    d/" and df.select(text.directory_tree(F.col("e"), 9, 1)).first()[0] == "a/"
+
+
+def test_articles_as_markdown(spark):
+    page = "<html><head><title> A  &amp; B </title><script>x</script></head><body><nav>menu</nav><article><h2>Head</h2><p>One <b>bold</b> <a href='/l'>link</a><br>two<ul><li>x<li>y</ul><img src='i.png' alt='p'><script>no</script></article><footer>f</footer>"
+    want = "# A & B\n\n## Head\n\nOne **bold** [link](/l)  \ntwo\n\n* x\n* y\n\n![p](i.png)\n"
+    assert markdown.to_markdown(page) == want
+    assert markdown.to_markdown(None) == markdown.to_markdown("") == "# Untitled\n\n*No content available*\n" and markdown.to_markdown("<p>x", False) == "x\n"
+    df = spark.createDataFrame([(page, "http://h/d/"), (None, None)], "p string, u string").withColumn("m", markdown.article_markdown(F.col("p")))
+    rows = df.select(markdown.message_parts(F.col("m"), F.col("u")).alias("x")).collect()
+    assert [(x.type, x.url) for x in rows[0].x] == [("text", None), ("image_url", "http://h/d/i.png")] and rows[1].x[0].text.startswith("# Untitled")
+
+
+def test_repository_summary(spark):
+    row = ('{"full_name":"o/r","stargazers_count":5,"license":{"spdx_id":"MIT"},"topics":["a"]}', '{"Py":3}', "[{},{}]", '[{"tag_name":"v2","name":"n","published_at":"d"},{"tag_name":"v1"}]')
+    df = spark.createDataFrame([row, ("{}", None, "[]", "[]")], "i string, l string, c string, r string")
+    a, b = [r.s for r in df.select(values.repository_summary(*map(F.col, "ilcr")).alias("s")).collect()]
+    assert (a.name, a.stars, a.license, a.topics, a.languages, a.contributors, a.latest_release.tag) == ("o/r", 5, "MIT", ["a"], {"Py": 3}, 2, "v2")
+    assert (b.name, b.topics, b.languages, b.contributors, b.latest_release) == (None, [], {}, 0, None)

@@ -33,22 +33,22 @@ def test_five_word_pairs_and_short_texts(spark, tmp_path):
     texts = ["one two", "One  two", "one", " ", None, " ".join(words), " ".join([*words[:-4], *"abcd"])]
     spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
     q = registry.queries()
-    assert {(r.a, r.b, r.similarity) for r in q["jaccard_pairs_five_words"](spark, str(tmp_path)).collect()} == {(0, 1, 1.0), (5, 6, round(52 / 60, 9))}
-    assert {(r.id, r.component) for r in q["components_five_words"](spark, str(tmp_path)).collect()} == {(0, 0), (1, 0), (5, 5), (6, 5)}
-    assert {r.id for r in q["greedy_near_dup_five_words"](spark, str(tmp_path)).collect() if not r.kept} == {0, 6}
+    assert {(r.a, r.b, r.similarity) for r in q["jaccard_pairs"](spark, str(tmp_path)).collect()} == {(0, 1, 1.0), (5, 6, round(52 / 60, 9))}
+    assert {(r.id, r.component) for r in q["components"](spark, str(tmp_path)).collect()} == {(0, 0), (1, 0), (5, 5), (6, 5)}
+    assert {r.id for r in q["greedy_near_dup"](spark, str(tmp_path)).collect() if not r.kept} == {0, 6}
 
 
 def test_grams_and_words_of_all_documents(spark, tmp_path):
     rows = [(1, "ab\U0001f600cd", "en"), (2, "ab\U0001f600", "de"), (3, None, "fr"), (4, "", "es"), (5, "x", "en"), (6, "the Zug", "de")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     q = registry.queries()
-    assert {tuple(r) for r in q["ngram_freq_documents"](spark, str(tmp_path)).collect()} == {("ab", 2), ("b\U0001f600", 2), ("ab\U0001f600", 2)}
-    assert {tuple(r) for r in q["word_freq_topk_documents"](spark, str(tmp_path)).collect()} == {("ab", 2), ("cd", 1), ("x", 1), ("zug", 1)}
+    assert {tuple(r) for r in q["ngram_freq"](spark, str(tmp_path)).collect()} == {("ab", 2), ("b\U0001f600", 2), ("ab\U0001f600", 2)}
+    assert {tuple(r) for r in q["word_freq_topk"](spark, str(tmp_path)).collect()} == {("ab", 2), ("cd", 1), ("x", 1), ("zug", 1)}
 
 
 def test_upsert_of_all_customers(spark, tmp_path):
     spark.createDataFrame([(1, -5.0, "a"), (5, 7.0, "b")], "c_custkey long, c_acctbal double, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
-    assert {tuple(r) for r in registry.queries()["upsert_merge_all"](spark, str(tmp_path)).collect()} == {(1, -4.0, "a"), (5, 7.0, "b"), (-5, 8.0, "b")}
+    assert {tuple(r) for r in registry.queries()["upsert_merge"](spark, str(tmp_path)).collect()} == {(1, -4.0, "a"), (5, 7.0, "b"), (-5, 8.0, "b")}
 
 
 def test_insert_or_ignore_twice(spark, tmp_path):
@@ -123,9 +123,16 @@ def test_files_and_federation(spark, tmp_path):
 
 
 def test_nested_payload(spark):
-    doc = {"data": [{"type": "tweet", "tweet_id": 5, "text": "x", "screen_name": "n"}, {"deep": {"full_text": "y", "created_at": "d", "id_str": "6", "user_id_str": "1"}}, {"users": {"1": {"id_str": "1", "screen_name": "who"}}}]}
-    df = spark.createDataFrame([(json.dumps(doc),), ("bad",), (None,)], "p string")
-    assert sorted((r.tweet_id, r.screen_name, r.text) for r in files.tweets(df, "p").collect()) == [("5", "n", "x"), ("6", "who", "y")]
+    flat = {"type": "tweet", "tweet_id": 5, "text": "x", "screen_name": "n", "name": "N", "views": "12", "replies": 3, "media": {"photo": [{"media_url_https": "m1"}], "video": [{"media_url": "m2"}, {"media_url": "m2"}]}}
+    legacy = {"full_text": "y", "created_at": "d", "id_str": "6", "user_id_str": "1", "lang": "en", "favorite_count": 2, "retweeted_status_id_str": "9", "entities": {"media": [{"expanded_url": "e"}]}}
+    again = {"full_text": "other", "created_at": "d", "id_str": "5"}
+    doc = {"data": [flat, {"deep": legacy}, again, {"type": "tweet", "tweet_id": ""}, {"users": {"1": {"id_str": "1", "screen_name": "who", "name": "Who"}}}]}
+    df = spark.createDataFrame([(json.dumps(doc), "kw"), ("bad", "kw"), (None, None)], "p string, k string")
+    got = {r.tweet_id: r for r in files.tweets(df, "p", "k").collect()}
+    assert set(got) == {"5", "6"}
+    a, b = got["5"], got["6"]
+    assert (a.text, a.screen_name, a.user_name, a.view_count, a.reply_count, a.media_urls, a.url, a.source_keyword) == ("x", "n", "N", 12, 3, ["m1", "m2"], "https://twitter.com/n/status/5", "kw")
+    assert (b.text, b.screen_name, b.user_name, b.lang, b.favorite_count, b.is_retweet, b.media_urls, b.url) == ("y", "who", "Who", "en", 2, True, ["e"], "https://twitter.com/who/status/6")
 
 
 def test_list_changes(spark):

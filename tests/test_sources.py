@@ -249,3 +249,24 @@ def test_event_append_and_migration(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "old_id int, t string")
     moved = store.migrate_table(old, spark.createDataFrame([(1, "x")], "id int, t string"), ["id"], [F.col("t")], {"old_id": "id"})
     assert [tuple(r) for r in moved.collect()] == [(2, "b")]
+
+
+def test_raw_archive_keeps_what_has_no_identity(spark, tmp_path):
+    batch = spark.createDataFrame([("d", '{"msg_id": 1}'), ("d", '{"msg_id": 1, "x": 2}'), ("d", "{}"), ("d", "{}"), ("e", '{"msg_id": 1}')], "day string, payload string")
+    path = f"file://{tmp_path}/raw"
+    assert store.append_raw(batch, path) == 4
+    assert store.append_raw(batch, path) == 2 and spark.read.parquet(path).count() == 6
+
+
+def test_dated_records(spark, tmp_path):
+    element = T.StructType([T.StructField("id", T.StringType()), T.StructField("at", T.StringType())])
+    write(tmp_path, "x_2024-01-02.json", [{"id": "1", "at": "2023-01-01T00:00"}])
+    write(tmp_path, "old.json", {"records": [{"id": "2", "at": "2023-05-06T00:00"}, {"id": "3"}]})
+    assert sorted((r.id, r.day) for r in files.dated_records(spark, str(tmp_path), element, "at").collect()) == [("1", "2024-01-02"), ("2", "2023-05-06"), ("3", "unknown")]
+
+
+def test_graph_and_markdown_report(spark):
+    nodes, edges = spark.range(5).withColumn("name", F.lit("n")), spark.createDataFrame([(0, 1), (1, 4)], "a long, b long")
+    got = json.loads(sinks.graph_json(nodes, edges, most=3))
+    assert [n["id"] for n in got["nodes"]] == [0, 1, 2] and got["links"] == [{"source": 0, "target": 1}]
+    assert sinks.markdown_report("T", {"a": nodes.limit(1)}) == "# T\n\n## a\n\n| id | name |\n| --- | --- |\n| 0 | n |\n"

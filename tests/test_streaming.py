@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from orrery.operators import windows
@@ -71,3 +72,21 @@ def test_replay_after_what_was_seen(spark):
     log = spark.createDataFrame([("r", i) for i in range(5)] + [("x", 9)], "run_id string, event_id int")
     ids = lambda after, most=256: [r.event_id for r in operators.replay(log, "r", after, most=most).collect()]
     assert ids(None) == [0, 1, 2, 3, 4] and ids(2) == [3, 4] and ids(77) == [0, 1, 2, 3, 4] and ids(0, most=2) == [3, 4]
+
+
+def test_buffered_rows_are_handed_over_again_after_a_failure(spark, tmp_path):
+    seen, fails = [], [True]
+
+    def handle(batch, number):
+        if fails.pop() if fails else False:
+            raise RuntimeError("not now")
+        seen.append((number, sorted(r.id for r in batch.collect())))
+
+    run = operators.buffered(handle, f"file://{tmp_path}/wait", 3)
+    run(spark.createDataFrame([(1,), (2,)], "id int"), 0)
+    assert seen == []
+    with pytest.warns(UserWarning):
+        run(spark.createDataFrame([(3,)], "id int"), 1)
+    run(spark.createDataFrame([(3,)], "id int"), 1)
+    run(spark.createDataFrame([(4,)], "id int"), 2)
+    assert seen == [(1, [1, 2, 3])]
