@@ -42,7 +42,7 @@ def shard_documents(documents: DataFrame, shards: int = 8, key: str = "doc_id",
     )
     rows = F.struct(*[F.col(f"`{c}`") for c in [*base.columns, "grown_shard"]])
     tasks = max(1, math.ceil(total / task_bytes))
-    bucket = dealt.repartition(tasks, "shard", "__bucket").sortWithinPartitions("shard", "__bucket", "__order", key).groupBy("shard", "__bucket").agg(F.collect_list(rows).alias("rows"))
+    bucket = dealt.repartitionByRange(tasks, "shard", "__bucket").sortWithinPartitions("shard", "__bucket", "__order", key).groupBy("shard", "__bucket").agg(F.collect_list(rows).alias("rows"))
     mixed = bucket.select("shard", "__bucket", F.posexplode(F.shuffle("rows", seed)).alias("__pos", "row"))
     # an aggregate by hash would hold many buckets at once, one over sorted rows holds one; the plan is made while the table is written
     by_hash = "spark.sql.execution.useObjectHashAggregateExec"
