@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import without
+from orrery.llm.common import shared_table, without
 
 #: White space between words, and the characters that count as symbols (fixed values).
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -100,6 +100,11 @@ def rule_ledger(documents: DataFrame, text: str = "text") -> DataFrame:
     return step3.withColumn("failed_bits", bits.cast("long"))
 
 
+def stored_ledger(documents: DataFrame, text: str = "text") -> DataFrame:
+    """rule_ledger() without the text, written to the shared folder: policies and ablations read it and measure nothing again."""
+    return shared_table(rule_ledger(documents, text).drop(text), "ledger")
+
+
 def passes(policy: Policy) -> Column:
     """Whether a row of the ledger passes a policy."""
     return F.col("failed_bits").bitwiseAND(F.lit(policy.mask).cast("long")) == 0
@@ -123,7 +128,8 @@ def apply_policy(ledger: DataFrame, policy: Policy) -> DataFrame:
 def ablations(ledger: DataFrame, policies: list[Policy]) -> DataFrame:
     """For each policy and each of its rules: rows in all, rows rejected, and rows that only this rule rejects.
 
-    The ledger is first counted by its bits, of which there are at most 2^rules, so the rest is on a few rows.
+    The ledger is first counted by its bits, of which there are at most 2^rules, so the rest is on a few rows. An empty ledger gives
+    none.
     """
     counts = ledger.groupBy("failed_bits").agg(F.count("*").alias("n"))
     table = [(p.version, r, p.mask, 1 << RULES[r]) for p in policies for r in p.rules]

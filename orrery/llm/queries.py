@@ -81,11 +81,16 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ledger = quality.rule_ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ledger = quality.stored_ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     judged = quality.apply_policy(ledger, quality.STANDARD)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes(quality.BASE)).alias("base_failed"), "kept", "failed_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, alone and with others."""
+    return quality.ablations(quality.stored_ledger(_table(spark, sf_dir, "documents").select("doc_id", "text")), [quality.BASE, quality.STANDARD])
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
     return token_digests(bpe.transcode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), "doc_id")
@@ -115,7 +120,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_sharding, op4_html_extraction, op5_secret_scan, op6_quality_rules, op7_bpe, op8_near_dedup, op9_warc, op10_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_sharding, op4_html_extraction, op5_secret_scan, op6_quality_rules, op7_bpe, op8_near_dedup, op9_warc, op10_decontamination, pipeline, quality_ablations)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -137,7 +142,14 @@ f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_
         + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END)
         + (CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words) THEN 16 ELSE 0 END)
         + (CASE WHEN 2 * n_exclaims > n_words THEN 32 ELSE 0 END) AS bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS failed_bits FROM f
+"""
+_LEDGER = _OP6
+_OP6 += "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS failed_bits FROM f"
+
+_POLICIES = ", ".join(f"('{p.version}', '{r}', {p.mask}, {1 << quality.RULES[r]})" for p in (quality.BASE, quality.STANDARD) for r in p.rules)
+_ABLATIONS = f"""{_LEDGER}
+SELECT policy, rule, count(*) AS n_rows, count(*) FILTER (bits & mask <> 0) AS n_rejected, count(*) FILTER (bits & mask & bit <> 0) AS n_failing_rule, count(*) FILTER (bits & mask = bit) AS n_by_rule_alone
+FROM f, (VALUES {_POLICIES}) v(policy, rule, mask, bit) GROUP BY 1, 2
 """
 
 _OP8 = rf"""
@@ -161,4 +173,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": _OP6, "op8_near_dedup": _OP8, "op9_warc": _OP9}
+    return {"op6_quality_rules": _OP6, "quality_ablations": _ABLATIONS, "op8_near_dedup": _OP8, "op9_warc": _OP9}
