@@ -1,4 +1,8 @@
-"""One query for each operator, over its whole table with production parameters, and DuckDB SQL where SQL can express it."""
+"""One query for each operator, over its whole table with production parameters, and DuckDB SQL where SQL can express it.
+
+All return one row for each row of their table (op10: for each pair found), repeated rows alike, however long a text is; an empty table
+gives no rows; other columns are not read, so their names can't clash. What nulls and empty texts give is told by each.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by the field trained on documents that aren't held out. Null and empty texts have the score of no evidence; a null doc_id is
+    not held out. Without labels, nothing is toxic."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(*toxicity.training_sample(documents, _table(spark, sf_dir, "labels")))
     scored = toxicity.score_toxicity(documents, model)
@@ -37,6 +43,7 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts by the fixed rules, else by mined ones, else allow. Null and malformed URLs have empty host and path."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     rules = urlfilter.mine_rules(labelled_urls(pages, _table(spark, sf_dir, "labels")), QUERY_RULES)
     judged = urlfilter.judge_urls(pages, rules, QUERY_RULES)
@@ -49,6 +56,8 @@ QUERY_RULES = urlfilter.Params(confidence=0.5)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards by doc_id; null ids share a shard, null texts have size 1 and the checksum of nothing; equal texts and rows are told
+    apart by slot alone."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     sharded = sharding.shard_documents(documents, shards=8)
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -56,6 +65,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts; null and empty pages and those without an article have an empty one."""
     found = htmltext.extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
@@ -68,6 +78,7 @@ def _span_list(spans: Column) -> Column:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and their verdicts; null and empty texts have none, a null source is no owner."""
     scanned = secrets.scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), keep_text=False)
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
     return scanned.select(
@@ -81,6 +92,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and verdicts from the stored ledger; null and empty texts have no words and fail."""
     ledger = quality.stored_ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     judged = quality.apply_policy(ledger, quality.STANDARD)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes(quality.BASE)).alias("base_failed"), "kept", "failed_bits")
@@ -92,6 +104,7 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Tokens of whole texts and what they decode to; null and empty texts have none, and the digests of nothing."""
     vocabulary = bpe.Vocabulary.load(tokenizer or public_tokenizers.path("word_bpe_49k.json"))
     return token_digests(bpe.transcode_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary), "doc_id")
 
@@ -101,15 +114,19 @@ def token_digests(decoded: DataFrame, *columns: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates; null and empty texts are linked with nothing, rows without doc_id have no component and are kept,
+    rows that share a doc_id are one vertex."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written and read back; a null page is an empty payload, null ids come before all others when payloads tie."""
     back = warc.archive_round_trip(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents and the benchmark items that they hold; null and empty texts and items hold nothing, a null doc_id is told as null."""
     return decontam.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 

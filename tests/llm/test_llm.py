@@ -28,6 +28,12 @@ def odd(spark):
     return spark.createDataFrame(ODD, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("N_words", "kept", "toxic_score", "token_ids", "shard", "slot", "spans", "registers", "source")}).withColumn("source", F.lit("s"))
 
 
+@pytest.fixture(scope="module")
+def tokenizer():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.Vocabulary.load(path), tokenizers.Tokenizer.from_file(path)
+
+
 # 1 toxicity
 def test_marginals_match_enumeration():
     rng = np.random.default_rng(1)
@@ -66,6 +72,45 @@ def test_toxicity_learns_and_handles_odd_rows(spark, odd):
     assert toxicity.train([], []).emit.max() < 0
 
 
+def test_toxicity_query_on_held_out_documents(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = queries.op1_toxicity(spark, folder).collect()
+    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    assert all(r.held_out == held(r.doc_id) and r.predicted == int(r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+    bad, good = ([r.score for r in rows if r.held_out and labels.get(r.doc_id) == y] for y in (1, 0))
+    area = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert len(bad) > 50 and area > 0.9, area
+
+
+def test_labels_of_held_out_documents_have_no_say(spark, tmp_path):
+    folder = "/root/testdata/sf0.01"
+    spark.read.parquet(f"{folder}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    flipped = spark.read.parquet(f"{folder}/labels.parquet").withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    flipped.write.parquet(f"{tmp_path}/labels.parquet")
+    scores = lambda d: {r.doc_id: r.score for r in queries.op1_toxicity(spark, d).collect()}
+    assert scores(str(tmp_path)) == scores(folder)
+
+
+def test_one_huge_text_among_many(spark, tokenizer):
+    v, lib = tokenizer
+    rng = random.Random(77)
+    huge = " ".join(rng.choice(["alpha", "beta", "Gamma", "12", "é", "token=abcdef123456", "x" * 40]) + str(rng.randrange(50_000)) for _ in range(150_000))
+    rows = [(i, f"short text number {i} of many") for i in range(60)] + [(100, huge), (101, huge + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = {r.doc_id: r for r in neardup.near_duplicates(df).collect()}
+    assert got[100].n_shingles == len(neardup.exact_set(huge, 4)) and got[101].component_id == 100
+    ids = {r.doc_id: r.token_ids for r in bpe.transcode_documents(df, v).select("doc_id", "token_ids").collect()}
+    assert np.frombuffer(ids[100], "<u4").tolist() == lib.encode(huge, add_special_tokens=False).ids
+    spans = {r.doc_id: len(r.base_spans) for r in secrets.scan_secrets(df, keep_text=False).collect()}
+    assert spans[100] == len(secrets.base_spans(huge)) > 1000
+    item = "Gamma sells 12 apples for 3 dollars each and then buys 4 kg of rice"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(df.unionByName(df.where("doc_id = 100").withColumns({"doc_id": F.lit(102).cast("long"), "text": F.concat("text", F.lit(f".\n{item}"))})), bench).collect()} == {102}
+    assert {r.doc_id: r.n_words for r in quality.rule_ledger(df).select("doc_id", "n_words").collect()}[100] == 150_000
+
+
 # 2 URL filter
 def test_url_rules_and_mining(spark):
     urls = ["http://A.Example.org/es/x", "https://x.example.org/en/17", "http://q.org/", "http://q.org", "ftp://b.com/de/1?x#y", "http://com/fr/1", "nothing", None, "http://b.com/en/?a://c", "http://xorg/"]
@@ -339,12 +384,6 @@ def test_ledger_matches_brute_force(spark, odd):
 
 
 # 7 BPE
-@pytest.fixture(scope="module")
-def tokenizer():
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.Vocabulary.load(path), tokenizers.Tokenizer.from_file(path)
-
-
 def test_bpe_matches_the_library(spark, odd, tokenizer):
     v, lib = tokenizer
     rng = random.Random(4)
