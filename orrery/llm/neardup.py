@@ -289,11 +289,13 @@ def _members(every: DataFrame) -> DataFrame:
     kept = shared_table(every.join(several, "bucket").select("bucket", "id", "n"), "band_kept")
     rank = kept.groupBy("id").agg(F.sum("n").alias("shared"))
     pivots = kept.join(rank, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("shared"), F.col("id").alias("id")))["id"].alias("pivot"))
+    # written, so that the join's sides are both plain exchanges, of which a hot bucket can be split
+    pivots = shared_table(pivots, "band_pivots")
     return shared_table(kept.join(pivots, "bucket").select("bucket", "id", "pivot"), "band_members")
 
 
-#: Bits of the least and the largest table of shingle frequencies: the largest has 32 MB.
-COUNTER_BITS = (12, 22)
+#: Bits of the least and the largest table of shingle frequencies: the largest has 2 MB.
+COUNTER_BITS = (12, 18)
 
 
 def _frequencies(texts: DataFrame, p: Params, bits: int) -> np.ndarray:
@@ -309,7 +311,7 @@ def _frequencies(texts: DataFrame, p: Params, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
     out = np.zeros(1 << bits, dtype=np.int64)
-    counted = texts.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    counted = texts.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out[counted["k"].to_numpy()] = counted["n"].to_numpy()
     return out
 
