@@ -142,9 +142,14 @@ def reply_arrays(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.get_json_object(found[0], "$.id").cast("long").alias("id"))
 
 
-@query("contact_window")
+@query(
+    "contact_window",
+    """WITH p AS (SELECT doc_id, text, string_split_regex(text, '(?i)token') AS s FROM documents),
+       w AS (SELECT doc_id, unnest(list_transform(range(1, len(s)), lambda i: regexp_extract(substr(text, 1 + CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) AS BIGINT) + 5 * i, 40), '[0-9a-f]{16,}'))) AS value FROM p WHERE len(s) > 1)
+       SELECT DISTINCT doc_id, 'token' AS type, value FROM w WHERE value <> '' UNION ALL SELECT DISTINCT doc_id, 'mail', unnest(regexp_extract_all(text, '[A-Za-z0-9_.]+@[A-Za-z0-9_.]+')) FROM documents""",
+)
 def contact_window(spark: SparkSession, d: str) -> DataFrame:
-    found = extract.contacts(F.col("text"), {"token": (["token"], r"[0-9a-f]{16,}"), "mail": ([], r"[\w.]+@[\w.]+")})
+    found = extract.contacts(F.col("text"), {"token": (["token"], r"[0-9a-f]{16,}"), "mail": ([], r"[A-Za-z0-9_.]+@[A-Za-z0-9_.]+")})
     return table(spark, d, "documents").select("doc_id", F.explode(found).alias("c")).select("doc_id", "c.*")
 
 
