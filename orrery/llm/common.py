@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -122,6 +123,14 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the system: Python workers stay for later tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def add_columns(df: DataFrame, make: Callable[[], Callable[..., list[pa.Array]]], inputs: list[str], fields: list[T.StructField]) -> DataFrame:
     """Add columns computed in Arrow batches, with all columns of `df` kept; those named like a new one are replaced.
 
@@ -139,5 +148,6 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[..., list[pa.Array]]]
         for batch in batches:
             new = work(*batch.columns[n:])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], names=[*kept, *names])
+        tidy()
 
     return base.mapInArrow(run, schema)

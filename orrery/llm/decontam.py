@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import bound_batches, shared_table, type_of
+from orrery.llm.common import bound_batches, shared_table, tidy, type_of
 
 #: Units of measure and money, lower-cased (fixed values).
 UNITS = frozenset(
@@ -205,6 +205,7 @@ def matching_windows(documents: DataFrame, windows: DataFrame, p: Params, doc: s
                     rows += [{"doc": i, "row": row, "hash": int(x.view(np.int64)), "place": k, "slots": v} for x, k, v in found]
             schema = pa.schema([("doc", batch.schema.field("doc").type), ("row", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("slots", pa.list_(pa.string()))])
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
+        tidy()
 
     found = source.mapInArrow(run, f"doc {type_of(documents, doc)}, row long, hash long, place int, slots array<string>")
     theirs = windows.select("hash", "item_id", "n_windows", "at", F.col("slots").alias("item_slots"), ((F.col("width") < p.window) & F.col("wordless")).alias("own_only"))

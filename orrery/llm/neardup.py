@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.llm.common import add_columns, bound_batches, folders, settled, shared_table, type_of, without
+from orrery.llm.common import add_columns, bound_batches, folders, settled, shared_table, tidy, type_of, without
 from orrery.llm.graph import components
 
 
@@ -215,6 +215,7 @@ def _estimated(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
             size = lambda c: batch.column(c).to_numpy().astype(np.float64)
             keep = pa.array(likelihood_keeps(get("ra"), get("rb"), size("na"), size("nb"), p))
             yield batch.select(["a", "b"]).filter(keep)
+        tidy()
 
     kind = type_of(pairs, "a")
     return joined.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, f"a {kind}, b {kind}")
@@ -236,7 +237,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     The side that has more pairs is the head. Each pair takes the other side's text along; the head's text comes once for some
     thousand pairs, before them in order, so a task holds two sets at a time and no text is repeated for each of its pairs.
     """
-    count = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    # written, so that the joins' sides are plain exchanges, of which a pivot with many pairs can be split
+    count = shared_table(pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n")), "pair_counts")
     counted = pairs.join(count.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(count.withColumnsRenamed({"id": "b", "n": "nb"}), "b")
     swap = F.col("nb") > F.col("na")
     side = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
@@ -260,6 +262,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
                 both = len(own & other)
                 keep.append(h == head and bool(own) and 100 * both >= p.percent * (len(own) + len(other) - both))
             yield batch.select(["head", "id"]).filter(pa.array(keep, pa.bool_()))
+        tidy()
 
     bound_batches(pairs.sparkSession)
     kind = type_of(pairs, "a")
