@@ -29,7 +29,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from orrery.llm.common import Kept, add_columns
 
 #: Chunks and words kept with their tokens in each Python worker (some 200 bytes each).
-CACHE_WORDS = 100_000
+CACHE_WORDS = 150_000
 #: Characters of a text that are encoded at a time (up to the next space), and tokens that are decoded at a time.
 SLAB, TOKENS = 1 << 16, 4096
 #: Spaces to str.split() that are no white space to the pattern.
@@ -198,6 +198,9 @@ class Encoder:
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(t.specials, key=len, reverse=True)) + ")") if t.specials else None
         self.odd = regex.compile("[" + "".join(map(regex.escape, map(chr, sorted(t.stand_ins)))) + "]") if t.stand_ins else None
         self.still = regex.compile(f"([{''.join(map(regex.escape, t.still))}])") if t.still else None
+        #: Texts whose characters all come before the first one that the tables tell differently need no second look.
+        first = min([*t.stand_ins, *t.lower, *map(ord, t.still)], default=0x10FFFF)
+        self.far = re.compile(f"[{chr(first)}-{chr(0x10FFFF)}]")
         self.margin = t.margin
         self.capacity = 2 * self.margin + 64
         self.kept = Kept(self._chunk, CACHE_WORDS)
@@ -249,7 +252,7 @@ class Encoder:
 
     def _split(self, chunk: str) -> list[str]:
         """The words of a chunk; characters whose class differs between the tables are matched by their stand-ins."""
-        if self.odd is None or chunk.isascii() or not self.odd.search(chunk):
+        if self.odd is None or not self.far.search(chunk) or not self.odd.search(chunk):
             return self.words.findall(chunk)
         return [chunk[m.start() : m.end()] for m in self.words.finditer(chunk.translate(self.t.stand_ins))]
 
@@ -287,12 +290,13 @@ class Encoder:
 
     def _slab(self, slab: str) -> bytes:
         if not slab.isascii():
-            if self.still and self.still.search(slab):
+            far = self.far.search(slab) is not None
+            if far and self.still and self.still.search(slab):
                 slab = "".join(unicodedata.normalize("NFC", x) for x in self.still.split(slab))
             else:
                 slab = unicodedata.normalize("NFC", slab)
             slab = slab.replace("Σ", "σ")  # each letter is lowered by itself
-            if self.t.lower:
+            if far and self.t.lower:
                 slab = slab.translate(self.t.lower)
         slab = slab.lower()
         chunks = self._split(slab) if _NO_SPACES.search(slab) else slab.split()
