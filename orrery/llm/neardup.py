@@ -356,11 +356,13 @@ def _rest(ids: DataFrame, comp: DataFrame, sets: DataFrame, documents: DataFrame
     first = len(folders(ids.sparkSession))
     texts = shared_table(documents.select(F.col("doc_id").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi"), "rest_texts")
     every = shared_table(_prefixes(texts, p), "rest_prefixes")
-    several = every.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("bucket")
+    # small tables are written before they are joined with a hot bucket's rows: an aggregate in the join's stage keeps it whole
+    several = shared_table(every.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("bucket"), "rest_buckets")
     own = _labelled(every.join(several, "bucket"), comp)
     own = shared_table(own.join(sets.select("id", "low"), "id"), "rest_members")
     sizes = own.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
+    main = shared_table(main, "rest_main")
     marked = own.join(main, "bucket").withColumn("outside", F.col("comp") != F.col("main"))
     side = lambda df, k: df.select("bucket", *[F.col(c).alias(f"{c}{k}") for c in ("id", "comp", "place", "size", "low", "outside")])
     c = F.col
@@ -390,7 +392,7 @@ def near_duplicates(documents: DataFrame, text: str = "text", p: Params = Params
     links = _check(stars, sets, source, text, p, "star")
     comp = components(links)
     own = _labelled(members, comp)
-    open_ = own.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket")
+    open_ = shared_table(own.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket"), "open_buckets")
     ids = shared_table(members.join(open_, "bucket").select("id").distinct(), "rest_ids")
     links = links.unionByName(_rest(ids, comp, sets, source, text, p))
     # a document's links: to its set's first document, and among the sets' first documents; a doc_id with several sets joins them
