@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +108,31 @@ def without_rows(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(known) if known.count() <= BROADCAST_ROWS else known, key, "left_anti")
 
 
+def placed(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """The rows of a written table with `pos`, their place in their group by the order's columns (from 0, nulls first), and `n`, the
+    group's size. Where groups and order tell all rows apart, no group is held by one task, however large it is.
+
+    Rows are sorted by ranges and written with their place in their range; what a range holds of a group is counted, and the counts of
+    the ranges before give the place in the whole.
+    """
+    keys = [F.col(f"`{c}`") for c in [*groups, *order]]
+    written = shared_table(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()), "placed")
+    written = written.withColumn("__part", F.shiftright("__at", 33))
+    runs = written.groupBy("__part", *groups).agg(F.min("__at").alias("__first"), F.count("*").alias("__rows"))
+    whole = Window.partitionBy(*groups)
+    starts = runs.select(
+        F.col("__part").alias("__p"),
+        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(groups)],
+        "__first",
+        (F.sum("__rows").over(whole.orderBy("__part")) - F.col("__rows")).alias("__start"),
+        F.sum("__rows").over(whole).alias("n"),
+    )
+    same = F.col("__part") == F.col("__p")
+    for i, g in enumerate(groups):
+        same &= F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return written.join(starts, same).select(*df.columns, (F.col("__start") + F.col("__at") - F.col("__first")).alias("pos"), "n")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """`df` without the columns that an operator is about to write (names compare without case)."""
     taken = {n.lower() for n in names}

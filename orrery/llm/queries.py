@@ -7,12 +7,13 @@ gives no rows; other columns are not read, so their names can't clash. What null
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, decontam, htmltext, neardup, quality, secrets, sharding, toxicity, urlfilter, warc
+from orrery.llm import audit, bpe, decontam, htmltext, merkle, neardup, packing, quality, secrets, sharding, toxicity, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,6 +131,35 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves by language with their proofs, and what tampered rows lead to. Null fields are a dash in the leaf; rows without a doc_id come
+    first in their language and aren't tampered with; equal rows are leaves of their own."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda n_chars: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    leaves = documents.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(tampered, leaf(F.col("n_chars") + 1)).alias("tampered_leaf"))
+    manifest = merkle.build_manifest(leaves, "lang", "doc_id")
+    proven = merkle.proofs(manifest).withColumn("folded_root", merkle.fold(F.coalesce("tampered_leaf", "leaf"), F.col("proof")))
+    subroots = manifest.subroots()
+    joined = proven.join(subroots, proven["lang"].eqNullSafe(subroots["grp"]))
+    return joined.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 1024 tokens. Null and empty texts are one piece of the end mark alone;
+    repeated rows and rows without a doc_id are packed like all others."""
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.token_pieces(documents, tokenizer or public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
+    packed = packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=1024)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes in each order of the five, by source. Null texts are empty, and equal to each other; a null source is the
+    empty one; a row without a doc_id is nobody's copy and has no label; repeated rows count as often as they are there."""
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), part="source")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -137,7 +167,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_sharding, op4_html_extraction, op5_secret_scan, op6_quality_rules, op7_bpe, op8_near_dedup, op9_warc, op10_decontamination, pipeline, quality_ablations)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_sharding, op4_html_extraction, op5_secret_scan, op6_quality_rules, op7_bpe, op8_near_dedup, op9_warc, op10_decontamination, op11_merkle_manifest, op12_best_fit_packing, op13_filter_audit, pipeline, quality_ablations)}
 
 
 _WORDS = r"[^\x20\x09-\x0D]+"
@@ -189,5 +219,63 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 A
 """
 
 
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode(({value})::VARCHAR))::VARCHAR || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+
+
+#: CRC-32 of a decimal number's digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))), 4294967295)"""
+
+_OP11 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN doc_id IS NOT NULL AND ({_CRC}) % 7 = 0 THEN {_leaf('n_chars + 1')} END AS tampered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+up AS (SELECT lang, 0 AS level, pos, n, leaf AS h FROM l
+       UNION ALL SELECT lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY lang, level, pos // 2, n),
+s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+over_ AS (SELECT 0 AS level, pos, n, subroot AS h FROM s
+          UNION ALL SELECT level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM over_ WHERE n > 1 GROUP BY level, pos // 2, n),
+ways AS (SELECT u.lang, u.level, u.pos, u.n, o.h AS other FROM up u LEFT JOIN up o ON o.lang IS NOT DISTINCT FROM u.lang AND o.level = u.level AND o.pos = xor(u.pos, 1)
+         UNION ALL SELECT s.lang, 1000 + u.level, u.pos, u.n, o.h FROM s JOIN over_ u ON u.pos = s.pos >> u.level LEFT JOIN over_ o ON o.level = u.level AND o.pos = xor(u.pos, 1)),
+steps AS (SELECT l.doc_id, l.leaf, l.lang, l.pos AS place, w.level, w.pos % 2 AS side, w.other,
+                 row_number() OVER (PARTITION BY l.lang, l.pos ORDER BY w.level) AS k
+          FROM l JOIN ways w ON w.lang IS NOT DISTINCT FROM l.lang AND w.n > 1 AND (w.level >= 1000 OR w.pos = l.pos >> w.level)),
+folds AS (SELECT lang, pos AS place, 0 AS k, coalesce(tampered, leaf) AS h FROM l
+          UNION ALL SELECT f.lang, f.place, f.k + 1, sha256(CASE WHEN x.other IS NULL THEN f.h WHEN x.side = 1 THEN x.other || f.h ELSE f.h || x.other END)
+          FROM folds f JOIN steps x ON x.lang IS NOT DISTINCT FROM f.lang AND x.place = f.place AND x.k = f.k + 1),
+folded AS (SELECT lang, place, arg_max(h, k) AS folded_root FROM folds GROUP BY lang, place),
+proofs AS (SELECT lang, place, string_agg(other, '' ORDER BY k) AS proof FROM steps GROUP BY lang, place)
+SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.folded_root, f.folded_root = r.h AS verified
+FROM l JOIN s ON s.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT h FROM over_ WHERE n = 1) r ON true
+JOIN folded f ON f.lang IS NOT DISTINCT FROM l.lang AND f.place = l.pos LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM l.lang AND p.place = l.pos
+"""
+
+_ORDERS = ", ".join(f"('{''.join(o)}')" for o in permutations(audit.FILTERS))
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+k AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+w AS (SELECT *, regexp_extract_all(text, '{_WORDS}') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        {{'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words), 'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+          'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)}} AS fails
+      FROM w LEFT JOIN k USING (doc_id)),
+c AS (SELECT part, (CASE WHEN fails.A THEN 'A' ELSE '' END) || (CASE WHEN fails.B THEN 'B' ELSE '' END) || (CASE WHEN fails.C THEN 'C' ELSE '' END) || (CASE WHEN fails.D THEN 'D' ELSE '' END)
+        || (CASE WHEN fails.E THEN 'E' ELSE '' END) AS failed, count(*) AS n, sum(good) AS g, sum(toxic) AS t FROM f GROUP BY ALL),
+o AS (SELECT o AS filter_order, step, substr(o, step, 1) AS filter, substr(o, 1, step - 1) AS before FROM (VALUES {_ORDERS}) v(o), (SELECT unnest(range(1, 6)) AS step)),
+x AS (SELECT *, contains(failed, filter) AS hit, len(translate(failed, before, '')) < len(failed) AS gone FROM c, o),
+r AS (SELECT part, filter_order, step, filter, sum(n) FILTER (NOT hit AND NOT gone) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed, sum(n) FILTER (hit AND gone) AS redundant,
+        sum(n) FILTER (failed = filter) AS unique_fails, sum(g) FILTER (hit AND NOT gone) AS good_lost, sum(t) FILTER (hit AND NOT gone) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, filter), 0)::BIGINT AS shapley FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": _OP6, "quality_ablations": _ABLATIONS, "op8_near_dedup": _OP8, "op9_warc": _OP9}
+    return {"op11_merkle_manifest": _OP11, "op13_filter_audit": _OP13, "op6_quality_rules": _OP6, "quality_ablations": _ABLATIONS, "op8_near_dedup": _OP8, "op9_warc": _OP9}
