@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 import warnings
+import zipfile
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators.store import exists
-from orrery.sources import sqlite
+from orrery.sources import office, sqlite
 
 
 def view_name(name: str, taken: set[str]) -> str:
@@ -29,7 +30,7 @@ def view_name(name: str, taken: set[str]) -> str:
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """A table by its file's ending: csv, tsv, json (lines or whole documents), jsonl, parquet, orc, txt."""
+    """A table by its file's ending: csv, tsv, json (lines or whole documents), jsonl, parquet, orc, txt, xlsx (its first sheet)."""
     kind = PurePosixPath(path).suffix.lower()
     if kind in (".csv", ".tsv"):
         return spark.read.csv(path, header=True, inferSchema=True, sep="\t" if kind == ".tsv" else ",", multiLine=True, escape='"')
@@ -41,32 +42,47 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.format(kind[1:]).load(path)
     if kind == ".txt":
         return spark.read.text(path)
-    if kind in (".xlsx", ".xls"):
-        try:
-            import openpyxl  # noqa: F401
-            import pandas as pd
-        except ImportError as e:
-            raise ValueError("reading workbooks needs openpyxl") from e
-        return spark.createDataFrame(pd.read_excel(path))
+    if kind == ".xlsx":
+        return office.read_sheet(spark, path)
     raise ValueError(f"unsupported ending: {kind}")
 
 
 def register_files(spark: SparkSession, paths: list[str]) -> tuple[dict[str, str], list[str]]:
-    """Views over files: original name (qualified by the file's folder if it repeats) -> view, and warnings of what was skipped."""
+    """Views over files: original name (qualified by the file's folder if it repeats) -> view, and warnings of what was skipped. Each
+    sheet of a workbook is a table under its own name; a sheet that can't be read is a warning, and the others stay."""
     names, warnings, taken = {}, [], set()
+
+    def put(original: str, stem: str, df: DataFrame) -> None:
+        names[original] = view_name(stem, taken)
+        df.createOrReplaceTempView(names[original])
+
     for path in paths:
         if not exists(spark, path):
             warnings.append(f"missing: {path}")
             continue
+        stem = PurePosixPath(path).stem
+        if path.lower().endswith(".xlsx"):
+            try:
+                found = office.sheet_names(path)
+            except (OSError, KeyError, zipfile.BadZipFile) as e:
+                warnings.append(f"not a workbook: {path}: {e}")
+                continue
+            for sheet in found:
+                try:
+                    df = office.read_sheet(spark, path, sheet)
+                    if df.columns:
+                        put(sheet if sheet not in names else f"{stem}/{sheet}", sheet, df)
+                    else:
+                        warnings.append(f"sheet {sheet} of {path} is empty")
+                except Exception as e:  # noqa: BLE001  any fault of one sheet leaves the others
+                    warnings.append(f"sheet {sheet} of {path} can't be read: {str(e).splitlines()[0]}")
+            continue
         try:
             df = read_file(spark, path)
         except ValueError as e:
             warnings.append(str(e))
             continue
-        stem = PurePosixPath(path).stem
-        original = stem if stem not in names else f"{PurePosixPath(path).parent.name}/{stem}"
-        names[original] = view_name(stem, taken)
-        df.createOrReplaceTempView(names[original])
+        put(stem if stem not in names else f"{PurePosixPath(path).parent.name}/{stem}", stem, df)
     return names, warnings
 
 
