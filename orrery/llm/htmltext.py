@@ -58,6 +58,8 @@ class Block:
     landmark: bool = False
     listed: bool = False
     marked: bool = False
+    #: The container that it stands in, by number.
+    container: int = 0
 
 
 def blocks(page: str) -> list[Block]:
@@ -151,6 +153,7 @@ def blocks(page: str) -> list[Block]:
         within.append(tuple(x or y for x, y in zip(own, within[around], strict=True)))
     for b, k in zip(out, inside, strict=True):
         b.landmark, b.listed, b.marked = within[k]
+        b.container = k
     return out
 
 
@@ -166,23 +169,25 @@ def _marks(attributes: str) -> set[str]:
 
 
 #: The columns of the labelled table and of the tree.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "heading", "landmark", "listed", "marked")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "heading", "landmark", "listed", "marked", "joined_before", "joined_after")
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """One row for each block: word counts (to 200) and link densities of it and its neighbours, and where it stands."""
+    """One row for each block: word counts (to 200) and link densities of it and its neighbours, where it stands, and whether its
+    neighbours stand in the same container."""
     n = len(found)
     w = np.array([0, *[min(b.words, 200) for b in found], 0], dtype=float)
     d = np.array([0, *[b.linked / b.words for b in found], 0], dtype=float)
     where = np.array([[b.in_article, b.heading, b.landmark, b.listed, b.marked] for b in found], dtype=float).reshape(n, 5)
-    return np.column_stack([w[1:-1], d[1:-1], w[:-2], d[:-2], w[2:], d[2:], where])
+    inside = np.array([-1, *[b.container for b in found], -1])
+    return np.column_stack([w[1:-1], d[1:-1], w[:-2], d[:-2], w[2:], d[2:], where, inside[:-2] == inside[1:-1], inside[2:] == inside[1:-1]])
 
 
 #: What the words of the labelled pages begin with: the article's, and all others.
 MAIN, REST = "m", "x"
 
 
-def labelled_pages(n: int = 800, seed: int = 3) -> list[str]:
+def labelled_pages(n: int = 2000, seed: int = 3) -> list[str]:
     """The small labelled table, as pages of made-up words: those of the article begin with MAIN, all others with REST.
 
     Layouts are drawn anew for each page: articles in an article or main element or in plain containers; menus, adverts, notices and
@@ -242,28 +247,48 @@ def _after(rng: random.Random, plain: bool) -> str:
     return f"<div>{body}</div>" if plain else rng.choice([f"<footer>{body}</footer>", f'<div class="footer">{body}</div>'])
 
 
+def _unnamed_story(rng: random.Random) -> list[str]:
+    """An article in a plain container: long paragraphs, many short ones, one alone, a preformatted block or bare text."""
+    kind = rng.choice(["long", "long", "short", "single", "pre", "bare"])
+    if kind == "pre":
+        return [f"<pre>{_words(MAIN, rng.choice([30, 60, 120, 300]))}</pre>"]
+    if kind == "bare":
+        return ["<br><br>".join(_words(MAIN, rng.choice([15, 30, 60, 120])) for _ in range(rng.randint(2, 5)))]
+    if kind == "single":
+        return [f"<p>{_words(MAIN, rng.choice([30, 60, 120, 200]))}</p>" for _ in range(rng.randint(1, 2))]
+    if kind == "short":
+        return [f"<p>{_linked(rng, rng.randint(9, 22))}</p>" for _ in range(rng.randint(3, 20))]
+    lengths = [rng.choice([22, 30, 45, 60, 90, 120, 200]) for _ in range(rng.randint(3, 8))]
+    if len(lengths) > 3 and rng.random() < 0.4:
+        lengths[rng.randint(1, len(lengths) - 2)] = rng.randint(4, 12)
+    return [f"<p>{_linked(rng, k)}</p>" for k in lengths]
+
+
+def _linked(rng: random.Random, k: int) -> str:
+    """Words of the article, now and then with a link among them."""
+    return _words(MAIN, k) + (f" <a href=/q>{_words(MAIN, 3)}</a> {_words(MAIN, 5)}" if k > 10 and rng.random() < 0.3 else "")
+
+
 def _page(rng: random.Random) -> str:
     element = rng.choice(["article", "main", "div"])
     sure = element in ("article", "main")
-    n = rng.randint(1, 8) if sure else rng.randint(3, 8)
-    lengths = [rng.choice([1, 2, 4, 8, 15, 30, 60, 120, 200]) for _ in range(n)] if sure else [rng.choice([22, 30, 45, 60, 90, 120, 200]) for _ in range(n)]
-    if not sure and n > 3 and rng.random() < 0.4:
-        lengths[rng.randint(1, n - 2)] = rng.randint(4, 12)
-    story = []
-    for k in lengths:
-        p = _words(MAIN, k)
-        if k > 10 and rng.random() < 0.3:
-            p += f" <a href=/q>{_words(MAIN, 3)}</a> {_words(MAIN, 5)}"
-        story.append(f"<p>{p}</p>" if rng.random() < 0.9 or not sure else f"<ul><li>{p}</li></ul>")
     if sure:
+        story = []
+        for k in [rng.choice([1, 2, 4, 8, 15, 30, 60, 120, 200]) for _ in range(rng.randint(1, 8))]:
+            p = _linked(rng, k)
+            story.append(f"<p>{p}</p>" if rng.random() < 0.9 else f"<ul><li>{p}</li></ul>")
         for _ in range(rng.choice([0, 0, 1, 2])):
             story.insert(rng.randint(0, len(story)), rng.choice([f'<div class="ad">{_prose(rng)}</div>', f'<div class="share">{_words(REST, 2)}</div>', _after(rng, False)]))
+    else:
+        story = _unnamed_story(rng)
     title = f"<h1>{_words(MAIN, rng.choice([2, 4, 6, 9, 15, 25, 60]))}</h1>" if rng.random() < 0.85 else ""
     if element == "article" and rng.random() < 0.3:
         title = f"<header>{title}</header>"
     body = f"<{element}>{title}{''.join(story)}</{element}>"
-    parts = [_before(rng, rng.random() < 0.4) for _ in range(rng.randint(1, 3))] + [body] + [_after(rng, rng.random() < 0.4) for _ in range(rng.randint(1, 3))]
-    return f"<html><head><title>t</title></head><body>{''.join(parts)}</body></html>"
+    alone = rng.random() < 0.15  # a page of nothing but the article, or with it and named parts alone
+    before = [_before(rng, not alone and rng.random() < 0.4) for _ in range(rng.randint(0 if alone else 1, 1 if alone else 3))]
+    after = [_after(rng, not alone and rng.random() < 0.4) for _ in range(rng.randint(0 if alone else 1, 1 if alone else 3))]
+    return f"<html><head><title>t</title></head><body>{''.join([*before, body, *after])}</body></html>"
 
 
 def labels(found: list[Block]) -> np.ndarray:
@@ -272,7 +297,8 @@ def labels(found: list[Block]) -> np.ndarray:
 
 
 def by_names_alone(x: np.ndarray) -> np.ndarray:
-    """What elements and names say without any count: the yardstick that the tree is held against."""
+    """What elements and names say without any count: the yardstick that the tree is held against, and what decides a page of which the
+    tree keeps nothing."""
     return ~x[:, [FEATURES.index(c) for c in ("landmark", "listed", "marked")]].any(axis=1)
 
 
@@ -318,7 +344,7 @@ class Tree:
         return total
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 4) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 4) -> Tree:
     """A tree by least Gini impurity; ties go to the first feature and the lowest limit."""
     leaf = Tree(main=bool(2 * y.sum() > len(y)))
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
@@ -348,11 +374,15 @@ def trained_tree() -> Tree:
 
 
 def main_text(page: str | None, tree: Tree) -> str:
-    """The main text of one page: its main blocks, joined by an empty line."""
+    """The main text of one page: its main blocks, joined by an empty line. Of a page without any, the blocks that aren't mostly links
+    and stand in no part that an element or a name marks as another."""
     found = blocks(page or "")
     if not found:
         return ""
-    keep = tree.decide(features(found))
+    x = features(found)
+    keep = tree.decide(x)
+    if not keep.any():
+        keep = by_names_alone(x) & (x[:, FEATURES.index("links")] < 0.5)
     return "\n\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
