@@ -49,6 +49,7 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 1000, date: da
     slim = shared_table(rows.select("row", "page_id", "url", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("sha1"), F.sha2("payload", 256).alias("digest")), "records")
     last = F.max(F.struct("page_id", "row"))
     winners = slim.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(last.alias("w"), F.count("*").alias("n")).where("n > 1").select("digest", "bytes", "w")
+    winners = shared_table(winners, "winners")  # written, so that the join can split a payload that a third of all rows have
     told = slim.join(winners, ["digest", "bytes"], "left")
     revisit = F.col("w").isNotNull() & (F.col("row") != F.col("w.row"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}"), _line("Content-Type", F.lit("text/html; charset=utf-8")), _line("Content-Length", F.col("bytes").cast("string")), F.lit(CRLF))
@@ -83,7 +84,8 @@ def _payloads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_headers(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
-    """The records' fields, read from the headers' bytes: page_id, record_type, refers_to, declared sha1, digest, bytes, and the header."""
+    """The records' fields, read from the headers' bytes: page_id, record_type, refers_to, declared sha1, declared bytes of the block and
+    of the payload, bytes of the HTTP header; and with them digest, bytes, and the header."""
     text = F.decode("header", "UTF-8")
     take = lambda pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
     name = lambda field: F.url_decode(F.nullif(take(rf"\r\n{field}: <urn:page:([^:>]*):"), F.lit(NO_ID))).cast(id_type)
@@ -93,6 +95,9 @@ def read_headers(spark: SparkSession, path: str, id_type: str = "long") -> DataF
         take(r"\r\nWARC-Type: (\w+)\r\n").alias("record_type"),
         name("WARC-Refers-To").alias("refers_to"),
         take(r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]+)\r\n").alias("declared_sha1"),
+        take(r"\r\nContent-Length: (\d+)\r\n\r\nHTTP/").cast("long").alias("block_bytes"),
+        take(r"\r\nContent-Length: (\d+)\r\n\r\n$").cast("long").alias("declared_bytes"),
+        F.length(take(r"\r\n\r\n(HTTP/[^\r\n]*\r\n(?:[^\r\n]+\r\n)*\r\n)$")).cast("long").alias("http_bytes"),
         "digest",
         "bytes",
         "header",
@@ -112,19 +117,24 @@ def read_records(spark: SparkSession, path: str, id_type: str = "long") -> DataF
 def read_archive(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
     """What the rebuilt records say: page_id, payload_bytes, payload_digest (SHA-1), record_type, refers_to, sound.
 
-    A response's length and digest come from its record's bytes, without header and ends; a revisit's are those of the response with
-    its payload. `sound` tells that the bytes still give both digests that were written for them.
+    A response's payload is as many bytes after its header as the header declares; a revisit's length and digest are those of the
+    response with its payload. `sound` tells that the bytes still give both digests that were written for them, and that the lengths
+    that the header declares, of the block and of the payload, are those of the record.
     """
     records = read_records(spark, path, id_type)
-    size = F.octet_length("record") - F.octet_length("header") - len(END)
-    body = F.substring(F.col("record"), F.octet_length("header") + 1, size)
+    body = F.substring(F.col("record"), F.octet_length("header") + 1, F.col("declared_bytes").cast("int"))
+    size = F.octet_length(body).cast("long")
+    there = F.octet_length("record") - F.octet_length("header") - len(END)
+    lengths = (F.col("declared_bytes") == there) & (F.col("block_bytes") == F.col("http_bytes") + there)
     whole = F.col("record_type") == "response"
-    told = records.where(whole).select("row", "page_id", "digest", size.cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"), "record_type", "refers_to", ((F.sha1(body) == F.col("declared_sha1")) & (F.sha2(body, 256) == F.col("digest"))).alias("sound"))
+    told = records.where(whole).select("row", "page_id", "digest", size.alias("payload_bytes"), F.sha1(body).alias("payload_digest"), "record_type", "refers_to", ((F.sha1(body) == F.col("declared_sha1")) & (F.sha2(body, 256) == F.col("digest")) & F.coalesce(lengths, F.lit(False))).alias("sound"))
     told = shared_table(told, "responses")
-    revisits = read_headers(spark, path, id_type).where(~whole).select("page_id", "record_type", "refers_to", "digest", "declared_sha1")
+    revisits = read_headers(spark, path, id_type).where(~whole).select("page_id", "record_type", "refers_to", "digest", "declared_sha1", "declared_bytes", (F.col("block_bytes") == F.col("http_bytes")).alias("empty"))
     # each payload that is revisited has one response
     seen = told.join(revisits.select("digest").distinct(), "digest", "left_semi").select("digest", "payload_bytes", "payload_digest", "sound")
-    of_revisits = revisits.join(seen, "digest", "left").withColumn("sound", F.coalesce(F.col("sound") & (F.col("payload_digest") == F.col("declared_sha1")), F.lit(False)))
+    seen = shared_table(seen, "revisited")
+    agrees = F.col("sound") & F.col("empty") & (F.col("payload_digest") == F.col("declared_sha1")) & (F.col("payload_bytes") == F.col("declared_bytes"))
+    of_revisits = revisits.join(seen, "digest", "left").withColumn("sound", F.coalesce(agrees, F.lit(False)))
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound"]
     return told.select(*columns).unionByName(of_revisits.select(*columns))
 
