@@ -132,7 +132,8 @@ def scan_secrets(documents: DataFrame, text: str = "text", repository: str | Non
     # rows with the same spans in the same order get the same verdicts, so they need no key of their own
     some = (F.size("candidates") > 0) | (F.size("base_spans") > 0)
     few = found.where(some).withColumn("__key", F.sha2(F.to_json(F.struct("base_spans", "candidates")), 256))
-    counts = ownership(few, "__repository", owner)
+    # both tables are written before they are joined, so that joins can split a value or a text that a third of all rows have
+    counts = shared_table(ownership(few, "__repository", owner), "owners")
     keyed = few.select("__key", "base_spans", "candidates").groupBy("__key").agg(F.first("base_spans").alias("b"), F.first("candidates").alias("c"))
     each = keyed.select("__key", F.explode(F.concat("b", "c")).alias("s")).select("__key", "s.*")
     own, base = F.col("kind") == "owner", F.col("kind") != "owner"
@@ -141,6 +142,7 @@ def scan_secrets(documents: DataFrame, text: str = "text", repository: str | Non
         F.count_if(base & limits.live()).alias("n_live"),
         F.count_if(base & limits.example()).alias("n_example"),
     )
+    judged = shared_table(judged, "judged")
     columns = [*[F.col(f"`{c}`") for c in out], "base_spans", "owner_spans", "n_live", "n_example"]
     none = found.where(~some).withColumns({"owner_spans": F.array().cast(T.ArrayType(SPAN)), "n_live": F.lit(0).cast("long"), "n_example": F.lit(0).cast("long")})
     return few.join(judged, "__key").select(*columns).unionByName(none.select(*columns))
