@@ -275,6 +275,24 @@ def test_counts_tell_unnamed_parts_apart():
     assert htmltext.main_text(page, tree) == "\n\n".join(story)
 
 
+@pytest.mark.parametrize("around", [True, False])
+@pytest.mark.parametrize("kind", ["short", "one", "pre", "bare", "long", "few"])
+def test_articles_without_an_article_element(kind, around):
+    """Pages that name nothing keep their article, whatever its blocks are; the parts that have a name go."""
+    words = lambda n, k="w": " ".join(f"{k}{i}" for i in range(n))
+    p = lambda n, k: f"<p>{words(n, k)}</p>"
+    body = {
+        "short": "<div><h1>The head of this page</h1>" + "".join(p(12, f"a{i}x") for i in range(20)) + "</div>",
+        "one": f"<div>{p(60, 'a')}</div>",
+        "pre": f"<pre>{words(300)}</pre>",
+        "bare": words(300),
+        "long": "<div>" + "".join(p(60, f"a{i}x") for i in range(4)) + "</div>",
+        "few": f"<div>{p(12, 'a')}</div>",
+    }[kind]
+    page = f"<html><body>{'<nav><a href=/>home</a> <a href=/b>blog</a></nav>' if around else ''}{body}{'<footer>copyright somebody</footer>' if around else ''}</body></html>"
+    assert htmltext.main_text(page, htmltext.trained_tree()).split() == re.sub("<[^>]*>", " ", body).split()
+
+
 def test_no_page_breaks_the_reader(spark, odd):
     tree = htmltext.trained_tree()
     for page in ('<article><p data-main="true">text of it</p></article>', '<article><div data-main="yes" class>text of it</div></article>', "<article><p class=>text of it", "<article><p id='a\">text of it</p></article>"):
@@ -644,6 +662,28 @@ def test_pipeline_stages_against_brute_force(spark):
     assert not any(secrets.base_spans(t) for t in masked.values())
 
 
+def test_pipeline_stages_carry_any_further_columns(spark, tmp_path):
+    """Columns with the names that operators use themselves come out of each stage as they went in; n_chars, lang and source may be absent."""
+    prose = lambda k: " ".join(f"{k}w{i} of" for i in range(40))
+    names = ["n_words", "Failed_bits", "n_live", "n_example", "__repository", "__key", "__words", "__h", "__row", "base_spans", "owner_spans", "candidates", "component_id", "row", "id", "registers", "low", "item_id", "slots", "token_ids", "decoded", "__pipeline_row", "__in0", "kept", "policy", "value_hash"]
+    rows = [(1, prose("a")), (2, prose("a")), (3, f"{prose('b')} password = hunter2secret"), (4, None)]
+    plain = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in names]) for i, t in rows], ["doc_id", "text", *names])
+    spark.createDataFrame([(1, "no such words anywhere in any of these documents at all today")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {"quality_rules": {1, 2, 3}, "near_dedup": {1, 3, 4}, "benchmark_decontamination": {1, 2, 3, 4}, "secret_scans": {1, 2, 3, 4}}
+    for docs in (plain, plain.withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text")})):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name == "bpe":
+                assert out.count() == 4
+                continue
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            got = out.collect()
+            assert {r["doc_id"] for r in got} == kept[name]
+            assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in names)
+    masked = {r["doc_id"]: r for r in dict(corpus_pipeline.STAGES)["secret_scans"](spark, docs, str(tmp_path)).collect()}
+    assert masked[3]["text"].endswith("[SECRET]") and masked[3]["n_chars"] == len(masked[3]["text"])
+
+
 def test_pipeline_rows_with_repeated_and_null_ids(spark, tmp_path):
     prose = lambda k: " ".join(f"{k}w{i} of" for i in range(40))
     item = "A farmer called Anna sells 12 apples for 3 dollars each and then Anna buys 4 kg of rice from Peter before noon today"
