@@ -8,6 +8,7 @@ filters that need no words are joined to them. Each part of the table is then co
 from __future__ import annotations
 
 import json
+import math
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -28,50 +29,58 @@ def _same(a: DataFrame, b: DataFrame, *keys: str) -> Column:
     return out
 
 
-def word_totals(documents: DataFrame, *keys: str, text: str = "text") -> DataFrame:
-    """Rows (keys, n_words, n_distinct) of all texts with a word: words by (keys, word), then by the keys.
+def word_totals(documents: DataFrame, *keys: str, text: str = "text", tasks: int | None = None) -> DataFrame:
+    """Rows (keys, n_words, n_distinct) of all texts with a word: words are exploded and counted by (document, word), then by document.
 
-    Equal words of a document meet before they are shuffled, and one document's words are counted in many tasks.
+    Each row is a document of its own: rows are dealt to tasks by their number, evenly whatever their keys are, and a document's words
+    then meet in its task without being shuffled, those of a word first. Rows with equal keys must have equal texts; they make one row.
     """
-    words = documents.select(*keys, F.explode(F.split(F.col(text), SPACES)).alias("word")).where("word <> ''")
-    by_word = words.groupBy(*keys, "word").agg(F.count("*").alias("n"))
-    return by_word.groupBy(*keys).agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"))
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), *keys, text)
+    dealt = rows.repartition(tasks, "row") if tasks else rows.repartition("row")
+    words = dealt.select("row", *keys, F.explode(F.split(F.col(text), SPACES)).alias("word")).where("word <> ''")
+    same = [F.max(k).alias(k) for k in keys]
+    by_word = words.groupBy("row", "word").agg(F.count("*").alias("n"), *same)
+    by_row = by_word.groupBy("row").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_distinct"), *same)
+    return by_row.groupBy(*keys).agg(F.max("n_words").alias("n_words"), F.max("n_distinct").alias("n_distinct"))
 
 
-def failed_filters(documents: DataFrame, part: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (part, doc_id, digest, n, failed): how many rows of a part have a document, by id and content, and bit i of `failed` if it
+def _identity(text: str) -> list[Column]:
+    """What tells texts apart: 120 bits of their SHA-256, as two numbers."""
+    hex_ = F.sha2(text, 256)
+    return [F.conv(F.substring(hex_, 1 + 15 * k, 15), 16, 10).cast("long").alias(c) for k, c in enumerate(IDENTITY)]
+
+
+IDENTITY = ("d0", "d1")
+
+
+def failed_filters(documents: DataFrame, part: str, doc: str = "doc_id", text: str = "text", task_bytes: int = 16 << 20) -> DataFrame:
+    """Rows (part, doc_id, d0, d1, n, failed): how many rows of a part have a document, by id and content, and bit i of `failed` if it
     fails the filter FILTERS[i].
 
     A: under 50 words. B: 100 * distinct words < 65 * words. C: 100 * A-Z > 5 * code points. D: holds one of #$%&*|. E: a row of a smaller
-    doc_id has the same text. Null texts are empty; the texts' digests stand for them. A text that a third of all rows have is counted
-    before it is shuffled, and what is known of it is written before it is joined.
+    doc_id has the same text. Null texts are empty. A task has about `task_bytes` bytes of texts (or one text, if that is longer). A text
+    that a third of all rows have is counted before it is shuffled, and what is known of it is written before it is joined.
     """
     spark = documents.sparkSession
     made = len(folders(spark))
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     base = documents.select(F.coalesce(F.col(f"`{part}`").cast("string"), F.lit("")).alias("part"), F.col(f"`{doc}`").alias("doc_id"), body.alias("text"))
-    base = base.select("part", "doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
+    base = base.select("part", "doc_id", "text", *_identity("text"))
     capitals = F.length(F.regexp_replace("text", "[^A-Z]+", ""))
     marks = F.when(100 * capitals > 5 * F.length("text"), F.lit(4)).otherwise(F.lit(0)) + F.when(F.col("text").rlike(r"[#$%&*|]"), F.lit(8)).otherwise(F.lit(0))
-    rows = shared_table(base.select("part", "doc_id", "digest", marks.alias("marks")).groupBy("part", "doc_id", "digest", "marks").agg(F.count("*").alias("n")), "rows")
-    # words of rows that repeat a document count again with each: the totals are divided by their number
-    copies = rows.groupBy("doc_id", "digest").agg(F.sum("n").alias("copies"))
-    totals = word_totals(base, "doc_id", "digest")
-    counted = copies.join(totals, _same(copies, totals, "doc_id", "digest"), "left").select(
-        copies["doc_id"],
-        copies["digest"],
-        (F.coalesce("n_words", F.lit(0)) / F.col("copies")).cast("long").alias("n_words"),
-        F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
-    )
-    counted = shared_table(counted, "words")
-    owners = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("first"))
-    owners = shared_table(owners.select("digest", "first"), "owners")
-    judged = rows.join(counted, _same(rows, counted, "doc_id", "digest")).select("part", rows["doc_id"], rows["digest"], "n", "marks", "n_words", "n_distinct")
-    judged = judged.join(owners, "digest", "left")
+    flags = base.select("part", "doc_id", *IDENTITY, marks.alias("marks"), F.octet_length("text").cast("long").alias("size"))
+    rows = shared_table(flags.groupBy("part", "doc_id", *IDENTITY, "marks").agg(F.count("*").alias("n"), F.max("size").alias("size")), "rows")
+    total = rows.agg(F.sum(F.col("n") * (F.col("size") + 1))).first()[0] or 0
+    counted = shared_table(word_totals(base, "doc_id", *IDENTITY, tasks=max(1, math.ceil(total / task_bytes))), "words")
+    owners = rows.groupBy(*IDENTITY).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("last") > F.col("first"))
+    owners = shared_table(owners.select(*IDENTITY, "first"), "owners")
+    # outer: texts without a word have no row among the counted
+    judged = rows.join(counted, _same(rows, counted, "doc_id", *IDENTITY), "left").select("part", rows["doc_id"], *[rows[c] for c in IDENTITY], "n", "marks", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_words", "n_distinct")])
+    judged = judged.join(owners, [*IDENTITY], "left")
     bit = lambda fails, value: F.when(fails, F.lit(value)).otherwise(F.lit(0))
     words = bit(F.col("n_words") < 50, 1) + bit(100 * F.col("n_distinct") < 65 * F.col("n_words"), 2)
     failed = F.col("marks") + words + bit(F.col("doc_id") > F.col("first"), 16)
-    return settled(judged.select("part", "doc_id", "digest", "n", failed.cast("int").alias("failed")), "failed", made)
+    return settled(judged.select("part", "doc_id", *IDENTITY, "n", failed.cast("int").alias("failed")), "failed", made)
 
 
 def set_counts(failed: DataFrame, labels: DataFrame) -> DataFrame:
