@@ -2,6 +2,7 @@
 
     python -m orrery data inspect|query|summary --files a.csv ... [--sql ...] [--table ...] [--output-file ...]
     python -m orrery federation sql|schema|trends|report --registry federation.yaml [--sql ...] [--from ...] [--to ...]
+    python -m orrery posts INPUT --lexicon lexicon.json -o OUT [--sim 0.92] [--min-risk 50] [--min-peak-risk 60] [--prune]
     python -m orrery cluster --edges edges.csv --output-file clusters.csv
 """
 
@@ -14,6 +15,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.jobs import posts, steps
 from orrery.operators import aggregate, graph, reports
 from orrery.session import session
 from orrery.sources import catalog, sinks
@@ -118,6 +120,16 @@ def cluster(spark: SparkSession, args: argparse.Namespace) -> str:
     return sinks.console_table(found.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component"))
 
 
+def run_posts(spark: SparkSession, args: argparse.Namespace) -> str:
+    try:
+        results, counts = posts.run(spark, args.input, args.lexicon, args.outdir, args.sim, args.min_risk, args.min_peak_risk)
+    except ValueError as e:
+        return f"Error: {e}"
+    gone = steps.prune(spark, results, f"{args.outdir}/steps") if args.prune else 0
+    told = [f"{n}: {'as before' if r.resumed else 'made'}, {json.dumps(r.counts)}" for n, r in results.items()]
+    return "\n".join([*told, *([f"{gone} earlier results deleted"] if gone else []), json.dumps(counts, ensure_ascii=False), f"Report: {args.outdir}/analysis_report.md", f"Dashboard: {args.outdir}/dashboard.html"])
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="orrery", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     verbs = p.add_subparsers(dest="verb", required=True)
@@ -137,6 +149,14 @@ def parser() -> argparse.ArgumentParser:
     f.add_argument("--limit", type=int, default=20)
     f.add_argument("--max-rows", type=int, default=500)
     f.add_argument("--output-file")
+    j = verbs.add_parser("posts")
+    j.add_argument("input")
+    j.add_argument("-o", "--outdir", required=True)
+    j.add_argument("--lexicon", required=True)
+    j.add_argument("--sim", type=float, default=0.92)
+    j.add_argument("--min-risk", type=int, default=50)
+    j.add_argument("--min-peak-risk", type=int, default=60)
+    j.add_argument("--prune", action="store_true")
     c = verbs.add_parser("cluster")
     c.add_argument("--edges", required=True)
     c.add_argument("--output-file")
@@ -152,7 +172,7 @@ def run(arguments: list[str], spark: SparkSession | None = None) -> str:
     if args.verb == "data" and args.action == "summary" and not args.table:
         p.error("--table is required")
     spark = spark or session()
-    return {"data": data, "federation": federation, "cluster": cluster}[args.verb](spark, args)
+    return {"data": data, "federation": federation, "cluster": cluster, "posts": run_posts}[args.verb](spark, args)
 
 
 def main() -> None:

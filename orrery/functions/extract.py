@@ -1,8 +1,9 @@
-"""Positional extraction from text, which needs match positions: Arrow UDFs behind a JVM-side filter."""
+"""Positional extraction from text: matches with their places, JVM-side, and a state machine in an Arrow UDF behind a JVM-side filter."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,25 +14,43 @@ from orrery.functions.text import quoted
 PRICE = r"(?:[¥￥$]\s?\d+(?:\.\d+)?)|(?:\d+(?:\.\d+)?\s?(?:元|块|rmb))"
 
 
+def match_places(c: Column, pattern: str, group: int = 0) -> Column:
+    """All matches of a pattern in a text, each with its group's text and its place (from 0), JVM-side: what stands between the matches
+    tells where they are. The pattern must not match nothing; null texts have none."""
+    whole, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern, -1)
+    part = F.regexp_extract_all(c, F.lit(pattern), F.lit(group)) if group else whole
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["gap"])
+        return F.struct((at + F.length(x["whole"])).alias("at"), F.array_append(acc["out"], F.struct(x["text"].alias("text"), at.alias("at"))).alias("out"))
+
+    none = F.array().cast("array<struct<text:string,at:int>>")
+    each = F.arrays_zip(whole.alias("whole"), part.alias("text"), F.slice(gaps, 1, F.size(whole)).alias("gap"))
+    return F.coalesce(F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"]), none)
+
+
+def _near(amounts: Column, units: Column, distance: int, nearest: bool, make: Callable[[Column, Column], Column]) -> Column:
+    """For each amount, what `make` gives of it and of the unit near it (null if none is)."""
+
+    def one(m: Column) -> Column:
+        close = F.filter(units, lambda u: F.abs(u["at"] - m["at"]) <= distance)
+        pick = F.array_min(F.transform(close, lambda u: F.struct(F.abs(u["at"] - m["at"]).alias("d"), u["at"].alias("at"), u["text"].alias("text"))))["text"] if nearest else F.get(close, F.lit(0))["text"]
+        return make(m, pick)
+
+    return F.transform(amounts, one)
+
+
 def prices(c: Column, units: list[str], distance: int = 25, nearest: bool = False) -> Column:
     """Amounts in a text with the unit word near it: the first unit in text order within `distance` characters, or the nearest."""
-    words = re.compile("|".join(re.escape(u) for u in sorted(units, key=len, reverse=True)) or "(?!)")
-    amount, any_price = re.compile(PRICE, re.I), f"(?i){PRICE}"
+    number = lambda m: F.regexp_extract(m["text"], r"\d+(?:\.\d+)?", 0).cast("double")
+    return _near(match_places(c, f"(?i){PRICE}"), match_places(c, quoted(units)), distance, nearest, lambda m, u: F.struct(number(m).alias("amount"), u.alias("near_unit")))
 
-    def find(t: str | None) -> list[dict]:
-        out = []
-        places = [(m.start(), m.group()) for m in words.finditer(t or "")]
-        for m in amount.finditer(t or ""):
-            near = [(abs(at - m.start()), at, w) for at, w in places if abs(at - m.start()) <= distance]
-            pick = (min(near) if nearest else min(near, key=lambda x: x[1])) if near else None
-            out.append({"amount": float(re.search(r"\d+(?:\.\d+)?", m.group()).group()), "near_unit": pick[2] if pick else None})
-        return out
-
-    @F.pandas_udf("array<struct<amount:double,near_unit:string>>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(find)
 
-    return F.when(c.rlike(any_price), run(c)).otherwise(F.array().cast("array<struct<amount:double,near_unit:string>>"))
+def amounts_near(c: Column, money: str, unit: str, distance: int = 25) -> Column:
+    """The distinct pairs of an amount (the first group of the money pattern, as text) and the first unit within `distance` characters
+    (else empty), in text order."""
+    found = _near(match_places(c, f"(?i){money}", 1), match_places(c, f"(?i){unit}"), distance, False, lambda m, u: F.struct(m["text"].alias("amount"), F.coalesce(F.trim(u), F.lit("")).alias("near_unit")))
+    return F.array_distinct(found)
 
 
 def contacts(c: Column, patterns: dict[str, tuple[list[str], str]], window: int = 40) -> Column:

@@ -2,29 +2,125 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a bracket of values that one task sorts.
+BRACKET = 100_000
+
+
+@dataclass
+class _Rank:
+    """A rank (from 0) that is sought in a column: the open interval of values that holds it (None: no end), and how many of the column's
+    rows lie before and in it."""
+
+    column: int
+    rank: int
+    low: float | None
+    high: float | None
+    before: int
+    rows: int
+
+    def inside(self) -> Column:
+        v = F.col(f"v{self.column}")
+        out = v.isNotNull()
+        for bound in [v > self.low] * (self.low is not None) + [v < self.high] * (self.high is not None):
+            out &= bound
+        return out
+
+
+def _narrowed(values: DataFrame, ranks: list[_Rank], accuracy: int) -> dict[int, float]:
+    """Narrow the intervals of the ranks by a sketch of what they hold; returns the values of those whose rank is at an end, by place.
+
+    The sketch's values around the rank are the new ends. Rows below, at and between them are counted, so that a sketch which is off
+    costs a further round and no more; the ends themselves leave the interval, so that each round makes it smaller.
+    """
+    margin = 2.0 / accuracy
+    share = lambda r, k: F.lit(min(1.0, max(0.0, (r.rank - r.before + k) / r.rows + (2 * k - 1) * margin)))
+    edges = values.agg(*[F.percentile_approx(F.when(r.inside(), F.col(f"v{r.column}")), F.array(share(r, 0), share(r, 1)), accuracy).alias(f"e{i}") for i, r in enumerate(ranks)]).first()
+    counts = []
+    for r, (low, high) in zip(ranks, edges, strict=True):
+        v = F.col(f"v{r.column}")
+        counts += [F.count_if(c & r.inside()) for c in (v < low, v == low, (v > low) & (v < high), (v == high) & (v > low))]
+    told = values.agg(*counts).first()
+    found = {}
+    for i, (r, (low, high)) in enumerate(zip(ranks, edges, strict=True)):
+        under, at_low, between, at_high = told[4 * i : 4 * i + 4]
+        place = r.rank - r.before
+        if place < under:
+            r.high, r.rows = low, under
+        elif place < under + at_low:
+            found[i] = low
+        elif place < under + at_low + between:
+            r.low, r.high, r.before, r.rows = low, high, r.before + under + at_low, between
+        elif place < under + at_low + between + at_high:
+            found[i] = high
+        else:
+            r.low, r.before, r.rows = high, r.before + under + at_low + between + at_high, r.rows - under - at_low - between - at_high
+    return found
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], most: int = BRACKET, accuracy: int = 10_000) -> dict[str, list[float | None]]:
+    """The exact quantiles of numeric columns, interpolated between neighbours, by rank selection.
+
+    Each rank that is sought has an interval of values, which sketches and counts narrow until it has `most` rows at most; one task then
+    sorts those. So rows are read a few times, and no task holds more of a column than that, whatever the table's size and however its
+    values are spread or repeated. Nulls are left out; a column without values has null quantiles. Values are compared as doubles.
+    """
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    n = values.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))]).first()
+    neighbours = lambda i, s: (int((n[i] - 1) * s), min(n[i] - 1, int((n[i] - 1) * s) + 1))
+    ranks = [_Rank(i, k, None, None, 0, n[i]) for i in range(len(columns)) if n[i] for k in sorted({k for s in shares for k in neighbours(i, s)})]
+    found: dict[tuple[int, int], float] = {}
+    while wide := [r for r in ranks if r.rows > most]:
+        ended = _narrowed(values, wide, accuracy)
+        found |= {(wide[k].column, wide[k].rank): v for k, v in ended.items()}
+        ranks = [r for r in ranks if (r.column, r.rank) not in found]
+    if ranks:
+        each = F.array_compact(F.array(*[F.when(r.inside(), F.struct(F.lit(j).alias("j"), F.col(f"v{r.column}").alias("v"))) for j, r in enumerate(ranks)]))
+        by_value = values.select(F.explode(each).alias("x")).groupBy("x.j", "x.v").agg(F.count("*").alias("n"))
+        place = F.element_at(F.array(*[F.lit(r.rank - r.before) for r in ranks]), F.col("j") + 1)
+        up_to = by_value.withColumn("up_to", F.sum("n").over(Window.partitionBy("j").orderBy("v")))
+        for r in up_to.where((F.col("up_to") > place) & (F.col("up_to") - F.col("n") <= place)).select("j", "v").collect():  # a row for each rank
+            found[ranks[r["j"]].column, ranks[r["j"]].rank] = r["v"]
+
+    def quantile(i: int, s: float) -> float | None:
+        if not n[i]:
+            return None
+        low, high = (found[i, k] for k in neighbours(i, s))
+        return low if low == high else low + (high - low) * ((n[i] - 1) * s - int((n[i] - 1) * s))
+
+    return {c: [quantile(i, s) for s in shares] for i, c in enumerate(columns)}
+
+
 def numeric_summary(df: DataFrame, columns: list[str], accuracy: int | None = None) -> DataFrame:
-    """One row for each column: count, nulls, mean, sample deviation, least, quartiles, greatest; one pass over the table.
+    """One row for each column: count, nulls, mean, sample deviation, least, quartiles, greatest.
 
-    Quartiles are exact, for which all distinct values of a column meet in one task; with an `accuracy`, they come from a sketch that
-    is at most 1 / accuracy of the rows off in rank and whose size doesn't follow the table: for tables of many distinct values.
+    Quartiles are exact, by rank selection (see exact_quantiles(): two or three more passes); with an `accuracy`, they come from a
+    sketch in the same pass that is at most 1 / accuracy of the rows off in rank.
     """
-    thirds = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = lambda c: F.percentile(c, thirds) if accuracy is None else F.percentile_approx(F.col(c).cast("double"), thirds, accuracy)
+    thirds = [0.25, 0.5, 0.75]
+    exact = exact_quantiles(df, columns, thirds) if accuracy is None else {}
+
+    def quartiles(c: str) -> Column:
+        if accuracy is None:
+            return F.array(*[F.lit(x).cast("double") for x in exact[c]])
+        return F.percentile_approx(F.col(f"`{c}`").cast("double"), F.array(*map(F.lit, thirds)), accuracy)
+
     stats = [
         F.struct(
             F.lit(c).alias("column"),
-            F.count(c).alias("n"),
-            F.count_if(F.col(c).isNull()).alias("nulls"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"),
-            F.min(F.col(c).cast("double")).alias("min"),
+            F.count(f"`{c}`").alias("n"),
+            F.count_if(F.col(f"`{c}`").isNull()).alias("nulls"),
+            F.avg(f"`{c}`").alias("mean"),
+            F.stddev_samp(f"`{c}`").alias("std"),
+            F.min(F.col(f"`{c}`").cast("double")).alias("min"),
             quartiles(c).alias("q"),
-            F.max(F.col(c).cast("double")).alias("max"),
+            F.max(F.col(f"`{c}`").cast("double")).alias("max"),
         )
         for c in columns
     ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from orrery.functions import values
 from orrery.operators import aggregate, graph, store, windows
 from orrery.plans.registry import query, table
 from orrery.sources import catalog
+from orrery.sources.stored import StoredTable
 
 
 def money(c: Column | str) -> Column:
@@ -172,12 +175,26 @@ def first_wins_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return keyed.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).drop("h")
 
 
-@query("upsert_merge", "SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, coalesce(b.c_acctbal, a.c_acctbal) AS c_acctbal, coalesce(a.c_name, b.c_name) AS c_name FROM customer a FULL JOIN (SELECT CASE WHEN c_acctbal < 0 THEN c_custkey ELSE -c_custkey END AS c_custkey, c_acctbal + 1 AS c_acctbal, c_name FROM customer) b ON a.c_custkey = b.c_custkey")
-def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+_UPSERT = "SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, coalesce(b.c_acctbal, a.c_acctbal) AS c_acctbal, coalesce(a.c_name, b.c_name) AS c_name FROM customer a FULL JOIN (SELECT CASE WHEN c_acctbal < 0 THEN c_custkey ELSE -c_custkey END AS c_custkey, c_acctbal + 1 AS c_acctbal, c_name FROM customer) b ON a.c_custkey = b.c_custkey"
+
+
+def _upsert_batch(c: DataFrame) -> DataFrame:
     # all customers are stored; the batch has each again with another balance, under its key if in debt and else under a new one
+    return c.select(F.when(F.col("c_acctbal") < 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("c_custkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"), "c_name")
+
+
+@query("upsert_merge", _UPSERT)
+def upsert_merge(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_name")
+    return store.upsert(c, _upsert_batch(c), "c_custkey", ["c_acctbal"])
+
+
+@query("stored_upsert", _UPSERT)
+def stored_upsert(spark: SparkSession, d: str) -> DataFrame:
+    graph.ensure_checkpoints(spark)
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_name")
-    batch = c.select(F.when(F.col("c_acctbal") < 0, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("c_custkey"), (F.col("c_acctbal") + 1).alias("c_acctbal"), "c_name")
-    return store.upsert(c, batch, "c_custkey", ["c_acctbal"])
+    stored = StoredTable.create(c, f"{spark.sparkContext.getCheckpointDir()}/customers-{uuid.uuid4().hex}", "c_custkey", n_buckets=8)
+    return stored.upsert(_upsert_batch(c), ["c_acctbal"]).read()
 
 
 @query("crosstab_probe", "SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS \"n_1-URGENT\", count(*) FILTER (o_orderpriority = '5-LOW') AS \"n_5-LOW\", count(*) AS total FROM orders GROUP BY 1")

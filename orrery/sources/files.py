@@ -19,7 +19,7 @@ def json_documents(spark: SparkSession, path: str, element: T.DataType, wrapper:
     whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True)
     text = F.trim("value")
     as_list, wrapped, single = F.from_json(text, T.ArrayType(element)), F.from_json(text, T.StructType([T.StructField(wrapper, T.ArrayType(element))])), F.from_json(text, element)
-    rows = F.when(text.startswith("["), as_list).when(wrapped[wrapper].isNotNull(), wrapped[wrapper]).otherwise(F.array(single))
+    rows = F.when(F.get_json_object(text, "$").isNull(), None).when(text.startswith("["), as_list).when(wrapped[wrapper].isNotNull(), wrapped[wrapper]).otherwise(F.array(single))
     return whole.select(F.col("_metadata.file_name").alias("source_file"), F.explode(rows).alias("r")).where("r IS NOT NULL").select("source_file", "r.*")
 
 
