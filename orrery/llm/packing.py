@@ -75,10 +75,11 @@ class Knapsack:
         return out
 
 
-def fractional(counts: np.ndarray, step: float = 1.0, rounds: int = 48, near: float = 0.003, rate: float = 0.1) -> tuple[dict[Configuration, float], float]:
+def fractional(counts: np.ndarray, step: float = 1.0, power: float = 1.02, rounds: int = 48, near: float = 0.003, rate: float = 0.1) -> tuple[dict[Configuration, float], float]:
     """A solution of the program over `counts` (pieces by length) by multiplicative weights, and a lower bound of any packing.
 
-    Weights are prices of lengths, by size at first, at which all full sequences are worth the same. Each round solves the knapsack; of
+    Weights are prices of lengths: at first their sizes to a power, at which full sequences are worth almost the same, and those with long
+    pieces a little more, so that short ones are left for them. Each round solves the knapsack; of
     each length that lacks cover, the best configuration that has it is used if it is worth almost (1 - near) what the best of all is,
     for the share `step` of what its lengths lack. Prices rise with what a length lacks and fall with what it has. What no round finds
     worth using stays uncovered. The bound is that of the prices as a dual solution: no sequence is worth more than the best knapsack.
@@ -87,7 +88,7 @@ def fractional(counts: np.ndarray, step: float = 1.0, rounds: int = 48, near: fl
     lengths = np.flatnonzero(counts)
     used: Counter = Counter()
     lack = counts.astype(float)
-    price = np.where(counts > 0, np.arange(capacity + 1) / capacity, 0.0)
+    price = np.where(counts > 0, (np.arange(capacity + 1) / capacity) ** power, 0.0)
     bound = 0.0
     for _ in range(rounds):
         knapsack = Knapsack.solve(price)
@@ -169,17 +170,21 @@ class Plan:
         return sum(n for _, n in self.sequences)
 
 
-def plan(counts: np.ndarray, steps: tuple[float, ...] = (1.0, 0.5), passes: int = 12) -> Plan:
-    """Pack pieces of lengths 1 to len(counts) - 1, of which counts[x] have length x: the better plan of those with each step size.
+#: Steps and powers of the first prices with which the program is solved.
+SCHEDULES = ((1.0, 1.02), (1.0, 1.1), (0.5, 1.02))
+
+
+def plan(counts: np.ndarray, schedules: tuple[tuple[float, float], ...] = SCHEDULES, passes: int = 12) -> Plan:
+    """Pack pieces of lengths 1 to len(counts) - 1, of which counts[x] have length x: the best plan of those with each schedule.
 
     Whole parts of a fractional solution are taken, and what they leave is solved anew, until a pass takes less than a tenth; the rest
     goes best-fit. A pass leaves less than one sequence of each configuration that it used, of which there are at most rounds times
     lengths, and what it left uncovered: lengths whose partners are used up.
     """
-    return min((_plan(counts, step, passes) for step in steps), key=lambda p: p.n_sequences)
+    return min((_plan(counts, step, power, passes) for step, power in schedules), key=lambda p: p.n_sequences)
 
 
-def _plan(counts: np.ndarray, step: float, passes: int) -> Plan:
+def _plan(counts: np.ndarray, step: float, power: float, passes: int) -> Plan:
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
     left[0] = 0
@@ -193,7 +198,7 @@ def _plan(counts: np.ndarray, step: float, passes: int) -> Plan:
         total = int(left.sum())
         if not total:
             break
-        solution, least = fractional(left, step)
+        solution, least = fractional(left, step, power)
         if k == 0:
             bound = max(bound, whole + least)
         for config, times in sorted(solution.items(), key=lambda x: (-x[1], x[0])):

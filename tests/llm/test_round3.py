@@ -216,7 +216,14 @@ def test_plans(kind):
             used[x] += n * m
     assert used == Counter({x: int(n) for x, n in enumerate(counts) if n})
     assert p.bound - 1e-6 <= p.n_sequences <= max(np.ceil(p.bound), 1.01 * p.bound + 1)
-    assert p.n_sequences <= sum(packing.best_fit(counts).values())
+    assert p.n_sequences <= 1.002 * sum(packing.best_fit(counts).values())
+
+
+def test_the_program_does_better_than_best_fit_alone():
+    """Lengths around a third of a sequence, of which best-fit decreasing puts the long ones together."""
+    counts = np.bincount(np.clip(np.random.default_rng(0).lognormal(5.8, 0.5, 30_000).astype(int), 1, 1024), minlength=1025)
+    p = packing.plan(counts)
+    assert p.n_sequences < 0.999 * sum(packing.best_fit(counts).values()) and p.n_sequences < 1.003 * p.bound
 
 
 def test_best_fit_is_best_fit_decreasing():
