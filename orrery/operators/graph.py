@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder that the session names in spark.checkpoint.dir; a local one only where it is unset."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="orrery-"))
+    """Use the shared folder that the session names in spark.checkpoint.dir; a local one only where it is unset and all run in one process
+    (ValueError elsewhere)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if told is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(told or "file://" + tempfile.mkdtemp(prefix="orrery-"))
 
 
 def co_occurrences(df: DataFrame, key: str, node: str, least: int = 2, most: int | None = 30) -> DataFrame:
@@ -21,7 +26,9 @@ def co_occurrences(df: DataFrame, key: str, node: str, least: int = 2, most: int
     sizes = each.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     if most is not None:
         sizes = sizes.where(F.col("n") <= most)
-    fit = each.join(sizes.select("k"), "k")
+    ensure_checkpoints(df.sparkSession)
+    # written before it is joined: with the aggregate in the join's stage, Spark can't split a key that a third of the rows have
+    fit = each.join(sizes.select("k").checkpoint(), "k")
     a, b = fit.select("k", F.col("id").alias("a")), fit.select("k", F.col("id").alias("b"))
     return a.join(b, "k").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 

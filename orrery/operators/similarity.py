@@ -18,7 +18,7 @@ def similar_pairs(df: DataFrame, key: str, sets: Column, threshold: float) -> Da
     ensure_checkpoints(df.sparkSession)
     hashed = F.array_distinct(F.transform(sets, lambda x: F.xxhash64(x)))
     base = df.select(F.col(key).alias("id"), hashed.alias("items")).where(F.size("items") > 0).checkpoint()
-    counts = base.select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    counts = base.select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1").checkpoint()  # written, so that the join can split an item that many sets hold
     # of the items that occur once, only their number matters: they come first in any order by rarity
     often = base.select("id", F.size("items").alias("n"), F.explode("items").alias("h")).join(counts, "h")
     order = F.sort_array(F.collect_list(F.struct("df", "h")))
