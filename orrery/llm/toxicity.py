@@ -204,14 +204,14 @@ def training_sample(documents: DataFrame, labels: DataFrame, per_label: int = 12
     """A bounded sample of labelled training documents: `per_label` of each label, chosen by a seeded hash of doc_id.
 
     Only rows whose crc32(doc_id as text) mod 5 is not 0 are taken; labels that are neither 0 nor 1 are left out, documents with
-    two labels count as toxic, and texts over `max_chars` characters are left out of training (never of scoring).
+    two labels count as toxic, of several texts of a doc_id the first in their order counts, and texts over `max_chars` characters are left out of training (never of scoring).
     """
     key = F.crc32(F.col("doc_id").cast("string"))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (key % 5 != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.col("doc_id"), F.lit(seed))
     picked = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(per_label) for y in (0, 1)]
     chosen = picked[0].unionByName(picked[1])
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= max_chars).dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.length("text") <= max_chars).groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
