@@ -94,12 +94,13 @@ def mine_rules(labelled: DataFrame, p: Params = Params(), url: str = "url", labe
     known = without(labelled, "host", "path", "__tokens").where(F.col(label).isNotNull())
     rows = _tokenised(known.select(F.col(url).alias("url"), F.col(label).cast("boolean").alias("blocked")), "url")
     verdict = F.when(F.col("blocked"), F.lit(LABELS["block"])).otherwise(F.lit(LABELS["allow"]))
-    items = shared_table(rows.select(F.concat("__tokens", F.array(verdict)).alias("items"), "blocked"), "transactions")
+    items = shared_table(rows.select(F.monotonically_increasing_id().alias("row"), "__tokens", verdict.alias("label"), "blocked"), "transactions")
     total, blocked = items.agg(F.count("*"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0))).first()
     if not total:
         return items.sparkSession.createDataFrame([], RULE)
     least = max(p.support, p.least_urls / total)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least), minConfidence=min(max(p.confidence, p.lift * blocked / total), 1 - blocked / total, 1.0)).fit(items.select("items"))
+    classes = shared_table(_classes(items, least * total), "token_classes")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least), minConfidence=min(max(p.confidence, p.lift * blocked / total), 1 - blocked / total, 1.0)).fit(_merged(items, classes))
     told = F.when(F.col("consequent")[0] == LABELS["block"], "block").when(F.col("consequent")[0] == LABELS["allow"], "allow")
     rules = model.associationRules.select(F.array_sort("antecedent").alias("tokens"), told.alias("verdict"), "confidence", "support").where("verdict IS NOT NULL")
     good = ((F.col("verdict") == "block") & (F.col("confidence") >= max(p.confidence, p.lift * blocked / total))) | ((F.col("verdict") == "allow") & (F.col("confidence") > 1 - blocked / total))
@@ -115,7 +116,38 @@ def mine_rules(labelled: DataFrame, p: Params = Params(), url: str = "url", labe
         .select(F.col("l.tokens").alias("tokens"), "verdict")
         .distinct()
     )
-    return shared_table(rules.join(inside, ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", "support"), "pruned_rules")
+    kept = rules.join(inside, ["tokens", "verdict"], "left_anti").select("tokens", "verdict", "confidence", "support")
+    return shared_table(_expanded(kept, classes, p.most_tokens), "pruned_rules")
+
+
+def _classes(items: DataFrame, least: float) -> DataFrame:
+    """(t, rep): the tokens of at least so many URLs, each with the first of those that stand in exactly the same URLs.
+
+    Tokens of one class tell the same, so the mining sees one of them: a part of a path that always brings others along would else double
+    the itemsets with each.
+    """
+    row = lambda seed: F.bit_xor(F.xxhash64("row", F.lit(seed)))
+    covers = items.select("row", F.explode("__tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"), row(1).alias("x"), row(2).alias("y")).where(F.col("n") >= least)
+    first = covers.groupBy("n", "x", "y").agg(F.min("t").alias("rep"))
+    return covers.join(first, ["n", "x", "y"]).select("t", "rep")
+
+
+def _merged(items: DataFrame, classes: DataFrame) -> DataFrame:
+    """The transactions: of each URL the first tokens of its frequent tokens' classes, and its label."""
+    found = items.select("row", F.explode("__tokens").alias("t")).join(classes.where("t = rep"), "t").groupBy("row").agg(F.collect_set("rep").alias("reps"))
+    return items.join(found, "row", "left").select(F.concat(F.coalesce("reps", F.array().cast("array<string>")), F.array("label")).alias("items"))
+
+
+def _expanded(rules: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """The rules with each token of a class in its first one's place: those that mining all tokens gives, as of two tokens of a class one
+    is always enough."""
+    members = classes.groupBy("rep").agg(F.collect_list("t").alias("members"))
+    out = rules.withColumn("whole", F.array().cast("array<string>"))
+    for k in range(most):
+        own = members.withColumnsRenamed({"rep": f"rep{k}", "members": f"members{k}"})
+        out = out.join(own, F.get("tokens", F.lit(k)) == F.col(f"rep{k}"), "left").withColumn("t", F.explode_outer(f"members{k}"))
+        out = out.withColumn("whole", F.when(F.col("t").isNull(), F.col("whole")).otherwise(F.array_append("whole", F.col("t")))).drop("t", f"rep{k}", f"members{k}")
+    return out.select(F.array_sort("whole").alias("tokens"), "verdict", "confidence", "support")
 
 
 def _index(rules: DataFrame) -> DataFrame:
