@@ -47,12 +47,15 @@ class Kept(dict):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local folder of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local folder of our own where it
+    is unset and all run in one process (tests); elsewhere it must be set (ValueError)."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         configured = getattr(sc, "_orrery_dir", None)
         if configured is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             configured = sc._orrery_dir = "file://" + tempfile.mkdtemp(prefix="orrery-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)

@@ -153,6 +153,24 @@ def brute_rules(rows, p):
     return {(c, v): x for (c, v), x in found.items() if not any(v == w and len(d) < len(c) and set(d) <= set(c) and y >= x for (d, w), y in found.items())}
 
 
+def test_tokens_that_always_stand_together_are_mined_once(spark):
+    """25 path words that 200 URLs share would make 2^25 itemsets; each word is a rule of its own, and so is each pair with another part."""
+    path = "/".join(f"w{chr(97 + i)}" for i in range(25))
+    rows = [(f"http://h{'a' if i % 2 else 'b'}.net/{path if i < 200 else 'else'}/", i < 200) for i in range(400)]
+    mined = {(tuple(r.tokens), r.verdict): r.confidence for r in urlfilter.mine_rules(spark.createDataFrame(rows, "url string, blocked boolean"), urlfilter.Params(confidence=0.9)).collect()}
+    assert {t for t, v in mined if v == "block"} == {(f"path:w{chr(97 + i)}",) for i in range(25)} and all(c == 1.0 for (t, v), c in mined.items() if v == "block")
+
+
+def test_the_url_query_blocks_by_mined_rules(spark, tmp_path):
+    """A host without a fixed rule whose pages are toxic: the query itself learns that from the labels, and blocks pages without one too."""
+    pages = [(i, f"http://{'bad' if i % 2 else 'good'}.example.net/en/{i}", "<p>") for i in range(300)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.op2_url_filter(spark, str(tmp_path)).collect()
+    assert {r.page_id: r.verdict for r in got} == {i: "block" if i % 2 else "allow" for i, *_ in pages}
+    assert all(r.rule is None and "bad" in r.mined_rule and r.mined_confidence == 1.0 for r in got if r.verdict == "block")
+
+
 def test_mined_rules_are_those_of_a_brute_force_search(spark):
     rng = random.Random(12)
     urls = []
