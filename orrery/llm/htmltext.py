@@ -229,7 +229,8 @@ def _before(rng: random.Random, plain: bool) -> str:
     name = {"banner": "site-header", "advert": rng.choice(["ad", "sponsored", "promo"]), "notice": rng.choice(["cookie-notice", "alert", "newsletter"])}[kind]
     if plain:
         return f"<div><p>{_words(REST, rng.randint(1, 9))}</p></div>"
-    return rng.choice([f'<div class="{name}">{_prose(rng)}</div>', f"<header><p>{_prose(rng)}</p></header>", f"<aside><p>{_prose(rng)}</p></aside>"])
+    prose = "".join(f"<p>{_prose(rng)}</p>" for _ in range(rng.choice([1, 1, 2, 3])))
+    return rng.choice([f'<div class="{name}">{_prose(rng)}</div>', f'<div class="{name}">{prose}</div>', f"<header>{prose}</header>", f"<aside>{prose}</aside>"])
 
 
 def _after(rng: random.Random, plain: bool) -> str:
@@ -239,11 +240,13 @@ def _after(rng: random.Random, plain: bool) -> str:
         return f'<div id="comments"><h3>{_words(REST, 2)}</h3>' + "".join(f"<p>{_prose(rng)}</p>" for _ in range(rng.randint(1, 4))) + "</div>"
     if kind == "related":
         body = f"<h4>{_words(REST, 2)}</h4>" + (f"<p>{_row(rng)}</p>" if plain and rng.random() < 0.5 else f"<ul>{_links(rng, rng.randint(2, 6), 9)}</ul>")
-        return f"<div>{body}</div>" if plain else rng.choice([f"<aside>{body}<p>{_prose(rng)}</p></aside>", f'<div class="related">{body}</div>', f'<div id="sidebar">{body}</div>'])
+        return f"<div>{body}</div>" if plain else rng.choice([f"<aside>{body}<p>{_prose(rng)}</p></aside>", f'<div class="related">{body}</div>', f'<div id="sidebar">{body}<p>{_prose(rng)}</p><p>{_prose(rng)}</p></div>'])
     if kind == "form":
         body = f"<p>{_words(REST, rng.randint(2, 12)) if plain else _prose(rng)}</p>"
         return f"<div>{body}</div>" if plain else f"<form>{body}<label>{_words(REST, 2)}</label><button>{_words(REST, 1)}</button></form>"
     body = f"<p>{_words(REST, rng.randint(2, 10)) if plain else _prose(rng)}</p>" + (f"<p><a href=/t>{_words(REST, 3)}</a> <a href=/p>{_words(REST, 1)}</a></p>" if rng.random() < 0.6 else "")
+    if not plain:
+        body += "".join(f"<p>{_prose(rng)}</p>" for _ in range(rng.choice([0, 0, 1, 2])))
     return f"<div>{body}</div>" if plain else rng.choice([f"<footer>{body}</footer>", f'<div class="footer">{body}</div>'])
 
 
