@@ -169,18 +169,22 @@ def _marks(attributes: str) -> set[str]:
 
 
 #: The columns of the labelled table and of the tree.
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "heading", "landmark", "listed", "marked", "joined_before", "joined_after")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "heading", "landmark", "listed", "marked")
+
+#: Those that elements and names alone tell.
+NAMED = ("landmark", "listed", "marked")
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """One row for each block: word counts (to 200) and link densities of it and its neighbours, where it stands, and whether its
-    neighbours stand in the same container."""
+    """One row for each block: word counts (to 200) and link densities of it and its neighbours, and where it stands. Neighbours are the
+    blocks before and after it in the same container; where there is none, they have no words."""
     n = len(found)
+    inside = np.array([-1, *[b.container for b in found], -2])
     w = np.array([0, *[min(b.words, 200) for b in found], 0], dtype=float)
     d = np.array([0, *[b.linked / b.words for b in found], 0], dtype=float)
+    before, after = inside[:-2] == inside[1:-1], inside[2:] == inside[1:-1]
     where = np.array([[b.in_article, b.heading, b.landmark, b.listed, b.marked] for b in found], dtype=float).reshape(n, 5)
-    inside = np.array([-1, *[b.container for b in found], -1])
-    return np.column_stack([w[1:-1], d[1:-1], w[:-2], d[:-2], w[2:], d[2:], where, inside[:-2] == inside[1:-1], inside[2:] == inside[1:-1]])
+    return np.column_stack([w[1:-1], d[1:-1], w[:-2] * before, d[:-2] * before, w[2:] * after, d[2:] * after, where])
 
 
 #: What the words of the labelled pages begin with: the article's, and all others.
@@ -260,7 +264,7 @@ def _unnamed_story(rng: random.Random) -> list[str]:
     if kind == "single":
         return [f"<p>{_words(MAIN, rng.choice([30, 60, 120, 200]))}</p>" for _ in range(rng.randint(1, 2))]
     if kind == "short":
-        return [f"<p>{_linked(rng, rng.randint(9, 22))}</p>" for _ in range(rng.randint(3, 20))]
+        return [f"<p>{_linked(rng, rng.randint(5, 22))}</p>" for _ in range(rng.randint(3, 20))]
     lengths = [rng.choice([22, 30, 45, 60, 90, 120, 200]) for _ in range(rng.randint(3, 8))]
     if len(lengths) > 3 and rng.random() < 0.4:
         lengths[rng.randint(1, len(lengths) - 2)] = rng.randint(4, 12)
@@ -302,7 +306,7 @@ def labels(found: list[Block]) -> np.ndarray:
 def by_names_alone(x: np.ndarray) -> np.ndarray:
     """What elements and names say without any count: the yardstick that the tree is held against, and what decides a page of which the
     tree keeps nothing."""
-    return ~x[:, [FEATURES.index(c) for c in ("landmark", "listed", "marked")]].any(axis=1)
+    return ~x[:, [FEATURES.index(c) for c in NAMED]].any(axis=1)
 
 
 def accuracy(decide: Callable[[np.ndarray], np.ndarray], n: int = 200, seed: int = 1003) -> tuple[float, float]:
@@ -372,8 +376,17 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 4) -> Tree:
 
 
 def trained_tree() -> Tree:
+    """The tree of the labelled table. Its first splits are by the marks, as these are sure there; what is in no marked part goes on to
+    splits by least impurity."""
     found = [blocks(p) for p in labelled_pages()]
-    return grow(np.concatenate([features(b) for b in found]), np.concatenate([labels(b) for b in found]))
+    x, y = np.concatenate([features(b) for b in found]), np.concatenate([labels(b) for b in found])
+    named = [FEATURES.index(c) for c in NAMED]
+    rest = ~x[:, named].any(axis=1)
+    tree = grow(x[rest], y[rest])
+    for f in named:
+        inside = x[:, f] > 0.5
+        tree = Tree(False, f, 0.5, tree, grow(x[inside], y[inside]))
+    return tree
 
 
 def main_text(page: str | None, tree: Tree) -> str:
