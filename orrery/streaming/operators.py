@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -112,21 +112,33 @@ def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], che
 def buffered(handle: Callable[[DataFrame, int], None], folder: str, threshold: int) -> Callable[[DataFrame, int], None]:
     """A handler of micro-batches that keeps their rows in a folder until there are `threshold`, then hands over all of them at once.
 
-    If that fails, the rows stay and are handed over again with the next batch. A batch that is run again replaces its own rows.
+    If that fails, the rows stay and are handed over again with the next batch. A batch that is run again replaces its own rows. What
+    waits when the stream ends goes by flush().
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
-        waiting = spark.read.parquet(folder).drop("batch")
-        if waiting.count() < threshold:
+        if spark.read.parquet(folder).count() < threshold:
             return
         try:
-            handle(waiting, number)
+            flush(spark, handle, folder, number)
         except Exception as e:  # noqa: BLE001
             warnings.warn(f"batch {number} is kept for the next: {e}", stacklevel=2)
-            return
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return run
+
+
+def flush(spark: SparkSession, handle: Callable[[DataFrame, int], None], folder: str, number: int = -1) -> int:
+    """Hand over the rows that wait in a buffered() folder, however few: at the end of a stream. Returns their number; if handing them
+    over fails, they stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    waiting = spark.read.parquet(folder).drop("batch")
+    n = waiting.count()
+    if n:
+        handle(waiting, number)
+    fs.delete(path, True)
+    return n

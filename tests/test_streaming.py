@@ -90,3 +90,20 @@ def test_buffered_rows_are_handed_over_again_after_a_failure(spark, tmp_path):
     run(spark.createDataFrame([(3,)], "id int"), 1)
     run(spark.createDataFrame([(4,)], "id int"), 2)
     assert seen == [(1, [1, 2, 3])]
+
+
+def test_what_waits_at_the_end_is_flushed(spark, tmp_path):
+    got, folder = [], f"{tmp_path}/buffer"
+    take = lambda df, number: got.append((number, sorted(r.id for r in df.collect())))
+    handler = operators.buffered(take, folder, 3)
+    handler(spark.range(0, 2), 0)
+    handler(spark.range(2, 4), 1)
+    handler(spark.range(4, 5), 2)
+    assert got == [(1, [0, 1, 2, 3])]
+
+    def fails(df, number):
+        raise OSError("away")
+
+    with pytest.raises(OSError):
+        operators.flush(spark, fails, folder)
+    assert operators.flush(spark, take, folder) == 1 and got[1] == (-1, [4]) and operators.flush(spark, take, folder) == 0
