@@ -1,4 +1,6 @@
 import json
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +141,14 @@ def test_list_changes(spark):
     a = spark.createDataFrame([(0, "x", "pending"), (1, "y", "pending"), (2, "z", "pending")], "pos int, content string, status string")
     b = spark.createDataFrame([(0, "x", "in_progress"), (1, "y2", "pending")], "pos int, content string, status string")
     assert {(r.content, r.action) for r in windows.list_changes(a, b).collect()} >= {("x", "start"), ("z", "remove")}
+
+
+def test_co_occurrences_deal_rows_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS_A_TASK", 10)
+    rows = [(k, (k * 7 + i) % 23) for k in range(60) for i in range(1 + k % 5)] * 2 + [(None, 1), (3, None)]
+    got = graph.co_occurrences(spark.createDataFrame(rows, "k int, id int"), "k", "id", 2, 4)
+    nodes = {k: {i for j, i in rows if j == k and i is not None} for k in range(60)}
+    expected = Counter((a, b) for s in nodes.values() if 2 <= len(s) <= 4 for a in s for b in s if a < b)
+    assert {(r.a, r.b): r.n for r in got.collect()} == expected
+    # the pairs' stage has a task for each ten rows
+    assert f"hashpartitioning(k, {-(-(len(rows) - 2) // 10)})" in re.sub(r"#\d+L?", "", got._jdf.queryExecution().toString())
