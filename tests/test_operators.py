@@ -152,3 +152,11 @@ def test_co_occurrences_deal_rows_to_tasks(spark, monkeypatch):
     assert {(r.a, r.b): r.n for r in got.collect()} == expected
     # the pairs' stage has a task for each ten rows
     assert f"hashpartitioning(k, {-(-(len(rows) - 2) // 10)})" in re.sub(r"#\d+L?", "", got._jdf.queryExecution().toString())
+
+
+def test_co_occurrences_move_few_nodes_of_a_common_key(spark):
+    rows = [(0, i) for i in range(500)] + [(1, 1), (1, 2), (2, 1), (2, 2), (2, 9)]
+    got = graph.co_occurrences(spark.createDataFrame(rows, "k int, id int"), "k", "id", 2, 3)
+    plan = got._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Join" not in plan
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 2), (1, 9, 1), (2, 9, 1)}
