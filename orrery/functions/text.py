@@ -274,14 +274,21 @@ LINE_BUCKET = 200
 def call_key(name: Column, arguments: Column) -> Column:
     """What tells a tool's call (arguments as a JSON object): for reads the path and the buckets of lines; for writes all arguments; else
     the salient ones, or all without any."""
-    take = lambda k: F.get_json_object(arguments, f"$.{k}")
-    first = F.coalesce(take("start_line").try_cast("bigint"), F.lit(1))
-    last = F.coalesce(take("end_line").try_cast("bigint"), first)
+    # an object is parsed only for names that may be in it: they stand there as such, or with escapes
+    take = lambda k: F.when(arguments.contains(k) | arguments.contains("\\"), F.get_json_object(arguments, f"$.{k}"))
+    # what is used more than once is held by a lambda's variable, so that it is computed once
+    held = lambda x, use: F.transform(F.array(x), use)[0]
     bucket = lambda x: F.floor((F.greatest(x, F.lit(1)) - 1) / LINE_BUCKET).cast("string")
-    read = F.concat(F.coalesce(take("path"), F.lit("")), F.lit(":"), bucket(F.least(first, last)), F.lit("-"), bucket(F.greatest(first, last)))
     chosen = F.array_compact(F.array(*[F.concat(F.lit(f"{k}="), take(k)) for k in sorted(SALIENT)]))
     whole = F.coalesce(F.to_json(F.array_sort(F.map_entries(F.from_json(arguments, "map<string,string>")))), arguments, F.lit(""))
-    return F.when((name == "read_file") & take("path").isNotNull(), read).when(name.isin(*BY_CONTENT) | (F.size(chosen) == 0), whole).otherwise(F.array_join(chosen, "\x01"))
+    other = F.when(name.isin(*BY_CONTENT), whole).otherwise(held(chosen, lambda x: F.when(F.size(x) == 0, whole).otherwise(F.array_join(x, "\x01"))))
+
+    def lines(path: Column) -> Column:
+        first = F.coalesce(take("start_line").try_cast("bigint"), F.lit(1))
+        ends = held(first, lambda x: F.array_sort(F.array(x, F.coalesce(take("end_line").try_cast("bigint"), x))))
+        return held(ends, lambda x: F.concat(path, F.lit(":"), bucket(x[0]), F.lit("-"), bucket(x[1])))
+
+    return F.when(name == "read_file", held(take("path"), lambda x: F.when(x.isNotNull(), lines(x)).otherwise(other))).otherwise(other)
 
 
 def call_hash(calls: Column) -> Column:

@@ -87,6 +87,25 @@ def test_call_hash_is_of_the_multiset(spark):
     assert len({h[k] for k in ("a", "b", "c", "c2", "w", "w2", "n", "z")}) == 8
 
 
+def test_call_key_parses_each_argument_once(spark):
+    keys = [
+        ("read_file", '{"path":"x","start_line":401,"end_line":3}', "x:0-2"),
+        ("read_file", '{"p\\u0061th":"x","st\\u0061rt_line":"5"}', "x:0-0"),
+        ("read_file", "{'path':'x','end_line':900}", "x:0-4"),
+        ("read_file", '{"path":null,"url":"u"}', "url=u"),
+        ("read_file", None, ""),
+        ("search", '{"qu\\u0065ry":"q","cmd":"c"}', "cmd=c\x01query=q"),
+        ("search", '{"b":"path","a":1}', '[{"key":"a","value":"1"},{"key":"b","value":"path"}]'),
+        (None, '{"url":"u"}', "url=u"),
+        ("str_replace", '{"path":"x"}', '[{"key":"path","value":"x"}]'),
+    ]
+    df = spark.createDataFrame([(i, n, a) for i, (n, a, _) in enumerate(keys)], "i int, n string, a string")
+    found = df.select("i", text.call_key(F.col("n"), F.col("a")).alias("k"))
+    assert {r.i: r.k for r in found.collect()} == {i: k for i, (_, _, k) in enumerate(keys)}
+    # of a read: path and the ends of its lines, once each; of what has no path, and of other calls, the seven telling ones
+    assert found._jdf.queryExecution().analyzed().toString().count("get_json_object") <= 17
+
+
 def test_marks_of_listings_and_addresses(spark):
     got = spark.range(1).select(
         text.image_fingerprint(F.lit("https://x/O1CN01abcdefghijklmnop_!!9.jpg")), text.image_fingerprint(F.lit(None).cast("string")), text.hour_bucket(F.lit("2024-01-31 07:15")), text.hour_bucket(F.lit("31.1.2024")),
