@@ -241,12 +241,19 @@ def crosstab(df: DataFrame, row: str, column: str, values: list[str], stratum: s
 
 
 def ngrams(df: DataFrame, text: str, sizes: tuple[int, ...] = (2, 3, 4), keep: str = r"[\x{4e00}-\x{9fff}]", least: int = 2, stop: tuple[str, ...] = ()) -> DataFrame:
-    """Frequent character n-grams that a pattern is found in."""
-    # a place that isn't within a character of two code units, and what follows it
-    of_size = lambda n: F.regexp_extract_all(text, F.lit(rf"(?s)(?<![\x{{D800}}-\x{{DBFF}}])(?=(.{{{n}}}))"), 1)
-    found = df.select(F.explode(F.concat(*[of_size(n) for n in sizes])).alias("gram"))
-    counts = found.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return counts.where(F.col("gram").rlike(f"(?s)^.*{keep}.*$") & ~F.col("gram").rlike(r"\s") & ~F.col("gram").isin(*stop, ""))
+    """Frequent character n-grams that a pattern is found in and no white space.
+
+    So they lie within words: these are counted first, and a word is cut once, however often it is there. Of a place in a word only the
+    longest gram is counted, as the shorter ones are its starts.
+    """
+    words = df.select(F.explode(F.split(text, r"\s")).alias("word")).where("word != ''").groupBy("word").agg(F.count("*").alias("n"))
+    # each character and what follows it; as it is consumed, no place is within a character of two code units
+    places = F.regexp_extract_all("word", F.lit(rf"(?s)(?=(.{{1,{max(sizes)}}}))."), 1)
+    longest = words.select(F.explode(places).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
+    starts = F.array(*[F.when(F.length("gram") >= k, F.left("gram", F.lit(k))) for k in sizes])
+    found = longest.select(F.explode(F.array_compact(starts)).alias("gram"), "n")
+    counts = found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return counts.where(F.col("gram").rlike(f"(?s)^.*{keep}.*$") & ~F.col("gram").isin(*stop, ""))
 
 
 def variant_families(counts: DataFrame, top: int = 200, prefix: int = 2, members: int = 3) -> DataFrame:

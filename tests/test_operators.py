@@ -160,3 +160,13 @@ def test_co_occurrences_move_few_nodes_of_a_common_key(spark):
     plan = got._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan and "Join" not in plan
     assert {tuple(r) for r in got.collect()} == {(1, 2, 2), (1, 9, 1), (2, 9, 1)}
+
+
+def test_grams_of_repeated_words_are_cut_once(spark):
+    texts = ["abcab abcab\tx \U0001f600a\U0001f600a", " abcab\nabc  ", "", None, "abcde"]
+    got = aggregate.ngrams(spark.createDataFrame([(t,) for t in texts], "text string"), "text", (2, 4), keep=r"\p{L}")
+    grams = Counter(t[i : i + k] for t in texts if t for k in (2, 4) for i in range(len(t) - k + 1))
+    expected = {g: n for g, n in grams.items() if n >= 2 and not re.search(r"\s", g) and re.search("[a-z]", g)}
+    assert {r.gram: r.n for r in got.collect()} == expected
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(word" in re.sub(r"#\d+L?", "", plan)
