@@ -2,39 +2,120 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators.graph import ensure_checkpoints
 
+#: Counters of items, by the low bits of their hashes: a table of 2 MB.
+COUNTER_BITS = 18
+#: Ids that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
-def similar_pairs(df: DataFrame, key: str, sets: Column, threshold: float) -> DataFrame:
-    """Pairs a < b of keys whose sets (arrays of distinct strings) have a Jaccard similarity of at least `threshold`.
+
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How often items occur, by the low bits of their hashes."""
+
+    def run(batches):
+        total = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+        for batch in batches:
+            h = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(h & ((1 << COUNTER_BITS) - 1), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
+
+    out = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+    found = sets.select("items").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out[found["k"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """Rows (h, id, n, place): the first n - ceil(t n) + 1 items of each set, the rarest first by a table of counters. Items that share a
+    counter make the order less good, but it is one order for all sets, so that nothing is lost."""
+    counts = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            n = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, counts.value[h & ((1 << COUNTER_BITS) - 1)], row))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) + 1
+            first = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
+            keep = place <= first[row]
+            yield pa.RecordBatch.from_arrays([pa.array(h[order][keep]), batch.column(0).take(pa.array(row[keep])), pa.array(n[row[keep]]), pa.array(place[keep])], names=["h", "id", "n", "place"])
+
+    return sets.select("id", "items").mapInArrow(run, f"h long, id {sets.schema['id'].dataType.simpleString()}, n long, place long")
+
+
+def _digests(sets: DataFrame) -> DataFrame:
+    """Rows (id, x, y, n): 128 bits that equal sets share, whatever the order of their items, and their size."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            n = batch.column(1).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            start = np.cumsum(n) - n
+            mixed = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+            x, y = (np.add.reduceat(v, start).view(np.int64) for v in (h, mixed ^ (mixed >> np.uint64(32))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x), pa.array(y), pa.array(n)], names=["id", "x", "y", "n"])
+
+    return sets.select("id", "items").mapInArrow(run, f"id {sets.schema['id'].dataType.simpleString()}, x long, y long, n long")
+
+
+def similar_classes(df: DataFrame, key: str, sets: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Members (id, first) of the classes of equal sets, `first` being their least key, and pairs (a, b, similarity) a < b of classes, by
+    their first keys, whose sets (arrays of distinct strings) have a Jaccard similarity of at least `threshold`.
 
     Items are hashed to 64 bits once, and the sets written to the checkpoint folder. Two such sets share one of the first
-    n - ceil(t n) + 1 items of each in any one order (the rarest first); so only these are joined, and what is left of both sets after
-    the shared item must allow the threshold. Empty sets are similar to nothing.
+    n - ceil(t n) + 1 items of each in any one order; so only these are moved and joined, and what is left of both sets after the shared
+    item must allow the threshold. Of the sets themselves only those that are in a pair then are moved. Empty sets are similar to nothing.
     """
     ensure_checkpoints(df.sparkSession)
     hashed = F.array_distinct(F.transform(sets, lambda x: F.xxhash64(x)))
-    base = df.select(F.col(key).alias("id"), hashed.alias("items")).where(F.size("items") > 0).checkpoint()
-    counts = base.select(F.explode("items").alias("h")).groupBy("h").agg(F.count("*").alias("df")).where("df > 1").checkpoint()  # written, so that the join can split an item that many sets hold
-    # of the items that occur once, only their number matters: they come first in any order by rarity
-    often = base.select("id", F.size("items").alias("n"), F.explode("items").alias("h")).join(counts, "h")
-    order = F.sort_array(F.collect_list(F.struct("df", "h")))
-    kept = often.groupBy("id", "n").agg(order.alias("o"))
-    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1 - (F.col("n") - F.size("o"))
-    prefix = kept.select("id", "n", (F.col("n") - F.size("o")).alias("once"), F.posexplode(F.slice("o", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("p", "x")).select("id", "n", (F.col("once") + F.col("p")).alias("place"), F.col("x.h").alias("h"))
+    base = df.select(F.col(key).alias("id"), hashed.alias("items")).where("id IS NOT NULL AND size(items) > 0").checkpoint()
+    same = ["x", "y", "n"]
+    told = _digests(base).checkpoint()
+    firsts = told.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("rows")).checkpoint()  # written, so that the join can split a class
+    members = told.join(firsts, same).select("id", "first")
+    copies = members.where("id != first").checkpoint()
+    sets_once = _semi(base, copies, "left_anti")
+    prefix = _prefixes(sets_once, threshold).repartition("h")
     a, b = (prefix.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place")]) for s in "ab")
     left = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     # what an intersection of `left` items more than the pair's earlier shared ones can reach; the earlier places bound those
     most = F.least(left + F.least("place_a", "place_b"), F.col("n_a"), F.col("n_b"))
-    fits = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (most * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    pairs = a.join(b, "h").where((F.col("id_a") < F.col("id_b")) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    left, right = base.select(F.col("id").alias("a"), F.col("items").alias("x")), base.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    fits = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (most * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    pairs = a.join(b, "h").where((F.col("id_a") < F.col("id_b")) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct().checkpoint()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().checkpoint()
+    paired = _semi(sets_once, wanted, "left_semi")
+    left, right = paired.select(F.col("id").alias("a"), F.col("items").alias("x")), paired.select(F.col("id").alias("b"), F.col("items").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    return copies.unionByName(firsts.where("rows > 1").select(F.col("first").alias("id"), "first")), scored.where(F.col("similarity") >= threshold).checkpoint()
+
+
+def _semi(sets: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The sets whose id is (not) in a written table; they stay where they are if it is small."""
+    return sets.join(F.broadcast(ids.select("id")) if ids.count() <= BROADCAST_IDS else ids.select("id"), "id", how)
+
+
+def similar_pairs(df: DataFrame, key: str, sets: Column, threshold: float) -> DataFrame:
+    """All pairs a < b of keys, with their similarity, of what similar_classes() finds: a class of c equal sets has c (c - 1) / 2."""
+    members, pairs = similar_classes(df, key, sets, threshold)
+    side = lambda c: members.select(F.col("first").alias(c), F.col("id").alias(f"{c}_id"))
+    each = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_id", "a").alias("x"), F.coalesce("b_id", "b").alias("y"), "similarity")
+    across = each.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    within = members.withColumnRenamed("id", "a").join(members.withColumnRenamed("id", "b"), "first").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
+    return across.unionByName(within)
 
 
 def greedy_keep(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -54,3 +135,19 @@ def greedy_keep(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
         state = state.join(seen, "id", "left").select("id", F.coalesce("kept", F.when(F.col("some"), F.lit(False)).when(F.col("all_gone"), F.lit(True))).alias("kept")).checkpoint()
     by = edges.join(state.where("kept").select(F.col("id").alias("first")), "first").groupBy("id").agg(F.min_by("first", "first_rank").alias("kept_by"))
     return state.join(by, "id", "left").select("id", "kept", F.when(~F.col("kept"), F.col("kept_by")).alias("kept_by"))
+
+
+def greedy_keep_classes(members: DataFrame, pairs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """greedy_keep() where classes of equal rows (id, first) stand for the pairs within them, and pairs (a, b) are of classes.
+
+    Rows of a class have the same neighbours, so its row of the least rank decides: if that is kept, it is the others' first kept one,
+    and if it goes, they go by the same row.
+    """
+    ensure_checkpoints(pairs.sparkSession)
+    best = members.join(ranks.select("id", "rank"), "id").groupBy("first").agg(F.min(F.struct("rank", "id"))["id"].alias("best")).checkpoint()
+    others = members.join(best, "first").where("id != best").select("id", "best").checkpoint()
+    side = lambda c: best.select(F.col("first").alias(c), F.col("best").alias(f"{c}_best"))
+    named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("a_best", "a").alias("a"), F.coalesce("b_best", "b").alias("b"))
+    kept = greedy_keep(named, ranks.join(others.select("id"), "id", "left_anti")).checkpoint()
+    gone = others.join(kept.select(F.col("id").alias("best"), "kept_by"), "best").select("id", F.lit(False).alias("kept"), F.coalesce("kept_by", "best").alias("kept_by"))
+    return kept.unionByName(gone)

@@ -18,24 +18,28 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.
 e AS (SELECT a, b, k / (x.n + y.n - k) AS similarity FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * k >= 8 * (x.n + y.n - k))"""
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    return similarity.similar_pairs(table(spark, d, "documents"), "doc_id", text.word_shingles(F.col("text"), 5), 0.8)
+def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return similarity.similar_classes(table(spark, d, "documents"), "doc_id", text.word_shingles(F.col("text"), 5), 0.8)
 
 
 @query("jaccard_pairs", f"WITH {_FIVE_WORDS} SELECT a, b, round(similarity, 9) AS similarity FROM e")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).withColumn("similarity", F.round("similarity", 9))
+    pairs = similarity.similar_pairs(table(spark, d, "documents"), "doc_id", text.word_shingles(F.col("text"), 5), 0.8)
+    return pairs.withColumn("similarity", F.round("similarity", 9))
 
 
 @query("greedy_near_dup")
 def greedy_near_dup(spark: SparkSession, d: str) -> DataFrame:
     ranks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.struct(-F.col("n_chars"), "doc_id").alias("rank"))
-    return similarity.greedy_keep(_pairs(spark, d).select("a", "b"), ranks)
+    members, pairs = _classes(spark, d)
+    return similarity.greedy_keep_classes(members, pairs.select("a", "b"), ranks)
 
 
 @query("components", f"WITH RECURSIVE {_FIVE_WORDS}, u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS id, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id) SELECT id, min(root) AS component FROM r GROUP BY id")
 def components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.connected_components(_pairs(spark, d))
+    members, pairs = _classes(spark, d)
+    copies = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return graph.connected_components(pairs.select("a", "b").unionByName(copies))
 
 
 @query("cluster_stats", "SELECT c_nationkey AS nation, count(*) AS size, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS segments, max(c_custkey) AS max_key FROM customer GROUP BY 1")

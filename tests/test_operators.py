@@ -170,3 +170,22 @@ def test_grams_of_repeated_words_are_cut_once(spark):
     assert {r.gram: r.n for r in got.collect()} == expected
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all(word" in re.sub(r"#\d+L?", "", plan)
+
+
+def test_similar_classes_stand_for_their_copies(spark):
+    sets = {i: frozenset(f"w{(i % 12 * 5 + k) % 29}" for k in range(9 + i % 3)) for i in range(36)}
+    df = spark.createDataFrame([(i, sorted(s, reverse=i > 20)) for i, s in sets.items()] + [(None, ["x"]), (99, [])], "id int, s array<string>")
+    members, pairs = similarity.similar_classes(df, "id", F.col("s"), 0.3)
+    first = {i: min(j for j in sets if sets[j] == s) for i, s in sets.items()}
+    assert {tuple(r) for r in members.collect()} == {(i, f) for i, f in first.items() if list(first.values()).count(f) > 1}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert {(r.a, r.b): r.similarity for r in pairs.collect()} == {(a, b): like(a, b) for a in set(first.values()) for b in set(first.values()) if a < b and like(a, b) >= 0.3}
+    rank = {i: i * 17 % 37 for i in sets}
+    kept, by = set(), {}
+    for i in sorted(sets, key=rank.get):
+        earlier = [j for j in kept if like(i, j) >= 0.3]
+        by[i] = min(earlier, key=rank.get) if earlier else None
+        if not earlier:
+            kept.add(i)
+    got = similarity.greedy_keep_classes(members, pairs, spark.createDataFrame(list(rank.items()), "id int, rank int"))
+    assert {r.id: (r.kept, r.kept_by) for r in got.collect()} == {i: (i in kept, by[i]) for i in sets}
