@@ -19,20 +19,23 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(told or "file://" + tempfile.mkdtemp(prefix="orrery-"))
 
 
-#: Rows that a task pairs: the number of tasks follows the rows, so what one task holds doesn't.
+#: Rows that a task takes: the number of tasks follows the rows, so what one task holds doesn't.
 ROWS_A_TASK = 500_000
+#: Parts that the nodes of a key are dealt to before they meet, so that a common key's rows are in many tasks.
+PARTS = 64
 
 
 def co_occurrences(df: DataFrame, key: str, node: str, least: int = 2, most: int | None = 30) -> DataFrame:
     """Pairs of nodes a < b that share a key, with the keys' number; keys with fewer than `least` or more than `most` nodes tell
     nothing and are left out (that is the operator's rule: common keys are no evidence).
 
-    Of a key no more than `most` + 1 nodes are moved, which is enough to tell that it is left out; the others' nodes are paired where
-    they meet, without a join.
+    Of a key's nodes no more than `most` + 1 of each part are moved to meet, which is enough to tell that it is left out; the others'
+    nodes are paired there, without a join. All shuffles have as many tasks as the rows ask for; Spark itself goes by compressed bytes
+    or a fixed number, of which few make many rows.
     """
     known = df.select(F.col(key).alias("k"), F.col(node).alias("id")).where("k IS NOT NULL AND id IS NOT NULL")
-    each = known.distinct()
     if most is None:
+        each = known.distinct()
         sizes = each.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= least)
         ensure_checkpoints(df.sparkSession)
         # written before it is joined: with the aggregate in the join's stage, Spark can't split a key that a third of the rows have
@@ -40,14 +43,18 @@ def co_occurrences(df: DataFrame, key: str, node: str, least: int = 2, most: int
         a, b = fit.select("k", F.col("id").alias("a")), fit.select("k", F.col("id").alias("b"))
         pairs = a.join(b, "k").where("a < b")
     else:
-        place = F.row_number().over(Window.partitionBy("k").orderBy("id"))
-        first = each.withColumn("place", place).where(F.col("place") <= most + 1)
-        # as many tasks as the rows ask for; Spark itself goes by compressed bytes, of which few make many pairs
         tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-known.count() // ROWS_A_TASK))
-        groups = first.select("k", "id").repartition(tasks, "k").groupBy("k").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        # by node and by the task that reads it, so that neither a common key nor a row that is often repeated is left to one task
+        part = F.pmod(F.hash("id", F.spark_partition_id()), F.lit(PARTS))
+        each = known.withColumn("part", part).repartition(tasks, "k", "part").distinct()
+        place = F.row_number().over(Window.partitionBy("k", "part").orderBy("id"))
+        first = each.withColumn("place", place).where(F.col("place") <= most + 1)
+        groups = first.select("k", "id").repartition(tasks, "k").groupBy("k").agg(F.sort_array(F.collect_set("id")).alias("ids"))
         groups = groups.where((F.size("ids") >= least) & (F.size("ids") <= most))
         later = groups.select("ids", F.posexplode("ids").alias("p", "a"))
         pairs = later.select("a", F.explode(F.slice("ids", F.col("p") + 2, F.size("ids"))).alias("b"))
+        # a row is in (most - 1) / 2 pairs at most, so that a task has no more than about 4 * ROWS_A_TASK of them
+        pairs = pairs.repartition(tasks * max(1, most // 8), "a", "b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
 
 

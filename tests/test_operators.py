@@ -162,6 +162,19 @@ def test_co_occurrences_move_few_nodes_of_a_common_key(spark):
     assert {tuple(r) for r in got.collect()} == {(1, 2, 2), (1, 9, 1), (2, 9, 1)}
 
 
+def test_co_occurrences_leave_no_number_of_tasks_to_spark(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS_A_TASK", 50)
+    rows = [(0, i) for i in range(300)] + [(1, 5)] * 300 + [(k, k % 7 + i) for k in range(1, 40) for i in range(k % 11)]
+    got = graph.co_occurrences(spark.createDataFrame(rows, "k int, id int").repartition(8), "k", "id", 2, 9)
+    nodes = {k: {i for j, i in rows if j == k} for k in range(40)}
+    expected = Counter((a, b) for s in nodes.values() if 2 <= len(s) <= 9 for a in s for b in s if a < b)
+    assert {(r.a, r.b): r.n for r in got.collect()} == expected
+    tasks = -(-len(rows) // 50)
+    plan = re.sub(r"#\d+L?", "", got._jdf.queryExecution().executedPlan().toString())
+    assert "ENSURE_REQUIREMENTS" not in plan
+    assert all(f"hashpartitioning({by}, {tasks})" in plan for by in ("k, part", "k", "a, b"))
+
+
 def test_grams_of_repeated_words_are_cut_once(spark):
     texts = ["abcab abcab\tx \U0001f600a\U0001f600a", " abcab\nabc  ", "", None, "abcde"]
     got = aggregate.ngrams(spark.createDataFrame([(t,) for t in texts], "text string"), "text", (2, 4), keep=r"\p{L}")
