@@ -38,17 +38,22 @@ def fingerprint(c: Column, n: int = 3) -> Column:
     return F.when(F.length(core) >= n, F.array_distinct(grams)).when(F.length(core) > 0, F.array(core)).otherwise(F.array().cast("array<string>"))
 
 
+def words(c: Column) -> Column:
+    """The lower-cased words between white space."""
+    return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
+
+
 def word_shingles(c: Column, n: int = 3) -> Column:
     """The distinct runs of n lower-cased words, joined by a space; shorter texts are one run.
 
     The words are bound as a lambda's variable, so they are split once for a text and not once for a run.
     """
 
-    def runs(words: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-        return F.when(F.size(words) >= n, F.array_distinct(each)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(each)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
 
-    return F.transform(F.array(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")), runs)[0]
+    return F.transform(F.array(words(c)), runs)[0]
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -94,7 +94,9 @@ def clean(posts: DataFrame, similarity_least: float) -> DataFrame:
     """
     single = once(posts)
     key = F.coalesce(F.nullif("full_text", F.lit("")), F.col("content.desc"), F.lit(""))
-    pairs = similarity.similar_pairs(single, "row", text.fingerprint(key), similarity_least)
+    graph.ensure_checkpoints(posts.sparkSession)
+    texts = single.select("row", key.alias("text")).checkpoint()  # they are read several times
+    pairs = similarity.similar_pairs(texts, "row", text.fingerprint(F.col("text")), similarity_least)
     told = similarity.greedy_keep(pairs, single.select(F.col("row").alias("id"), F.struct((-F.col("engagement")).alias("e"), "row").alias("rank")))
     gone = told.where(~F.col("kept")).join(single.select(F.col("row").alias("id"), "note_id"), "id")
     copies = gone.groupBy(F.col("kept_by").alias("row")).agg(F.sort_array(F.collect_list("note_id")).alias("near_duplicates"), F.count("*").alias("near_duplicate_count"))

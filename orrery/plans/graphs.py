@@ -19,12 +19,12 @@ e AS (SELECT a, b, k / (x.n + y.n - k) AS similarity FROM p JOIN n x ON x.doc_id
 
 
 def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return similarity.similar_classes(table(spark, d, "documents"), "doc_id", text.word_shingles(F.col("text"), 5), 0.8)
+    return similarity.similar_classes(table(spark, d, "documents"), "doc_id", text.words(F.col("text")), 0.8, 5)
 
 
 @query("jaccard_pairs", f"WITH {_FIVE_WORDS} SELECT a, b, round(similarity, 9) AS similarity FROM e")
 def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    pairs = similarity.similar_pairs(table(spark, d, "documents"), "doc_id", text.word_shingles(F.col("text"), 5), 0.8)
+    pairs = similarity.similar_pairs(table(spark, d, "documents"), "doc_id", text.words(F.col("text")), 0.8, 5)
     return pairs.withColumn("similarity", F.round("similarity", 9))
 
 

@@ -1,6 +1,7 @@
 import json
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,45 @@ def test_similar_classes_stand_for_their_copies(spark):
             kept.add(i)
     got = similarity.greedy_keep_classes(members, pairs, spark.createDataFrame(list(rank.items()), "id int, rank int"))
     assert {r.id: (r.kept, r.kept_by) for r in got.collect()} == {i: (i in kept, by[i]) for i in sets}
+
+
+def _near_copies():
+    """Texts of 400 words in groups of eight, some with a few other words, and short ones."""
+    rows = []
+    for i in range(80):
+        w = [f"w{i // 8}x{k * k % 389}" for k in range(400)]
+        for k in range(i % 8 * 3):
+            w[k * 17] = f"o{i}x{k}"
+        rows.append((i, " ".join(w)))
+    return [*rows, (80, "one two"), (81, "One\n two "), (82, "two one"), (83, ""), (84, None), (85, "a b c d"), (86, "a b c d e"), (87, "a b c d")]
+
+
+def test_near_copies_meet_without_written_sets(spark, tmp_path, monkeypatch):
+    texts = _near_copies()
+    words = {i: (t or "").lower().split() for i, t in texts}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    like = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
+    expected = {(a, b): round(like(a, b), 9) for a in sets for b in sets if a < b and sets[a] and like(a, b) >= 0.8}
+    spark.createDataFrame([(i, t, len(t or "")) for i, t in texts], "doc_id long, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    q = registry.queries()
+    similarity.ensure_checkpoints(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    assert {(r.a, r.b): r.similarity for r in q["jaccard_pairs"](spark, str(tmp_path)).collect()} == expected
+    # the sets alone have so many bytes; what is written is of ids and pairs
+    assert size() - before < 8 * sum(len(s) for s in sets.values()) / 5
+    # in groups of a few pairs, a group's sets are dealt to parts
+    monkeypatch.setattr(similarity, "ITEMS_A_GROUP", 900)
+    assert {(r.a, r.b): r.similarity for r in q["jaccard_pairs"](spark, str(tmp_path)).collect()} == expected
+    # beyond that many ids all is joined by shuffles
+    monkeypatch.setattr(similarity, "BROADCAST_IDS", 0)
+    assert {(r.a, r.b): r.similarity for r in q["jaccard_pairs"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_a_set_moves_once_for_a_group_of_near_copies(spark):
+    rows = [(100 * g + i, 100 * g + j, 300, 300) for g in range(30) for i in range(12) for j in range(i + 1, 12)]
+    met = similarity._meeting(spark.createDataFrame(rows, "a long, b long, n_a long, n_b long"))
+    moved = met.select(F.explode(F.array("a", "b")).alias("id"), "at").distinct()
+    assert met.count() == len(rows) and moved.count() == 30 * 12
+    assert similarity._meeting(met.limit(0).select("a", "b", F.lit(1).alias("n_a"), F.lit(1).alias("n_b"))).count() == 0
