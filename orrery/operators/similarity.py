@@ -131,24 +131,19 @@ def _meeting(pairs: DataFrame) -> DataFrame:
 
 def _similarities(met: DataFrame, sets: DataFrame, size: int) -> DataFrame:
     """Rows (a, b, similarity) of pairs (a, b, at), their sets given as rows (id, words, at)."""
-
-    def make(rows, items, n):
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(items))], names=["id", "at", "items"])
+    each = _each(lambda rows, items, n: (rows.column(0).to_pylist(), np.split(items, np.cumsum(n)[:-1])), size)
 
     def compare(pairs, sets):
-        where = {k: i for i, k in enumerate(sets["id"].to_pylist())}
-        each = sets["items"].combine_chunks()
-        items, ends = each.flatten().to_numpy(), np.concatenate([[0], np.cumsum(each.value_lengths().to_numpy())])
+        found = {k: v for ids, items in each(sets.to_batches()) for k, v in zip(ids, items, strict=True)}
         out = np.empty(pairs.num_rows)
         for k, (a, b) in enumerate(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True)):
-            x, y = (items[ends[i] : ends[i + 1]] for i in (where[a], where[b]))
+            x, y = found[a], found[b]
             shared = len(np.intersect1d(x, y, assume_unique=True))
             out[k] = shared / (len(x) + len(y) - shared)
         return pa.table({"a": pairs["a"], "b": pairs["b"], "similarity": out})
 
     kind = sets.schema["id"].dataType.simpleString()
-    each = sets.mapInArrow(_each(make, size), f"id {kind}, at long, items array<long>")
-    return met.groupBy("at").cogroup(each.groupBy("at")).applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
+    return met.groupBy("at").cogroup(sets.groupBy("at")).applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def similar_classes(df: DataFrame, key: str, sets: Column, threshold: float, run: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -158,8 +153,8 @@ def similar_classes(df: DataFrame, key: str, sets: Column, threshold: float, run
 
     Two such sets share one of the first n - ceil(t n) + 1 items of each in any one order; so only these are moved and joined, and what is
     left of both sets after the shared item must allow the threshold. Items are 64 bits. The sets themselves are larger than the table, so
-    they aren't written: `df` is read for the digests, the counts of items, the prefixes and once more for the sets that are in a pair,
-    which alone are moved, and each once for a group of near copies. (Write `df` first if it is costly.)
+    they are neither written nor moved: `df` is read for the digests, the counts of items, the prefixes and once more for the rows that are
+    in a pair, which alone are moved, each once for a group of near copies. (Write `df` first if it is costly.)
     """
     ensure_checkpoints(df.sparkSession)
     known = df.where(F.col(key).isNotNull())
@@ -180,7 +175,8 @@ def similar_classes(df: DataFrame, key: str, sets: Column, threshold: float, run
     met = _meeting(pairs).checkpoint()
     moved = met.select(F.explode(F.array("a", "b")).alias("id"), "at").distinct().checkpoint()
     paired = _matched(_matched(known, key, moved.select("id").distinct(), "left_semi"), key, moved, "inner")
-    scored = _similarities(met, words(paired, F.col("__at").alias("at")), run)
+    # the rows are moved as they were read, as hashes of their words are larger
+    scored = _similarities(met, words(paired.repartition("__at"), F.col("__at").alias("at")), run)
     return copies.unionByName(firsts.where("rows > 1").select(F.col("first").alias("id"), "first")), scored.where(F.col("similarity") >= threshold).checkpoint()
 
 
