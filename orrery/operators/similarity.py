@@ -152,7 +152,7 @@ def similar_classes(df: DataFrame, key: str, sets: Column, threshold: float, run
     the distinct runs of `run` elements, a shorter array being one run. Empty sets are similar to nothing.
 
     Two such sets share one of the first n - ceil(t n) + 1 items of each in any one order; so only these are moved and joined, and what is
-    left of both sets after the shared item must allow the threshold. Items are 64 bits. The sets themselves are larger than the table, so
+    left of both sets after the shared item, and after all that their prefixes share, must allow the threshold. Items are 64 bits. The sets themselves are larger than the table, so
     they are neither written nor moved: `df` is read for the digests, the counts of items, the prefixes and once more for the rows that are
     in a pair, which alone are moved, each once for a group of near copies. (Write `df` first if it is costly.)
     """
@@ -171,7 +171,11 @@ def similar_classes(df: DataFrame, key: str, sets: Column, threshold: float, run
     # what an intersection of `left` items more than the pair's earlier shared ones can reach; the earlier places bound those
     most = F.least(left + F.least("place_a", "place_b"), F.col("n_a"), F.col("n_b"))
     fits = (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (most * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9)
-    pairs = a.join(b, "h").where((F.col("id_a") < F.col("id_b")) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b").distinct().checkpoint()
+    found = a.join(b, "h").where((F.col("id_a") < F.col("id_b")) & fits).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b")
+    # what two sets share besides their prefixes' common items comes, in one of them, after its prefix, where ceil(t n) - 1 items are
+    after = F.greatest(*[F.ceil(threshold * F.col(c) - F.lit(1e-9)) for c in ("n_a", "n_b")]) - 1
+    enough = (F.col("c") + after) * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-9
+    pairs = found.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c")).where(enough).drop("c").checkpoint()
     met = _meeting(pairs).checkpoint()
     moved = met.select(F.explode(F.array("a", "b")).alias("id"), "at").distinct().checkpoint()
     paired = _matched(_matched(known, key, moved.select("id").distinct(), "left_semi"), key, moved, "inner")

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -245,3 +246,16 @@ def test_a_set_moves_once_for_a_group_of_near_copies(spark):
     moved = met.select(F.explode(F.array("a", "b")).alias("id"), "at").distinct()
     assert met.count() == len(rows) and moved.count() == 30 * 12
     assert similarity._meeting(met.limit(0).select("a", "b", F.lit(1).alias("n_a"), F.lit(1).alias("n_b"))).count() == 0
+
+
+def test_pairs_that_share_too_little_of_their_prefixes_are_not_moved(spark, monkeypatch):
+    # of 100 items each, two groups: one shares 95, the other its first 30, by whose prefixes alone no pair can be similar
+    sets = {i: [f"s{k}" for k in range(95)] + [f"s{i}x{k}" for k in range(5)] for i in range(4)}
+    sets |= {i: [f"t{k}" for k in range(30)] + [f"t{i}x{k}" for k in range(70)] for i in range(4, 12)}
+    moved = []
+    meeting = similarity._meeting
+    monkeypatch.setattr(similarity, "_meeting", lambda pairs: moved.extend(pairs.select("a", "b").collect()) or meeting(pairs))
+    monkeypatch.setattr(similarity, "_counts", lambda rows, size: np.zeros(1 << similarity.COUNTER_BITS, dtype=np.int64))
+    _, pairs = similarity.similar_classes(spark.createDataFrame(list(sets.items()), "id long, s array<string>"), "id", F.col("s"), 0.8)
+    expected = {(a, b) for a in range(4) for b in range(a + 1, 4)}
+    assert {(r.a, r.b) for r in pairs.collect()} == expected == {tuple(r) for r in moved}
